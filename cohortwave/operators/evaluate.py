@@ -91,6 +91,14 @@ def classification_report(pred: DataFrame, labels: list[str], by: list[str] = ()
     return counts.select(*by, F.inline(report))
 
 
+def accuracy_and_macro_f1(pred: DataFrame, labels: list[str], by: list[str] = (), actual: str = "actual_label",
+                          predicted: str = "predicted_label") -> DataFrame:
+    report = classification_report(pred, labels, by, actual, predicted)
+    row = F.col("label")
+    return report.groupBy(*by).agg(F.max(F.when(row == "accuracy", F.col("f1"))).alias("accuracy"),
+                                   F.max(F.when(row == "macro avg", F.col("f1"))).alias("macro_f1"))
+
+
 def confusion_matrix(pred: DataFrame, labels: list[str], actual: str = "actual_label",
                      predicted: str = "predicted_label") -> DataFrame:
     """Counts for every pair of labels, 0 included: one row per actual label."""

@@ -108,6 +108,14 @@ def pls_beta(g: Gram, components: int) -> np.ndarray:
     return beta
 
 
+def unpack(n: float, values: np.ndarray, centre: np.ndarray) -> Gram:
+    """The sums of one table row: p sums, then the upper triangle of the cross products."""
+    p = len(centre)
+    z = np.zeros((p, p))
+    z[np.triu_indices(p)] = values[p:]
+    return Gram(float(n), z + z.T - np.diag(np.diag(z)), np.asarray(values[:p], float), centre)
+
+
 class Sums:
     """Cross-product sums of the rows per (fold, inner fold), written once."""
 
@@ -128,20 +136,14 @@ class Sums:
             F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in x],
             *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{i}_{j}") for i, j in pairs]))
 
-    def gram(self, n: float, values: np.ndarray) -> Gram:
-        p = len(self.centre)
-        z = np.zeros((p, p))
-        z[np.triu_indices(p)] = values[p:]
-        return Gram(float(n), z + z.T - np.diag(np.diag(z)), np.asarray(values[:p], float), self.centre)
-
     def totals(self) -> dict[int, Gram]:
         """Sums over all folds per inner fold."""
         rows = self.table.groupBy("_inner").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in self.names]).collect()
-        return {r["_inner"]: self.gram(r["n"], np.array([r[c] for c in self.names], float)) for r in rows}
+        return {r["_inner"]: unpack(r["n"], np.array([r[c] for c in self.names], float), self.centre) for r in rows}
 
     def solve(self, solver) -> DataFrame:
         """(fold, _b0, _b, details): ``solver`` gets the train set's sums per inner fold."""
-        totals, gram, names = self.totals(), self.gram, self.names
+        totals, centre, names = self.totals(), self.centre, self.names
         cell = F.struct("_inner", "n", F.array(*names).alias("values"))
         folds = self.table.groupBy("_fold").agg(F.collect_list(cell).alias("cells"))
         kind = dict(self.table.dtypes)["_fold"]
@@ -152,7 +154,7 @@ class Sums:
                 for key, cells in zip(pdf["_fold"], pdf["cells"]):
                     train = dict(totals)
                     for c in cells:
-                        rest = train[c["_inner"]] - gram(c["n"], np.asarray(c["values"], float))
+                        rest = train[c["_inner"]] - unpack(c["n"], np.asarray(c["values"], float), centre)
                         train[c["_inner"]] = rest
                     intercept, slopes, details = solver({i: g for i, g in train.items() if g.n > 0})
                     out.append((key, intercept, slopes.tolist(), details))
@@ -217,7 +219,7 @@ def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=Non
                            .groupBy("_fold").agg(F.min_by("_alpha", F.struct("_e", "_alpha")).alias("_alpha")))
 
     for r in sums.table.toLocalIterator():
-        g = total - sums.gram(r["n"], np.array([r[c] for c in sums.names], float))
+        g = total - unpack(r["n"], np.array([r[c] for c in sums.names], float), sums.centre)
         xx, xy, mean, scale = g.standardised()
         values, vectors = np.linalg.eigh(xx)
         middle = mean + g.centre
@@ -231,13 +233,13 @@ def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=Non
     for t in tables[1:]:
         best = best.unionByName(t)
 
-    gram, names = sums.gram, sums.names
+    centre, names = sums.centre, sums.names
 
     def run(batches):
         for pdf in batches:
             rows = []
             for key, alpha, n, values in zip(pdf["_fold"], pdf["_alpha"], pdf["n"], pdf["values"]):
-                g = total - gram(n, np.asarray(values, float))
+                g = total - unpack(n, np.asarray(values, float), centre)
                 intercept, slopes = g.coefficients(ridge_beta(g, alpha))
                 rows.append((key, intercept, slopes.tolist(), f"alpha={alpha:.6g}"))
             yield pd.DataFrame(rows, columns=["_fold", "_b0", "_b", "details"])

@@ -6,7 +6,6 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, KMeans
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import FRIENDLY_LABELS, code_map
 from .baselines import class_weights, dummy_majority_cv, dummy_mean_cv
 from .evaluate import binary_metrics, leaderboard, regression_metrics
+from .scale import materialise
 
 MIN_LEAF = 1
 MAX_DEPTH = 30  # the deepest tree Spark grows; the forests here have no limit of their own
@@ -99,9 +99,10 @@ def fourier_features(df: DataFrame, features: list[str], n_proj: int = 64, gamma
     return df.withColumns(cols), list(cols)
 
 
-def rbf_margin_classifier(projected: list[str], y: str, rows: int, c: float = 1.0, weight: str = "weight") -> Pipeline:
+def rbf_margin_classifier(projected: list[str], y: str, rows: int, c: float = 1.0, weight: str = "weight",
+                          max_iter: int = 100) -> Pipeline:
     return Pipeline(stages=[assemble(projected), LinearSVC(
-        labelCol=y, weightCol=weight, regParam=1.0 / (c * rows), standardization=False, maxIter=200)])
+        labelCol=y, weightCol=weight, regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter)])
 
 
 def rbf_regressor(projected: list[str], y: str, rows: int, c: float = 1.0) -> Pipeline:
@@ -139,9 +140,9 @@ def cross_val_predict(est: Estimator, df: DataFrame, fold: str, threads: int = 4
     """Out-of-fold prediction of every row.
 
     ``est`` may be a function of the train rows; ``prepare`` may fit anything else on them.
-    The rows are kept in executor memory over the fits, and folds are fitted side by side.
+    The rows are written once for all fits, and folds are fitted side by side.
     """
-    rows = df.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = materialise(df)
     folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
     if len(folds) < 2:
         raise ValueError("at least two folds are needed")
@@ -224,9 +225,9 @@ def predict_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
 def kmeans(df: DataFrame, features: list[str], k: int = 3, restarts: int = 20, seed: int = 42,
            out: str = "cluster") -> DataFrame:
     """The best of several starts by within-cluster cost, on standardised features."""
-    prepared = Pipeline(stages=scaled(features)).fit(df).transform(df).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = materialise(Pipeline(stages=scaled(features)).fit(df).transform(df).drop("_raw"))
     fits = [KMeans(k=k, seed=seed + i, predictionCol=out).fit(prepared) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost).transform(prepared).drop("_raw")
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(prepared)
 
 
 def hierarchical_clusters(df: DataFrame, features: list[str], k: int = 3, seed: int = 42,
@@ -242,6 +243,11 @@ def pca(df: DataFrame, features: list[str], k: int = 2) -> DataFrame:
     return out.withColumns({f"pc{i + 1}": F.get("_pcs", F.lit(i)) for i in range(k)}).drop("_pcs", "_raw", "features")
 
 
+def weigh_train(label: str) -> Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]:
+    """Class weights counted on the train rows alone."""
+    return lambda train, test: (class_weights(train, label), test)
+
+
 def silhouette(df: DataFrame, cluster: str, features: str = "features") -> DataFrame:
     """Mean silhouette under squared Euclidean distance."""
     score = ClusteringEvaluator(predictionCol=cluster, featuresCol=features).evaluate(df)

@@ -26,13 +26,13 @@ def random_rank(df: DataFrame, by: list[str], seed: int, key: list[str], out: st
     group = Window.partitionBy(*by)
     earlier = group.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_slot", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
-                            F.sum("_c").over(group).alias("_size"))
+                            F.sum("_c").over(group).alias("_total"))
     within = Window.partitionBy(*by, "_slot").orderBy("_u", *key)
     ranked = attach(drawn.withColumn("_r", F.row_number().over(within)), offsets, [*by, "_slot"])
     ranked = ranked.withColumn(out, F.col("_before") + F.col("_r"))
     if size:
-        ranked = ranked.withColumn(size, F.col("_size"))
-    return ranked.drop("_u", "_slot", "_r", "_before", "_size")
+        ranked = ranked.withColumn(size, F.col("_total"))
+    return ranked.drop("_u", "_slot", "_r", "_before", "_total")
 
 
 def stratified_quota(df: DataFrame, stratum: Column, quota: dict[str, int], seed: int, key: list[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def augment_uniform(df: DataFrame, minority: Column, features: list[str], n: int
     category is that of an observed row, the label is uniform in ``label_range``, and the id
     names an observed subject.
     """
-    low = materialise(df.where(minority).select(subject, *key, *categories, *features))
+    low = materialise(df.where(minority).select(*dict.fromkeys([subject, *key, *categories, *features])))
     bounds = {r["feature"]: (r["min"], r["max"]) for r in group_minmax(low, features).collect()}
     i = F.col("_i")
     rows = df.sparkSession.range(1, n + 1).withColumnRenamed("id", "_i")

@@ -9,7 +9,7 @@ from ..operators import quality as q
 from ..operators import segments as s
 from ..operators import subjects as sub
 from ..operators.scale import attach
-from .proxies import SPEC, sql
+from .proxies import SPEC, rounded, sql
 from .recordings import build_segments
 from .registry import query
 
@@ -58,14 +58,14 @@ def _(t):
     return q.quality_mask(t.marked, SPEC).where("ok").select("event_id", "subject", "ts", "value")
 
 
-@query("p7_drop_missing", sql("gaps", "SELECT subject, task, price, tax FROM gaps WHERE price IS NOT NULL AND tax IS NOT NULL"))
+@query("p7_drop_missing", sql("gaps", "SELECT subject, task, round(price, 7) AS price, round(tax, 7) AS tax FROM gaps WHERE price IS NOT NULL AND tax IS NOT NULL"))
 def _(t):
-    return q.drop_missing(t.gaps.select("subject", "task", "price", "tax"), ["price", "tax"])
+    return rounded(q.drop_missing(t.gaps.select("subject", "task", "price", "tax"), ["price", "tax"]), ["price", "tax"])
 
 
-@query("p8_fill_missing", sql("gaps", "SELECT subject, task, coalesce(price, 0) AS price, coalesce(tax, 0) AS tax FROM gaps"))
+@query("p8_fill_missing", sql("gaps", "SELECT subject, task, round(coalesce(price, 0), 7) AS price, round(coalesce(tax, 0), 7) AS tax FROM gaps"))
 def _(t):
-    return q.fill_missing(t.gaps.select("subject", "task", "price", "tax"), 0.0, ["price", "tax"])
+    return rounded(q.fill_missing(t.gaps.select("subject", "task", "price", "tax"), 0.0, ["price", "tax"]), ["price", "tax"])
 
 
 @query("p9_drop_sparse", sql("gaps", """WITH has AS (SELECT subject, count(qty) > 0 AS hq, count(price) > 0 AS hp,
@@ -73,20 +73,20 @@ def _(t):
     whole AS (SELECT g.*, hq::INT + hp::INT + ht::INT AS width FROM gaps g JOIN has USING (subject)
       WHERE NOT (hq AND qty IS NULL) AND NOT (hp AND price IS NULL) AND NOT (ht AND tax IS NULL)),
     keep AS (SELECT subject FROM whole GROUP BY 1 HAVING count(*) > 1 AND any_value(width) > 1)
-    SELECT * FROM (SELECT subject, task, unnest(['qty', 'price', 'tax']) AS metric, unnest([qty, price, tax]) AS value
+    SELECT * FROM (SELECT subject, task, unnest(['qty', 'price', 'tax']) AS metric, unnest([round(qty, 7), round(price, 7), round(tax, 7)]) AS value
       FROM whole WHERE subject IN (SELECT subject FROM keep)) WHERE value IS NOT NULL"""))
 def _(t):
-    return q.drop_sparse(t.gaps.select("subject", "task", "qty", "price", "tax"), "subject", ["qty", "price", "tax"])
+    return rounded(q.drop_sparse(t.gaps.select("subject", "task", "qty", "price", "tax"), "subject", ["qty", "price", "tax"]), ["value"])
 
 
-@query("p10_exclude_holdout", sql("obs", "SELECT subject, task, qty FROM obs WHERE subject NOT IN (16, 45)"))
+@query("p10_exclude_holdout", sql("obs", "SELECT subject, task, round(qty, 7) AS qty FROM obs WHERE subject NOT IN (16, 45)"))
 def _(t):
-    return q.exclude_holdout(t.obs.select("subject", "task", "qty"), "subject", [16, 45])
+    return rounded(q.exclude_holdout(t.obs.select("subject", "task", "qty"), "subject", [16, 45]), ["qty"])
 
 
-@query("p11_select_subset", sql("obs", "SELECT subject, task, qty FROM obs WHERE task IN ('1-URGENT', '5-LOW')"))
+@query("p11_select_subset", sql("obs", "SELECT subject, task, round(qty, 7) AS qty FROM obs WHERE task IN ('1-URGENT', '5-LOW')"))
 def _(t):
-    return q.select_subset(t.obs.select("subject", "task", "qty"), "task", [" 1-urgent", "5-low "])
+    return rounded(q.select_subset(t.obs.select("subject", "task", "qty"), "task", [" 1-urgent", "5-low "]), ["qty"])
 
 
 @query("p12_split_by_threshold", sql("obs", """SELECT side, count(*) AS n, round(sum(qty), 4) AS total FROM (
@@ -163,20 +163,21 @@ def _(t):
         "subject", "task", F.round("f1", 6).alias("f1"), F.round("f2", 6).alias("f2"), "num_windows")
 
 
-@query("j6_align", sql("obs", """SELECT subject, hours, num_stimuli, urgent_qty FROM
+@query("j6_align", sql("obs", """SELECT subject, hours, num_stimuli, round(urgent_qty, 7) AS urgent_qty FROM
     (SELECT subject, min(hours) AS hours, count(DISTINCT task) AS num_stimuli FROM obs GROUP BY 1)
     JOIN (SELECT subject, qty AS urgent_qty FROM obs WHERE task = '1-URGENT') USING (subject)"""))
 def _(t):
     view = t.obs.where("task = '1-URGENT'").select("subject", F.col("qty").alias("urgent_qty"))
-    return sub.align(sub.subject_targets(t.obs), view)
+    return rounded(sub.align(sub.subject_targets(t.obs), view), ["urgent_qty"])
 
 
-@query("j7_combine_views", sql("obs", """SELECT coalesce(a.subject, b.subject) AS subject, a.qty AS first__qty,
-    b.qty AS last__qty, b.tax AS last__tax FROM (SELECT * FROM obs WHERE task = '1-URGENT') a
+@query("j7_combine_views", sql("obs", """SELECT coalesce(a.subject, b.subject) AS subject, round(a.qty, 7) AS first__qty,
+    round(b.qty, 7) AS last__qty, round(b.tax, 7) AS last__tax FROM (SELECT * FROM obs WHERE task = '1-URGENT') a
     FULL JOIN (SELECT * FROM obs WHERE task = '5-LOW') b ON a.subject = b.subject"""))
 def _(t):
-    return sub.combine_views({"first": t.obs.where("task = '1-URGENT'").select("subject", "qty"),
-                              "last": t.obs.where("task = '5-LOW'").select("subject", "qty", "tax")})
+    views = {"first": t.obs.where("task = '1-URGENT'").select("subject", "qty"),
+             "last": t.obs.where("task = '5-LOW'").select("subject", "qty", "tax")}
+    return rounded(sub.combine_views(views), ["first__qty", "last__qty", "last__tax"])
 
 
 @query("j8_pair_markers", sql("pairs", "SELECT * FROM pairs"))

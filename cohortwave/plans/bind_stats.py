@@ -14,17 +14,13 @@ from ..operators import relative as r
 from ..operators import segments as s
 from ..operators import subjects as sub
 from ..operators.evaluate import leaderboard
-from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, SPEC, sql
+from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, SPEC, rounded, sql
 from .registry import query
 
 BAND_SETS = {"volume": ["qty", "price"], "rate": ["disc", "tax"]}
 CHANNEL_SETS = {"left": ["qty", "disc"], "right": ["price", "tax"]}
 
 
-def rounded(df, cols, digits=7):
-    return df.withColumns({k: F.round(k, digits) for k in cols})
-
-
 def avgs(cols, digits=7):
     return ", ".join(f"round(avg({k}), {digits}) AS {k}" for k in cols)
 
@@ -110,9 +106,9 @@ def _(t):
 
 
 @query("a12_group_minmax", sql("gaps", union(
-    f"SELECT '{f}' AS feature, min({f}) AS min, max({f}) AS max FROM gaps WHERE hours < 7" for f in FEATURES)))
+    f"SELECT '{f}' AS feature, round(min({f}), 7) AS min, round(max({f}), 7) AS max FROM gaps WHERE hours < 7" for f in FEATURES)))
 def _(t):
-    return g.group_minmax(t.gaps.where("hours < 7"), FEATURES)
+    return rounded(g.group_minmax(t.gaps.where("hours < 7"), FEATURES), ["min", "max"])
 
 
 @query("a13_cluster_summary", sql("obs", """SELECT gender, count(subject) AS n_subjects, round(avg(hours), 7) AS mean_label,

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import bind_segments, bind_stats  # noqa: F401
+from . import bind_evaluate, bind_models, bind_segments, bind_sources, bind_stats  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -30,6 +30,11 @@ SPEC = QualitySpec("subject", "interpolated", "overall", ["ch_a", "ch_b"], 0.2,
 _WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
+def rounded(df: DataFrame, cols, digits: int = 7) -> DataFrame:
+    """Sums of doubles differ in their last digits between engines; results are compared rounded."""
+    return df.withColumns({k: F.round(k, digits) for k in cols})
+
+
 def micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 

@@ -108,13 +108,13 @@ def read_by_manifest(spark: SparkSession, manifest: DataFrame, columns: list[str
 
 
 def read_tolerant(spark: SparkSession, paths, expected: DataFrame, columns: list[str] | None = None,
-                  subject: str = "subject") -> tuple[DataFrame, DataFrame]:
+                  subject: str = "subject", pattern: str = r"([^/]+)/[^/]+$") -> tuple[DataFrame, DataFrame]:
     """The recordings that load, and the expected subjects of which nothing was read."""
     columns = columns or recording_columns()
     spark_paths = paths if isinstance(paths, list) else [paths]
     reader = (spark.read.schema(_text_schema(columns)).option("header", True).option("mode", "PERMISSIVE")
               .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True))
-    rows = reader.csv(spark_paths).withColumn("subject", subject_from_path())
+    rows = reader.csv(spark_paths).withColumn("subject", subject_from_path(pattern))
     first = F.trim(F.col(f"`{columns[0]}`"))
     loaded = rows.where(first.isNull() | (first != columns[0])).select("subject", *_numbers(rows, columns))
     seen = loaded.where(F.col(spark_name(columns[0])).isNotNull()).select(F.col("subject").alias(subject)).distinct()

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] = (), mode: str = "overwrite") -> None:
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        # names and texts are kept as they are, spaces included
+        writer = writer.option("header", True).option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
