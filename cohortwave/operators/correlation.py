@@ -4,41 +4,68 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
 from ..functions.tails import pearson_p
+from .products import matrix_sums
 from .quantiles import quantile_agg
 from .segments import first_known
 
-PAIRS_PER_PASS = 1_000
+CONSTANT = 1e-13  # spread below this share of the mean is rounding of a constant column
 
 
-def _corr_pairs(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Long (a, b, r): every pair of one pass over the rows in the same aggregate."""
-    chunks = []
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[start:start + PAIRS_PER_PASS]
-        cells = F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), safe_corr(F.col(a), F.col(b)).alias("r"))
-            for a, b in part
-        ])
-        chunks.append(df.agg(cells.alias("cells")).select(F.inline("cells")))
-    return reduce(DataFrame.unionByName, chunks)
+def pair_products(centre: np.ndarray):
+    """Kernel for matrix_sums: counts, sums, squares and products of every pair of columns,
+    each over the rows that have both."""
+    def kernel(block: np.ndarray) -> np.ndarray:
+        seen = (~np.isnan(block)).astype(float)
+        x = np.where(seen > 0, block - centre, 0.0)
+        return np.concatenate([m.ravel() for m in (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)])
+
+    return kernel
+
+
+def _pairwise(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Long (a, b, r) over all ordered pairs of columns from one scan."""
+    k = len(cols)
+    means = df.agg(*[F.expr(f"avg(`{c}`)") for c in cols]).first()
+    centre = np.array([0.0 if m is None else float(m) for m in means])
+    rows = df.selectExpr("0 AS _all", *[f"CAST(`{c}` AS DOUBLE) AS x{i}" for i, c in enumerate(cols)])
+    sums = matrix_sums(rows, ["_all"], [f"x{i}" for i in range(k)], pair_products(centre))
+
+    def run(batches):
+        for pdf in batches:
+            for values in pdf["values"]:
+                n, s, q, p = np.asarray(values, float).reshape(4, k, k)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    spread = q - s * s / n      # of column i over the rows that also have j
+                    r = (p - s * s.T / n) / np.sqrt(spread * spread.T)
+                flat = spread <= n * (CONSTANT * np.abs(centre)[:, None]) ** 2
+                known = (n >= 2) & ~flat & ~flat.T & np.isfinite(r)
+                yield pd.DataFrame({"a": np.repeat(cols, k), "b": np.tile(cols, k),
+                                    "r": pd.Series(r.ravel()).where(pd.Series(known.ravel()), None)})
+
+    return sums.mapInPandas(run, "a string, b string, r double")
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Full symmetric matrix in long form; each unordered pair is computed once."""
-    upper = _corr_pairs(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]])
-    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    cells = F.when(F.col("a") == F.col("b"), F.slice(both, 1, 1)).otherwise(both)
-    return upper.select(F.explode(cells).alias("c"), "r").select("c.a", "c.b", "r")
+    """Full symmetric matrix in long form."""
+    return _pairwise(df, cols)
+
+
+def _long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
+    """One row per feature value: a handful of sums per key then does for any number of features."""
+    rows = df.selectExpr(*[f"`{c}`" for c in ids], *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features])
+    return rows.unpivot(ids, features, "feature", "_x")
 
 
 def corr_with_target(df: DataFrame, features: list[str], label: str = "hours") -> DataFrame:
-    r = _corr_pairs(df, [(f, label) for f in features])
-    return r.select(F.col("a").alias("feature"), "r").orderBy("r", "feature")
+    long = _long(df.withColumn("_y", F.col(label)), ["_y"], features)
+    return long.groupBy("feature").agg(safe_corr(F.col("_x"), F.col("_y")).alias("r")).orderBy("r", "feature")
 
 
 def corr_strength(corr: DataFrame, cuts: tuple[float, ...] = (0.20, 0.30, 0.40)) -> DataFrame:
@@ -49,7 +76,7 @@ def corr_strength(corr: DataFrame, cuts: tuple[float, ...] = (0.20, 0.30, 0.40))
 
 
 def corr_block(df: DataFrame, left: list[str], right: list[str]) -> DataFrame:
-    r = _corr_pairs(df, [(a, b) for a in left for b in right])
+    r = _pairwise(df, [*left, *right]).where(F.col("a").isin(left) & F.col("b").isin(right))
     return r.select(F.col("a").alias("feature"), F.col("b").alias("metric"), "r")
 
 
@@ -61,9 +88,9 @@ def corr_block_region(block: DataFrame, regions: dict[str, list[str]]) -> DataFr
 
 
 def corr_by_group(df: DataFrame, by: str, features: list[str], label: str = "hours", min_n: int = 5) -> DataFrame:
-    wide = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"),
-                              *[safe_corr(F.col(f), F.col(label)).alias(f) for f in features])
-    return wide.where(F.col("n") > min_n).unpivot([by, "n"], features, "feature", "r")
+    long = _long(df, [by, label], features)
+    return (long.groupBy(by, "feature").agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("_x"), F.col(label)).alias("r"))
+            .where(F.col("n") > min_n))
 
 
 def task_corr(df: DataFrame, features: list[str], label: str = "hours", min_n: int = 10,
@@ -71,11 +98,10 @@ def task_corr(df: DataFrame, features: list[str], label: str = "hours", min_n: i
     """Per task and feature: r with the label over subjects that have every feature."""
     means = df.groupBy(task, subject).agg(*[F.avg(f).alias(f) for f in features],
                                           first_known(label, [label]).alias(label))
-    wide = (means.dropna(subset=[*features, label]).groupBy(task)
-            .agg(F.count(F.lit(1)).alias("n"),
-                 *[safe_corr(F.col(f), F.col(label)).alias(f) for f in features])
+    whole = _long(means.dropna(subset=[*features, label]), [task, label], features)
+    long = (whole.groupBy(task, "feature")
+            .agg(F.count(F.lit(1)).alias("n"), safe_corr(F.col("_x"), F.col(label)).alias("r"))
             .where(F.col("n") >= min_n))
-    long = wide.unpivot([task, "n"], features, "feature", "r")
     return long.withColumn("p", pearson_p(F.col("r"), F.col("n"))) if with_p else long
 
 

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .products import add_rows, matrix_sums
 from .scale import attach, materialise
 
 MAX_FEATURES = 1_000
@@ -108,6 +109,17 @@ def pls_beta(g: Gram, components: int) -> np.ndarray:
     return beta
 
 
+def cross_products(centre: np.ndarray):
+    """Kernel for matrix_sums: p sums, then the upper triangle of the cross products."""
+    upper = np.triu_indices(len(centre))
+
+    def kernel(block: np.ndarray) -> np.ndarray:
+        x = block - centre
+        return np.concatenate([x.sum(axis=0), (x.T @ x)[upper]])
+
+    return kernel
+
+
 def unpack(n: float, values: np.ndarray, centre: np.ndarray) -> Gram:
     """The sums of one table row: p sums, then the upper triangle of the cross products."""
     p = len(centre)
@@ -123,28 +135,23 @@ class Sums:
         if len(features) > MAX_FEATURES:
             raise ValueError(f"cross products are meant for at most {MAX_FEATURES} features")
         cols = [*features, y]
-        means = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        means = df.agg(*[F.expr(f"avg(`{c}`)") for c in cols]).first()
         self.centre = np.array([float(m) for m in means])
         self.fold = fold
-        p = len(cols)
-        x = [f"x{i}" for i in range(p)]
-        shifted = df.select(F.col(fold).alias("_fold"), (F.col(inner) if inner else F.lit(0)).cast("int").alias("_inner"),
-                            *[(F.col(c) - F.lit(float(m))).alias(n) for c, m, n in zip(cols, self.centre, x)])
-        pairs = [(i, j) for i in range(p) for j in range(i, p)]
-        self.names = [*x, *[f"q{i}_{j}" for i, j in pairs]]
-        self.table = materialise(shifted.groupBy("_fold", "_inner").agg(
-            F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(c).alias(c) for c in x],
-            *[F.sum(F.col(x[i]) * F.col(x[j])).alias(f"q{i}_{j}") for i, j in pairs]))
+        rows = df.selectExpr(f"`{fold}` AS _fold", f"CAST({f'`{inner}`' if inner else '0'} AS INT) AS _inner",
+                             *[f"CAST(`{c}` AS DOUBLE) AS x{i}" for i, c in enumerate(cols)])
+        self.table = materialise(matrix_sums(rows, ["_fold", "_inner"], [f"x{i}" for i in range(len(cols))],
+                                             cross_products(self.centre)))
 
     def totals(self) -> dict[int, Gram]:
         """Sums over all folds per inner fold."""
-        rows = self.table.groupBy("_inner").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in self.names]).collect()
-        return {r["_inner"]: unpack(r["n"], np.array([r[c] for c in self.names], float), self.centre) for r in rows}
+        rows = materialise(add_rows(self.table, ["_inner"])).collect()
+        return {r["_inner"]: unpack(r["n"], np.array(r["values"], float), self.centre) for r in rows}
 
     def solve(self, solver) -> DataFrame:
         """(fold, _b0, _b, details): ``solver`` gets the train set's sums per inner fold."""
-        totals, centre, names = self.totals(), self.centre, self.names
-        cell = F.struct("_inner", "n", F.array(*names).alias("values"))
+        totals, centre = self.totals(), self.centre
+        cell = F.struct("_inner", "n", "values")
         folds = self.table.groupBy("_fold").agg(F.collect_list(cell).alias("cells"))
         kind = dict(self.table.dtypes)["_fold"]
 
@@ -171,8 +178,8 @@ def _total(parts: dict) -> Gram:
 
 def _predict(df: DataFrame, features: list[str], fold: str, rules: DataFrame, out: str) -> DataFrame:
     """Apply each fold's intercept and slopes to the rows of that fold."""
-    dot = sum((F.col(f) * F.get("_b", F.lit(i)) for i, f in enumerate(features)), F.col("_b0"))
-    return attach(df, rules, [fold]).withColumn(out, dot).drop("_b0", "_b")
+    dot = " + ".join(["_b0", *[f"`{f}` * _b[{i}]" for i, f in enumerate(features)]])
+    return attach(df, rules, [fold]).withColumn(out, F.expr(dot)).drop("_b0", "_b")
 
 
 def ridge(df: DataFrame, features: list[str], y: str, alpha: float, fold: str, out: str = "predicted") -> DataFrame:
@@ -219,7 +226,7 @@ def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=Non
                            .groupBy("_fold").agg(F.min_by("_alpha", F.struct("_e", "_alpha")).alias("_alpha")))
 
     for r in sums.table.toLocalIterator():
-        g = total - unpack(r["n"], np.array([r[c] for c in sums.names], float), sums.centre)
+        g = total - unpack(r["n"], np.array(r["values"], float), sums.centre)
         xx, xy, mean, scale = g.standardised()
         values, vectors = np.linalg.eigh(xx)
         middle = mean + g.centre
@@ -233,7 +240,7 @@ def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=Non
     for t in tables[1:]:
         best = best.unionByName(t)
 
-    centre, names = sums.centre, sums.names
+    centre = sums.centre
 
     def run(batches):
         for pdf in batches:
@@ -244,7 +251,7 @@ def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=Non
                 rows.append((key, intercept, slopes.tolist(), f"alpha={alpha:.6g}"))
             yield pd.DataFrame(rows, columns=["_fold", "_b0", "_b", "details"])
 
-    chosen = sums.table.select("_fold", "n", F.array(*names).alias("values")).join(best, "_fold")
+    chosen = sums.table.select("_fold", "n", "values").join(best, "_fold")
     rules = chosen.mapInPandas(run, f"_fold {kind}, _b0 double, _b array<double>, details string")
     return _predict(df, features, fold, rules.withColumnRenamed("_fold", fold), out)
 
