@@ -151,11 +151,10 @@ def code_map(c: Column, codes: dict, default=None) -> Column:
     return case if default is None else case.otherwise(default)
 
 
-def row_mean(*cols: Column) -> Column:
-    """Mean over columns, missing ones left out; missing when all are."""
-    total = sum((F.coalesce(c, F.lit(0.0)) for c in cols), F.lit(0.0))
-    present = sum((c.isNotNull().cast("int") for c in cols), F.lit(0))
-    return F.when(present > 0, total / present)
+def row_mean(*cols: str) -> Column:
+    """Mean over the named columns, missing ones left out; missing when all are."""
+    cells = F.filter(F.array(*cols), lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x), F.size(cells).cast("double"))
 
 
 def safe_name(task: Column) -> Column:

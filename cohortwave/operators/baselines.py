@@ -38,28 +38,27 @@ def standardize(df: DataFrame, features: list[str], fold: str | None = None, ddo
     Sums are taken around the overall mean, so subtracting a fold keeps its digits. A constant
     feature is only centred.
     """
-    centre = df.agg(*[F.avg(f).alias(f"c{i}") for i, f in enumerate(features)]).first()
-    shifted = {f: F.col(f) - F.lit(centre[f"c{i}"]) for i, f in enumerate(features)}
     keyed = df if fold else df.withColumn("_fold", F.lit(1))
     key = fold or "_fold"
-    parts = materialise(keyed.groupBy(key).agg(*[a for f in features for a in (
-        F.count(f).alias(f"_n_{f}"), F.coalesce(F.sum(shifted[f]), F.lit(0.0)).alias(f"_s_{f}"),
-        F.coalesce(F.sum(shifted[f] * shifted[f]), F.lit(0.0)).alias(f"_q_{f}"))]))
-    total = parts.agg(*[F.sum(f"_{k}_{f}").alias(f"{k}{i}") for i, f in enumerate(features) for k in "nsq"]).first()
-
-    def fitted(i: int, f: str):
+    means = df.agg(*[F.expr(f"avg(`{f}`)") for f in features]).first()
+    # a feature without any value is only centred, which leaves it missing
+    centre = {f: 0.0 if m is None else float(m) for f, m in zip(features, means)}
+    shifted = {f: f"(`{f}` - ({m!r}D))" for f, m in centre.items()}
+    parts = materialise(keyed.groupBy(key).agg(*[F.expr(e) for f in features for e in (
+        f"count(`{f}`) AS `_n_{f}`", f"coalesce(sum({shifted[f]}), 0D) AS `_s_{f}`",
+        f"coalesce(sum({shifted[f]} * {shifted[f]}), 0D) AS `_q_{f}`")]))
+    total = parts.agg(*[F.expr(f"sum(`_{k}_{f}`)") for f in features for k in "nsq"]).first()
+
+    def fitted(i: int, f: str) -> list[str]:
         own = 1 if fold else 0
-        n, s, q = [F.lit(total[f"{k}{i}"]) - own * F.col(f"_{k}_{f}") for k in "nsq"]
-        n = n.cast("double")
-        mean = F.try_divide(s, n)
-        var = F.try_divide(q - s * mean, n - ddof)
-        return mean, F.when(var > 0, F.sqrt(var)).otherwise(F.lit(1.0))
-
-    stats = parts.select(key, *[c for i, f in enumerate(features) for m, sd in [fitted(i, f)]
-                                for c in (m.alias(f"_m_{f}"), sd.alias(f"_sd_{f}"))])
+        n, s, q = [f"({total[3 * i + j]!r}{'' if k == 'n' else 'D'} - {own} * `_{k}_{f}`)" for j, k in enumerate("nsq")]
+        var = f"try_divide({q} - {s} * try_divide({s}, {n}), {n} - {ddof})"
+        return [f"try_divide({s}, {n}) AS `_m_{f}`", f"IF({var} > 0, sqrt({var}), 1D) AS `_sd_{f}`"]
+
+    stats = parts.selectExpr(f"`{key}`", *[e for i, f in enumerate(features) for e in fitted(i, f)])
     placed = attach(keyed, stats, [key])
-    return placed.withColumns({f: (shifted[f] - F.col(f"_m_{f}")) / F.col(f"_sd_{f}") for f in features}) \
-        .drop(*[f"_{k}_{f}" for f in features for k in ("m", "sd")], *([] if fold else ["_fold"]))
+    return placed.selectExpr(*[f"({shifted[c]} - `_m_{c}`) / `_sd_{c}` AS `{c}`" if c in centre else f"`{c}`"
+                               for c in df.columns])
 
 
 def train_rows(df: DataFrame, fold: str, folds: list) -> DataFrame:

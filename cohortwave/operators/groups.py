@@ -13,11 +13,15 @@ from .scale import GROUP_ROWS, attach, running_counts
 EXACT_GROUP = 8
 
 
+def _long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
+    """One row per feature value: a handful of sums per key then does for any number of features."""
+    rows = df.selectExpr(*[f"`{c}`" for c in ids], *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features])
+    return rows.unpivot(list(ids), features, "feature", "_x")
+
+
 def group_minmax(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
     """Long (by, feature, min, max)."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.min(f).alias("min"), F.max(f).alias("max"))
-                      for f in features])
-    return df.groupBy(*by).agg(cells.alias("cells")).select(*by, F.inline("cells"))
+    return _long(df, by, features).groupBy(*by, "feature").agg(F.min("_x").alias("min"), F.max("_x").alias("max"))
 
 
 def cluster_summary(df: DataFrame, cluster: str, label: str = "hours", subject: str = "subject",
@@ -30,12 +34,9 @@ def cluster_summary(df: DataFrame, cluster: str, label: str = "hours", subject:
 
 def group_mean_sem(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
     """Long (by, feature, mean, sem, n)."""
-    cells = F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.avg(f).alias("mean"),
-                 F.try_divide(F.stddev_samp(f), F.sqrt(F.count(f))).alias("sem"), F.count(f).alias("n"))
-        for f in features
-    ])
-    return df.groupBy(*by).agg(cells.alias("cells")).select(*by, F.inline("cells"))
+    x = F.col("_x")
+    return _long(df, by, features).groupBy(*by, "feature").agg(
+        F.avg(x).alias("mean"), F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x))).alias("sem"), F.count(x).alias("n"))
 
 
 def pairwise_groups(df: DataFrame, group: str) -> DataFrame:
@@ -63,8 +64,7 @@ def mann_whitney(df: DataFrame, group: str, groups: list[str], features: list[st
     1 where a group has fewer than ``min_n`` rows.
     """
     pairs = list(combinations(range(len(groups)), 2))
-    long = (df.where(F.col(group).isin(groups)).select(group, *[F.col(f).cast("double").alias(f) for f in features])
-            .unpivot([group], features, "feature", "_x").where(F.col("_x").isNotNull()))
+    long = _long(df.where(F.col(group).isin(groups)), [group], features).where(F.col("_x").isNotNull())
     sizes = [f"_n{i}" for i in range(len(groups))]
     counts = long.groupBy("feature", "_x").agg(
         *[F.count_if(F.col(group) == g).alias(n) for g, n in zip(groups, sizes)])
@@ -109,16 +109,13 @@ def cohens_d(df: DataFrame, features: list[str], group: str) -> DataFrame:
 
     Sizes are row counts of the groups, missing values included, as the pooled weights are.
     """
+    x = F.col("_x")
     low, high = F.col(group) == 0, F.col(group) == 1
+    x0, x1 = F.when(low, x), F.when(high, x)
     n0, n1 = F.count_if(low), F.count_if(high)
-
-    def cell(f: str):
-        x0, x1 = F.when(low, F.col(f)), F.when(high, F.col(f))
-        pooled = F.sqrt(F.try_divide((n0 - 1) * F.var_samp(x0) + (n1 - 1) * F.var_samp(x1),
-                                     (n0 + n1 - 2).cast("double")))
-        return F.struct(F.lit(f).alias("feature"), F.abs(F.try_divide(F.avg(x0) - F.avg(x1), pooled)).alias("d"))
-
-    return df.agg(F.array(*[cell(f) for f in features]).alias("cells")).select(F.inline("cells"))
+    pooled = F.sqrt(F.try_divide((n0 - 1) * F.var_samp(x0) + (n1 - 1) * F.var_samp(x1), (n0 + n1 - 2).cast("double")))
+    return _long(df, [group], features).groupBy("feature").agg(
+        F.abs(F.try_divide(F.avg(x0) - F.avg(x1), pooled)).alias("d"))
 
 
 def effect_summary(effects: DataFrame) -> DataFrame:
@@ -128,10 +125,9 @@ def effect_summary(effects: DataFrame) -> DataFrame:
 
 def mean_cv(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
     """Mean over features of |std / mean|; a feature with mean 0 is left out."""
-    ratios = F.array(*[F.abs(F.try_divide(F.stddev_samp(f), F.avg(f))) for f in features])
-    kept = df.groupBy(*by).agg(F.filter(ratios, lambda r: r.isNotNull()).alias("_r"))
-    total = F.aggregate("_r", F.lit(0.0), lambda a, r: a + r)
-    return kept.select(*by, F.try_divide(total, F.size("_r").cast("double")).alias("mean_cv"))
+    ratio = F.abs(F.try_divide(F.stddev_samp("_x"), F.avg("_x")))
+    per_feature = _long(df, by, features).groupBy(*by, "feature").agg(ratio.alias("_r"))
+    return per_feature.groupBy(*by).agg(F.avg("_r").alias("mean_cv"))
 
 
 def mean_pairwise_cosine(df: DataFrame, dims: list, by: list[str] = ()) -> DataFrame:
@@ -171,27 +167,29 @@ def histogram(df: DataFrame, col: str, edges: list[float]) -> DataFrame:
 
 def zscore_by(df: DataFrame, key: str, features: list[str], fill: float | None = 0.0) -> DataFrame:
     """(x - mean) / std within the key; 0 where the key has no spread, and ``fill`` for a missing x."""
-    stats = df.groupBy(key).agg(*[F.avg(f).alias(f"_m_{f}") for f in features],
-                                *[F.stddev_samp(f).alias(f"_s_{f}") for f in features])
+    stats = df.groupBy(key).agg(*[F.expr(f"{fn}(`{f}`) AS `_{p}_{f}`") for f in features
+                                  for p, fn in (("m", "avg"), ("s", "stddev_samp"))])
     placed = attach(df, stats, [key], "left")
 
-    def score(f: str):
-        spread = F.col(f"_s_{f}")
-        z = F.when(spread.isNull() | (spread == 0), F.col(f) * 0.0) \
-            .otherwise((F.col(f) - F.col(f"_m_{f}")) / spread)
-        return z if fill is None else F.coalesce(z, F.lit(fill))
+    def score(f: str) -> str:
+        spread = f"`_s_{f}`"
+        z = f"IF({spread} IS NULL OR {spread} = 0, `{f}` * 0D, (`{f}` - `_m_{f}`) / {spread})"
+        return z if fill is None else f"coalesce({z}, {float(fill)}D)"
 
-    return placed.withColumns({f: score(f) for f in features}) \
-        .drop(*[f"_{p}_{f}" for f in features for p in ("m", "s")])
+    wanted = set(features)
+    return placed.selectExpr(*[f"{score(c)} AS `{c}`" if c in wanted else f"`{c}`" for c in df.columns])
 
 
 def zscore_columns(df: DataFrame, features: list[str]) -> DataFrame:
     """z-score over the whole table: one aggregate row read back as literals."""
-    stats = df.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)],
-                   *[F.stddev_samp(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
-    scaled = {f: F.try_divide(F.col(f) - F.lit(stats[f"m{i}"]), F.lit(stats[f"s{i}"]).cast("double"))
-              for i, f in enumerate(features)}
-    return df.withColumns(scaled)
+    stats = df.agg(*[F.expr(f"{fn}(`{f}`)") for f in features for fn in ("avg", "stddev_samp")]).first()
+    moments = {f: (stats[2 * i], stats[2 * i + 1]) for i, f in enumerate(features)}
+
+    def score(f: str) -> str:
+        mean, sd = moments[f]
+        return "CAST(NULL AS DOUBLE)" if not sd else f"(`{f}` - ({mean!r}D)) / {sd!r}D"
+
+    return df.selectExpr(*[f"{score(c)} AS `{c}`" if c in moments else f"`{c}`" for c in df.columns])
 
 
 def top_abs(df: DataFrame, col: str, k: int, ties: list[str]) -> DataFrame:

@@ -92,11 +92,11 @@ def fourier_features(df: DataFrame, features: list[str], n_proj: int = 64, gamma
     rng = np.random.default_rng(seed)
     w = rng.normal(0, np.sqrt(2 * gamma), (n_proj, len(features)))
     b = rng.uniform(0, 2 * np.pi, n_proj)
-    cols = {}
-    for i in range(n_proj):
-        dot = sum((F.col(f) * F.lit(float(v)) for f, v in zip(features, w[i])), F.lit(float(b[i])))
-        cols[f"rff_{i}"] = F.cos(dot) * F.lit(float(np.sqrt(2.0 / n_proj)))
-    return df.withColumns(cols), list(cols)
+    scale = float(np.sqrt(2.0 / n_proj))
+    dots = [" + ".join([f"({float(b[i])!r}D)", *[f"`{f}` * ({float(v)!r}D)" for f, v in zip(features, w[i])]])
+            for i in range(n_proj)]
+    cols = [f"rff_{i}" for i in range(n_proj)]
+    return df.selectExpr("*", *[f"cos({d}) * {scale!r}D AS {c}" for d, c in zip(dots, cols)]), cols
 
 
 def rbf_margin_classifier(projected: list[str], y: str, rows: int, c: float = 1.0, weight: str = "weight",

@@ -1,4 +1,9 @@
-"""Feature views relative to each subject's baseline task."""
+"""Feature views relative to each subject's baseline task.
+
+Views have hundreds of generated columns. They are computed in long form, one row per subject,
+task and feature, so that a few expressions serve any number of features, and turned wide at
+the end. Grouping by (subject, feature) also spreads a subject that holds many rows.
+"""
 
 from __future__ import annotations
 
@@ -9,102 +14,123 @@ from ..functions.scalars import BASELINE_TASK, TASK_FAMILIES, safe_name, signed_
 from .quantiles import quantile_agg
 from .scale import attach, materialise
 
+STATS = ("median", "mean", "std", "iqr")
+
+
+def _long(df: DataFrame, features: list[str], order: tuple[str, ...], subject: str, task: str) -> DataFrame:
+    """subject, task, order columns, feature, value."""
+    ids = list(dict.fromkeys([subject, task, *order]))
+    rows = df.selectExpr(*[f"`{c}`" for c in ids], *[f"CAST(`{f}` AS DOUBLE) AS `{f}`" for f in features])
+    return rows.unpivot(ids, features, "feature", "value")
+
+
+def _wide(df: DataFrame, subject: str, key: str, names: dict[str, list[str]], values: list[str]) -> DataFrame:
+    """One row per subject; ``names`` gives, per value of ``key``, the column name of each of ``values``."""
+    cells = [F.first(v).alias(f"v{i}") for i, v in enumerate(values)]
+    wide = df.groupBy(subject).pivot(key, list(names)).agg(*cells)
+    # a pivot with a single aggregate does not add the aggregate's name
+    given = [[k if len(values) == 1 else f"{k}_v{i}" for i in range(len(values))] for k in names]
+    renamed = {g: n for gs, ns in zip(given, names.values()) for g, n in zip(gs, ns)}
+    return wide.select(F.col(subject), *[F.col(f"`{g}`").alias(n) for g, n in renamed.items()])
+
+
+def _baselines(long: DataFrame, baseline: str, order: tuple[str, ...], subject: str, task: str) -> DataFrame:
+    """(subject, feature, base, has_baseline): the baseline task's value, else the subject's own median.
+
+    A subject with a baseline row keeps that row's value even where it is missing.
+    """
+    is_base = F.col(task) == baseline
+    place = F.when(is_base, F.struct(*(order or (task,))))
+    table = quantile_agg(long, [subject, "feature"], {"_med": ("value", 0.5)}, [
+        F.min_by(F.struct("value"), place).alias("_row"), F.count_if(is_base).alias("_n")])
+    has = F.col("_n") > 0
+    return table.select(subject, "feature", F.when(has, F.col("_row.value")).otherwise(F.col("_med")).alias("base"),
+                        has.alias("has_baseline"))
+
 
 def baseline_lookup(df: DataFrame, features: list[str], baseline: str = BASELINE_TASK, order: tuple[str, ...] = (),
                     subject: str = "subject", task: str = "task") -> DataFrame:
-    """Per subject the baseline-task row, else the subject's own median over all tasks."""
-    base_rows = F.when(F.col(task) == baseline, F.struct(*(order or (task,))))
-    row = F.min_by(F.struct(*features), base_rows)
-    table = quantile_agg(df, [subject], {f"_med_{f}": (f, 0.5) for f in features},
-                         [row.alias("_row"), F.count_if(F.col(task) == baseline).alias("_base_rows")])
-    has = F.col("_base_rows") > 0
-    return table.select(subject, has.alias("has_baseline"), *[
-        F.when(has, F.col(f"_row.{f}")).otherwise(F.col(f"_med_{f}")).alias(f) for f in features])
-
-
-def with_baseline(df: DataFrame, features: list[str], baseline: str = BASELINE_TASK, order: tuple[str, ...] = (),
-                  subject: str = "subject", task: str = "task") -> DataFrame:
-    """The rows with ``_base_<f>``, the plain and the signed-log difference of each feature."""
-    base = baseline_lookup(df, features, baseline, order, subject, task) \
-        .withColumnsRenamed({f: f"_base_{f}" for f in features})
-    placed = attach(df, base, [subject])
+    """One row per subject: the baseline of every feature, and whether it is a baseline-task row."""
+    base = _baselines(_long(df, features, order, subject, task), baseline, order, subject, task)
+    wide = _wide(base, subject, "feature", {f: [f] for f in features}, ["base"])
+    has = base.groupBy(subject).agg(F.bool_or("has_baseline").alias("has_baseline"))
+    return wide.join(has, subject)
+
+
+def differences(df: DataFrame, features: list[str], baseline: str = BASELINE_TASK, order: tuple[str, ...] = (),
+                subject: str = "subject", task: str = "task") -> DataFrame:
+    """Long rows with ``base`` and the plain and signed-log difference from it."""
+    long = _long(df, features, order, subject, task)
+    placed = attach(long, _baselines(long, baseline, order, subject, task), [subject, "feature"])
     return placed.withColumns({
-        **{f"delta__{f}": F.col(f) - F.col(f"_base_{f}") for f in features},
-        **{f"log_delta__{f}": signed_log1p(F.col(f)) - signed_log1p(F.col(f"_base_{f}")) for f in features},
+        "delta": F.col("value") - F.col("base"),
+        "log_delta": signed_log1p(F.col("value")) - signed_log1p(F.col("base")),
     })
 
 
-def _four(prefix: str, source: str, f: str) -> tuple[dict, list[Column], Column]:
-    quantiles = {f"{prefix}_median__{f}": (source, 0.5), f"_q1_{prefix}_{f}": (source, 0.25),
-                 f"_q3_{prefix}_{f}": (source, 0.75)}
-    others = [F.avg(source).alias(f"{prefix}_mean__{f}"), F.stddev_pop(source).alias(f"{prefix}_std__{f}")]
-    iqr = (F.col(f"_q3_{prefix}_{f}") - F.col(f"_q1_{prefix}_{f}")).alias(f"{prefix}_iqr__{f}")
-    return quantiles, others, iqr
+def _four(source: str) -> tuple[dict[str, tuple[str, float]], list[Column]]:
+    return ({f"{source}_median": (source, 0.5), f"_q1_{source}": (source, 0.25), f"_q3_{source}": (source, 0.75)},
+            [F.avg(source).alias(f"{source}_mean"), F.stddev_pop(source).alias(f"{source}_std")])
 
 
-def _summary(df: DataFrame, subject: str, parts: list[tuple[str, str, str]], extra: list[Column]) -> DataFrame:
-    quantiles, others, iqrs, names = {}, [], [], []
-    for prefix, source, f in parts:
-        q, o, iqr = _four(prefix, source, f)
+def _summary(rows: DataFrame, features: list[str], subject: str, sources: dict[str, str],
+             extra: dict[str, Column], stimuli: DataFrame) -> DataFrame:
+    """Four statistics of each source per subject and feature, wide; ``sources``: column -> name prefix."""
+    quantiles, others = {}, []
+    for s in sources:
+        q, o = _four(s)
         quantiles |= q
         others += o
-        iqrs.append(iqr)
-        names += [f"{prefix}_{s}__{f}" for s in ("median", "mean", "std")]
-    table = quantile_agg(df, [subject], quantiles, [*others, *extra])
-    kept = [c for c in table.columns if not c.startswith(("_q1_", "_q3_"))]
-    return table.select(*kept, *iqrs)
+    table = quantile_agg(rows, [subject, "feature"], quantiles, [*others, *[c.alias(k) for k, c in extra.items()]])
+    table = table.withColumns({f"{s}_iqr": F.col(f"_q3_{s}") - F.col(f"_q1_{s}") for s in sources})
+    values = [f"{s}_{k}" for s in sources for k in STATS] + list(extra)
+    names = {f: [f"{p}_{k}__{f}" for p in sources.values() for k in STATS] + [f"{k}__{f}" for k in extra] for f in features}
+    return _wide(table, subject, "feature", names, values).join(stimuli, subject)
 
 
-def raw_summary(df: DataFrame, features: list[str], subject: str = "subject", task: str = "task") -> DataFrame:
-    """Median, mean, std (ddof 0) and IQR of the signed-log features, and the task count."""
-    logged = df.withColumns({f"_log_{f}": signed_log1p(F.col(f)) for f in features})
-    return _summary(logged, subject, [("raw", f"_log_{f}", f) for f in features],
-                    [F.count_distinct(task).alias("meta_num_stimuli")])
+def _stimuli(df: DataFrame, subject: str, task: str, *others: Column) -> DataFrame:
+    return df.groupBy(subject).agg(F.count_distinct(task).alias("meta_num_stimuli"), *others)
 
 
-def _off_baseline(df: DataFrame, baseline: str, subject: str, task: str) -> DataFrame:
-    """Rows of other tasks; a subject with nothing but the baseline keeps it."""
-    only = df.groupBy(subject).agg(F.count_if(F.col(task) != baseline).alias("_others"),
-                                   F.count_distinct(task).alias("meta_num_stimuli"))
-    return attach(df, only, [subject]).where((F.col(task) != baseline) | (F.col("_others") == 0)).drop("_others")
+def raw_summary(df: DataFrame, features: list[str], subject: str = "subject", task: str = "task") -> DataFrame:
+    """Median, mean, std (ddof 0) and IQR of the signed-log features, and the task count."""
+    logged = _long(df, features, (), subject, task).withColumn("raw", signed_log1p(F.col("value")))
+    return _summary(logged, features, subject, {"raw": "raw"}, {}, _stimuli(df, subject, task))
 
 
 def baseline_relative(df: DataFrame, features: list[str], baseline: str = BASELINE_TASK,
                       order: tuple[str, ...] = (), subject: str = "subject", task: str = "task") -> DataFrame:
-    """Statistics of the difference from the baseline, plain and signed-log, and the baseline itself."""
-    rows = materialise(_off_baseline(with_baseline(df, features, baseline, order, subject, task),
-                                     baseline, subject, task))
-    logs = [F.first(signed_log1p(F.col(f"_base_{f}")), ignorenulls=True).alias(f"baseline_log__{f}")
-            for f in features]
-    parts = [(p, f"{p}__{f}", f) for p in ("delta", "log_delta") for f in features]
-    return _summary(rows, subject, parts, [*logs, F.first("meta_num_stimuli").alias("meta_num_stimuli")])
+    """Statistics of the difference from the baseline, plain and signed-log, and the baseline itself.
+
+    Rows of the baseline task are left out, unless a subject has no other.
+    """
+    stimuli = _stimuli(df, subject, task, F.count_if(F.col(task) != baseline).alias("_others"))
+    rows = attach(differences(df, features, baseline, order, subject, task), stimuli.select(subject, "_others"), [subject])
+    rows = materialise(rows.where((F.col(task) != baseline) | (F.col("_others") == 0)))
+    return _summary(rows, features, subject, {"delta": "delta", "log_delta": "log_delta"},
+                    {"baseline_log": signed_log1p(F.first("base"))}, stimuli.drop("_others"))
 
 
 def family_relative(df: DataFrame, features: list[str], families: list = TASK_FAMILIES,
                     baseline: str = BASELINE_TASK, order: tuple[str, ...] = (), subject: str = "subject",
                     task: str = "task") -> DataFrame:
     """Median difference per task family, one set of columns per family."""
-    names = sorted({f for _, f in families if f != "baseline"} | {"other"})
-    rows = with_baseline(df, features, baseline, order, subject, task) \
-        .withColumn("_family", task_family(F.col(task), families, baseline))
-    kinds = [f"{p}__{f}" for p in ("delta", "log_delta") for f in features]
-    cells = {f"_{fam}_{k}": F.when(F.col("_family") == fam, F.col(k)) for fam in names for k in kinds}
-    quantiles = {f"family_{fam}_{k.split('__')[0]}_median__{k.split('__')[1]}": (f"_{fam}_{k}", 0.5)
-                 for fam in names for k in kinds}
-    wide = rows.select(subject, task, *[c.alias(n) for n, c in cells.items()])
-    return quantile_agg(wide, [subject], quantiles, [F.count_distinct(task).alias("meta_num_stimuli")])
+    known = sorted({f for _, f in families if f != "baseline"} | {"other"})
+    rows = differences(df, features, baseline, order, subject, task) \
+        .withColumn("_key", F.concat_ws("__", task_family(F.col(task), families, baseline), "feature"))
+    table = quantile_agg(rows, [subject, "_key"], {k: (k, 0.5) for k in ("delta", "log_delta")})
+    names = {f"{fam}__{f}": [f"family_{fam}_delta_median__{f}", f"family_{fam}_log_delta_median__{f}"]
+             for fam in known for f in features}
+    return _wide(table, subject, "_key", names, ["delta", "log_delta"]).join(_stimuli(df, subject, task), subject)
 
 
 def taskwide_relative(df: DataFrame, features: list[str], tasks: list[str], baseline: str = BASELINE_TASK,
                       order: tuple[str, ...] = (), subject: str = "subject", task: str = "task") -> DataFrame:
     """One signed-log difference per task and feature; of repeated task rows the last one counts."""
-    rows = with_baseline(df, features, baseline, order, subject, task).withColumn("_safe", safe_name(F.col(task)))
+    rows = differences(df, features, baseline, order, subject, task) \
+        .withColumn("_key", F.concat_ws("__", safe_name(F.col(task)), "feature"))
+    last = F.max_by(F.struct("log_delta"), F.struct(*(order or (task,))))
+    table = rows.groupBy(subject, "_key").agg(last.alias("_row")).select(subject, "_key", "_row.log_delta")
     wanted = [t.replace(" ", "_") for t in tasks if t != baseline]
-    last = [
-        F.max_by(F.struct(*[f"log_delta__{f}" for f in features]),
-                 F.when(F.col("_safe") == t, F.struct(*(order or (task,))))).alias(f"_{t}")
-        for t in wanted
-    ]
-    table = rows.groupBy(subject).agg(*last, F.count_distinct(task).alias("meta_num_stimuli"))
-    return table.select(subject, "meta_num_stimuli", *[
-        F.col(f"`_{t}`")[f"log_delta__{f}"].alias(f"task_{t}_log_delta__{f}") for t in wanted for f in features])
+    names = {f"{t}__{f}": [f"task_{t}_log_delta__{f}"] for t in wanted for f in features}
+    return _wide(table, subject, "_key", names, ["log_delta"]).join(_stimuli(df, subject, task), subject)

@@ -101,8 +101,8 @@ def subject_targets(df: DataFrame, label: str = "hours", task: str = "task", sub
 def group_rollup(df: DataFrame, keys: list[str], groups: dict[str, list[str]]) -> DataFrame:
     """Per key and column group (band or channel): the mean of the column means."""
     columns = sorted({c for cols in groups.values() for c in cols})
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in columns])
-    return means.select(*keys, *[row_mean(*[F.col(c) for c in cols]).alias(g) for g, cols in groups.items()])
+    means = df.groupBy(*keys).agg(*[F.expr(f"avg(`{c}`) AS `{c}`") for c in columns])
+    return means.select(*keys, *[row_mean(*cols).alias(g) for g, cols in groups.items()])
 
 
 def dense_grid_median(df: DataFrame, groups: list[str], subject: str = "subject", task: str = "task",

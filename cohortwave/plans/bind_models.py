@@ -134,11 +134,11 @@ def _(t):
 
 @query("m21_compare_views")
 def _(t):
-    views = build_views(t.gaps, FEATURES, [BASELINE, "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], FAMILIES, BASELINE)
+    views = build_views(t.gaps, FEATURES, [BASELINE, "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], FAMILIES, BASELINE,
+                        ["raw_summary", "task_wide_relative"])
     inner = (F.floor(uniform("inner", F.col("subject")) * 3) + 1).cast("int")
     targets = kfold(t.subj.select("subject", "hours"), 3, 42, ["subject"]).withColumn("inner", inner)
-    chosen = {k: views[k] for k in ("raw_summary", "task_wide_relative")}
-    metrics, _ = compare_views(chosen, targets, ["DummyMean", "RidgeCV", "PLSRegression"])
+    metrics, _ = compare_views(views, targets, ["DummyMean", "RidgeCV", "PLSRegression"])
     return rounded(metrics, ["rmse", "mae", "r2", "pearson_r", "prediction_min", "prediction_max"], 4)
 
 

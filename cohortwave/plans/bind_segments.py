@@ -454,7 +454,7 @@ def _(t):
     / (CASE WHEN qty IS NULL THEN 0 ELSE 1 END + CASE WHEN price IS NULL THEN 0 ELSE 1 END
        + CASE WHEN tax IS NULL THEN 0 ELSE 1 END), 7) AS mean FROM gaps"""))
 def _(t):
-    return t.gaps.select("subject", "task", F.round(x.row_mean(F.col("qty"), F.col("price"), F.col("tax")), 7).alias("mean"))
+    return t.gaps.select("subject", "task", F.round(x.row_mean("qty", "price", "tax"), 7).alias("mean"))
 
 
 @query("x15_safe_name", "SELECT p_partkey, replace(p_name, ' ', '_') AS name FROM part")

@@ -414,7 +414,8 @@ TASKS = ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     for k in TASKS for f in FEATURES) + " FROM rel GROUP BY 1"))
 def _(t):
     out = r.taskwide_relative(t.gaps, FEATURES, [BASELINE, *TASKS], BASELINE)
-    return out.select("subject", "meta_num_stimuli", *[F.round(F.col(f"`{k}`"), 7).alias(k) for k in out.columns[2:]])
+    return out.select("subject", "meta_num_stimuli", *[F.round(F.col(f"`{k}`"), 7).alias(k) for k in out.columns
+                                                   if k not in ("subject", "meta_num_stimuli")])
 
 
 @query("a37_subject_targets", sql("obs", "SELECT subject, min(hours) AS hours, count(DISTINCT task) AS num_stimuli FROM obs GROUP BY 1"))

@@ -17,17 +17,25 @@ from ..operators.subjects import align, combine_views
 MODELS = ["DummyMean", "RidgeCV", "ElasticNetFast", "PLSRegression", "RandomForest"]
 
 
-def build_views(df: DataFrame, features: list[str], tasks: list[str], families: list, baseline: str) -> dict[str, DataFrame]:
-    """The five views of a segment table, each one row per subject."""
-    summary = baseline_relative(df, features, baseline)
-    family = family_relative(df, features, families, baseline)
-    return {
-        "raw_summary": raw_summary(df, features),
-        "baseline_relative_summary": summary,
-        "task_family_relative": family,
-        "task_wide_relative": taskwide_relative(df, features, tasks, baseline),
-        "combined_relative": combine_views({"summary": summary, "family": family}),
+VIEWS = ["raw_summary", "baseline_relative_summary", "task_family_relative", "task_wide_relative", "combined_relative"]
+
+
+def build_views(df: DataFrame, features: list[str], tasks: list[str], families: list, baseline: str,
+                names: list[str] = VIEWS) -> dict[str, DataFrame]:
+    """The named views of a segment table, each one row per subject."""
+    parts: dict[str, DataFrame] = {}
+    if "baseline_relative_summary" in names or "combined_relative" in names:
+        parts["summary"] = baseline_relative(df, features, baseline)
+    if "task_family_relative" in names or "combined_relative" in names:
+        parts["family"] = family_relative(df, features, families, baseline)
+    make = {
+        "raw_summary": lambda: raw_summary(df, features),
+        "baseline_relative_summary": lambda: parts["summary"],
+        "task_family_relative": lambda: parts["family"],
+        "task_wide_relative": lambda: taskwide_relative(df, features, tasks, baseline),
+        "combined_relative": lambda: combine_views(parts),
     }
+    return {n: make[n]() for n in names}
 
 
 def predict_view(table: DataFrame, features: list[str], models: list[str], label: str, trees: int, depth: int) -> DataFrame:
@@ -70,9 +78,10 @@ def compare_views(views: dict[str, DataFrame], targets: DataFrame, models: list[
         table = materialise(align(targets.select("subject", label, "fold", "inner"), view))
         # short names: generated ones are long, and dots or spaces in them need quoting
         wide = [c for c in table.columns if c not in ("subject", label, "fold", "inner")]
-        short = {c: f"f{i}" for i, c in enumerate(wide)}
-        table = table.withColumnsRenamed(short).withColumns({c: F.col(c).cast("double") for c in short.values()})
-        p = predict_view(table, list(short.values()), models or MODELS, label, trees, depth)
+        short = [f"f{i}" for i in range(len(wide))]
+        table = table.selectExpr("subject", label, "fold", "inner",
+                                 *[f"CAST(`{c}` AS DOUBLE) AS {s}" for c, s in zip(wide, short)])
+        p = predict_view(table, short, models or MODELS, label, trees, depth)
         parts.append(p.withColumn("view", F.lit(name)))
         widths.append((name, len(wide)))
     predictions = parts[0]
