@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import attach, fits_broadcast, hot_groups, running_counts
+from .scale import attach, fits_broadcast, hot_groups, materialise, running_counts
 
 QUANTILE_ROWS = 100_000  # rows of a group the built-in percentile may buffer
 
@@ -21,12 +21,20 @@ Quantiles = dict[str, tuple[str, float]]  # output name -> (column, share)
 
 
 def quantile_agg(df: DataFrame, keys: list[str], quantiles: Quantiles,
-                 others: list[Column] = (), limit: int = QUANTILE_ROWS) -> DataFrame:
-    """One row per group with exact quantiles and any further aggregates."""
+                 others: list[Column] = (), limit: int = QUANTILE_ROWS,
+                 sized_by: tuple[DataFrame, list[str]] | None = None) -> DataFrame:
+    """One row per group with exact quantiles and any further aggregates.
+
+    ``sized_by`` names a cheaper frame and keys whose groups are at least as large as these:
+    where none of those is large, the groups here need not be counted.
+    """
     if not keys:
         return quantile_agg(df.withColumn("_all", F.lit(1)), ["_all"], quantiles, others, limit).drop("_all")
     built_in = [F.percentile(c, p).alias(out) for out, (c, p) in quantiles.items()]
-    hot = hot_groups(df, keys, limit)
+    hot = hot_groups(*sized_by, limit) if sized_by else hot_groups(df, keys, limit)
+    if hot is not None and sized_by:
+        df = materialise(df)
+        hot = hot_groups(df, keys, limit)
     if hot is None:
         return df.groupBy(*keys).agg(*built_in, *others)
 
@@ -57,8 +65,6 @@ def _bracketed(df: DataFrame, keys: list[str], quantiles: Quantiles, largest: in
 
 def _bracket_pass(df: DataFrame, keys: list[str], quantiles: Quantiles, accuracy: int,
                   slack: float) -> tuple[DataFrame, bool]:
-    from .scale import materialise
-
     specs = list(quantiles.values())
     infinity = F.lit(float("inf"))
 
