@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import quantile_agg
-from .scale import attach, materialise
+from .scale import attach, settle
 
 
 def dummy_mean_cv(df: DataFrame, fold: str, y: str, out: str = "predicted") -> DataFrame:
     """Mean label of the other folds for every row: total minus own fold."""
-    sums = materialise(df.groupBy(fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n")))
+    sums = settle(df.groupBy(fold).agg(F.sum(y).alias("_s"), F.count(y).alias("_n")))
     total = sums.agg(F.sum("_s").alias("s"), F.sum("_n").alias("n")).first()
     mean = F.try_divide(F.lit(total["s"]) - F.coalesce(F.col("_s"), F.lit(0.0)),
                         (F.lit(total["n"]) - F.col("_n")).cast("double"))
@@ -20,7 +20,7 @@ def dummy_mean_cv(df: DataFrame, fold: str, y: str, out: str = "predicted") -> D
 
 def dummy_majority_cv(df: DataFrame, fold: str, y: str, out: str = "predicted_label") -> DataFrame:
     """Most frequent class of the other folds; equal counts go to the first label."""
-    counts = materialise(df.where(F.col(y).isNotNull()).groupBy(fold, y).agg(F.count(F.lit(1)).alias("_n")))
+    counts = settle(df.where(F.col(y).isNotNull()).groupBy(fold, y).agg(F.count(F.lit(1)).alias("_n")))
     totals = counts.groupBy(y).agg(F.sum("_n").alias("_t"))
     classes = totals.agg(F.array_sort(F.collect_list(F.struct(F.col(y).alias("label"), F.col("_t").alias("n"))))
                          .alias("_all"))
@@ -44,7 +44,7 @@ def standardize(df: DataFrame, features: list[str], fold: str | None = None, ddo
     # a feature without any value is only centred, which leaves it missing
     centre = {f: 0.0 if m is None else float(m) for f, m in zip(features, means)}
     shifted = {f: f"(`{f}` - ({m!r}D))" for f, m in centre.items()}
-    parts = materialise(keyed.groupBy(key).agg(*[F.expr(e) for f in features for e in (
+    parts = settle(keyed.groupBy(key).agg(*[F.expr(e) for f in features for e in (
         f"count(`{f}`) AS `_n_{f}`", f"coalesce(sum({shifted[f]}), 0D) AS `_s_{f}`",
         f"coalesce(sum({shifted[f]} * {shifted[f]}), 0D) AS `_q_{f}`")]))
     total = parts.agg(*[F.expr(f"sum(`_{k}_{f}`)") for f in features for k in "nsq"]).first()
@@ -94,7 +94,7 @@ def one_hot(df: DataFrame, col: str, values: list[str] | None = None, limit: int
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Weight n / (classes x n_class) on every row."""
-    sizes = materialise(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = settle(df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")))
     total = sizes.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     if not total["k"]:
         raise ValueError(f"{label} has no classes")

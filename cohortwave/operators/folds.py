@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
 from .sampling import DRAW_SLOTS, random_rank
-from .scale import attach, materialise
+from .scale import attach, materialise, settle
 
 
 def kfold(df: DataFrame, k: int, seed: int, key: list[str], out: str = "fold") -> DataFrame:
@@ -37,7 +37,7 @@ def group_kfold(df: DataFrame, group: str, k: int, out: str = "fold") -> DataFra
     A group larger than an even share takes a fold of its own; the others are dealt to the
     remaining folds by size, there and back.
     """
-    sizes = materialise(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = settle(df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")))
     total = sizes.agg(F.sum("_n")).first()[0]
     large = sizes.where(F.col("_n") * k > total).count()  # fewer than k by arithmetic
     large = min(large, k - 1)

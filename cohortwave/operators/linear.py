@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .products import add_rows, matrix_sums
-from .scale import attach, materialise
+from .scale import attach, settle
 
 MAX_FEATURES = 1_000
 PATH_FOLDS = 32  # folds whose eigenvectors travel with one scan of ridge_path
@@ -140,12 +140,12 @@ class Sums:
         self.fold = fold
         rows = df.selectExpr(f"`{fold}` AS _fold", f"CAST({f'`{inner}`' if inner else '0'} AS INT) AS _inner",
                              *[f"CAST(`{c}` AS DOUBLE) AS x{i}" for i, c in enumerate(cols)])
-        self.table = materialise(matrix_sums(rows, ["_fold", "_inner"], [f"x{i}" for i in range(len(cols))],
+        self.table = settle(matrix_sums(rows, ["_fold", "_inner"], [f"x{i}" for i in range(len(cols))],
                                              cross_products(self.centre)))
 
     def totals(self) -> dict[int, Gram]:
         """Sums over all folds per inner fold."""
-        rows = materialise(add_rows(self.table, ["_inner"])).collect()
+        rows = settle(add_rows(self.table, ["_inner"])).collect()
         return {r["_inner"]: unpack(r["n"], np.array(r["values"], float), self.centre) for r in rows}
 
     def solve(self, solver) -> DataFrame:
@@ -221,7 +221,7 @@ def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=Non
             cells = [(f, float(alphas[i]), v) for f, e in errors.items() for i, v in enumerate(e)]
             yield pd.DataFrame(cells, columns=["_fold", "_alpha", "_e"])
 
-        return materialise(df.select(fold, *features, y).mapInPandas(run, f"_fold {kind}, _alpha double, _e double")
+        return settle(df.select(fold, *features, y).mapInPandas(run, f"_fold {kind}, _alpha double, _e double")
                            .groupBy("_fold", "_alpha").agg(F.sum("_e").alias("_e"))
                            .groupBy("_fold").agg(F.min_by("_alpha", F.struct("_e", "_alpha")).alias("_alpha")))
 

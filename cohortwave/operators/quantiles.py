@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scale import attach, fits_broadcast, hot_groups, materialise, running_counts
+from .scale import attach, fits_broadcast, hot_groups, materialise, running_counts, settle
 
 QUANTILE_ROWS = 100_000  # rows of a group the built-in percentile may buffer
 
@@ -39,8 +39,7 @@ def quantile_agg(df: DataFrame, keys: list[str], quantiles: Quantiles,
         return df.groupBy(*keys).agg(*built_in, *others)
 
     largest = hot.agg(F.max("_n")).first()[0]
-    hot_keys = hot.drop("_n")
-    hot_keys = F.broadcast(hot_keys) if fits_broadcast(hot_keys) else hot_keys
+    hot_keys = F.broadcast(hot.drop("_n")) if fits_broadcast(hot) else hot.drop("_n")
     cold = df.join(hot_keys, keys, "left_anti").groupBy(*keys).agg(*built_in, *others)
     hot_rows = df.join(hot_keys, keys, "left_semi")
     answer = _bracketed(hot_rows, keys, quantiles, largest, limit)
@@ -78,7 +77,7 @@ def _bracket_pass(df: DataFrame, keys: list[str], quantiles: Quantiles, accuracy
         *[bound(c, p + slack).alias(f"_hi{i}") for i, (c, p) in enumerate(specs)],
     )
     placed = attach(df, bounds, keys)
-    ranks = materialise(
+    ranks = settle(
         placed.groupBy(*keys).agg(
             F.array(*[
                 F.struct(F.lit(i).alias("_q"), F.lit(float(p)).alias("_p"), F.count(c).alias("_n"),
@@ -107,7 +106,7 @@ def _bracket_pass(df: DataFrame, keys: list[str], quantiles: Quantiles, accuracy
         at(F.floor(rank)).alias("_v0"), at(F.ceil(rank)).alias("_v1"),
     )
     share = F.col("_p") * (F.col("_n") - 1) - F.floor(F.col("_p") * (F.col("_n") - 1))
-    answer = materialise(
+    answer = settle(
         ranks.select(*keys, "_q", F.col("_n").alias("_total"))
         .join(picked, keys + ["_q"], "left")
         .select(*keys, "_q", "_total",

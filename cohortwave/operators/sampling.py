@@ -28,7 +28,7 @@ def random_rank(df: DataFrame, by: list[str], seed: int, key: list[str], out: st
     offsets = counts.select(*by, "_slot", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"),
                             F.sum("_c").over(group).alias("_total"))
     within = Window.partitionBy(*by, "_slot").orderBy("_u", *key)
-    ranked = attach(drawn.withColumn("_r", F.row_number().over(within)), offsets, [*by, "_slot"])
+    ranked = attach(drawn.withColumn("_r", F.row_number().over(within)), offsets, [*by, "_slot"], salts=1)
     ranked = ranked.withColumn(out, F.col("_before") + F.col("_r"))
     if size:
         ranked = ranked.withColumn(size, F.col("_total"))
@@ -114,11 +114,11 @@ def augment_uniform(df: DataFrame, minority: Column, features: list[str], n: int
     for c in categories:
         values, size = _numbered(low, F.col(c).cast("string"), key, seed)
         pick = F.floor(uniform(f"{seed}-{c}", i) * size).cast("long")
-        made = attach(made.withColumn("_pick", pick), values.withColumnRenamed("_value", c), ["_pick"]).drop("_pick")
+        made = attach(made.withColumn("_pick", pick), values.withColumnRenamed("_value", c), ["_pick"], salts=1).drop("_pick")
     subjects = low.select(F.col(subject).cast("string").alias("_s")).where(F.col("_s").isNotNull()).distinct()
     values, size = _numbered(subjects, F.col("_s"), ["_s"], seed)
     made = attach(made.withColumn("_pick", F.floor(uniform(f"{seed}-subject", i) * size).cast("long")),
-                  values.withColumnRenamed("_value", "_source"), ["_pick"])
+                  values.withColumnRenamed("_value", "_source"), ["_pick"], salts=1)
     name = F.concat(F.lit("SYNTH_LOW_"), F.when(F.length(i.cast("string")) < 4, F.lpad(i.cast("string"), 4, "0"))
                     .otherwise(i.cast("string")), F.lit("_FROM_"), F.col("_source"))
     return made.withColumn(subject, name).select(subject, *categories, *features, label)

@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can read; a local folder is made up in local mode only."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if path is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     if path is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
@@ -35,16 +37,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: later uses neither recompute nor drift."""
+    """Write rows once to the shared folder and read them back: columns can still be pruned, and
+    later uses neither recompute nor drift."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _mark(spark.read.schema(df.schema).parquet(path))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """The same for a table of one row per group, as a checkpoint, which is quicker for few rows."""
+    if getattr(df, "_written", False):
+        return df
+    shared_dir(df.sparkSession)
+    return _mark(df.checkpoint(eager=True))
+
+
+def _mark(df: DataFrame) -> DataFrame:
+    df._written = True
+    return df
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    bound = min(rows, BROADCAST_CELLS // max(1, len(df.columns)))
-    return df.limit(bound + 1).count() <= bound
+    """Whether a written table is small enough; counting it reads no columns."""
+    return df.count() <= min(rows, BROADCAST_CELLS // max(1, len(df.columns)))
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -52,11 +68,14 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
     """Join a per-group table on the rows it describes.
 
     The small side is written first, so its size is known: below the bound it is broadcast
-    and the rows do not move; above it each key is split over ``salts`` join keys.
+    and the rows do not move; above it each key is split over ``salts`` join keys (1 where no
+    key can hold many rows).
     """
-    small = materialise(small)
+    small = settle(small)
     if fits_broadcast(small, rows):
         return big.join(F.broadcast(small), on, how)
+    if salts == 1:
+        return big.join(small, on, how)
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
     return salted.join(copies, on + ["_salt"], how).drop("_salt")
@@ -65,7 +84,7 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
 def hot_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     """Groups above ``limit`` rows with their size ``_n``, or None when there are none."""
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    hot = materialise(hot)
+    hot = settle(hot)
     return None if hot.isEmpty() else hot
 
 
@@ -80,8 +99,7 @@ def _with_buckets(df: DataFrame, keys: list[str], order: str, hot: DataFrame, li
     parts = math.ceil(largest / limit) * 2
     shares = [i / parts for i in range(1, parts)]
     cuts = (
-        df.join(F.broadcast(hot.drop("_n")) if fits_broadcast(hot) else hot.drop("_n"),
-                keys, "left_semi")
+        df.join(F.broadcast(hot.drop("_n")) if fits_broadcast(hot) else hot.drop("_n"), keys, "left_semi")
         .groupBy(*keys)
         .agg(F.percentile_approx(order, shares, max(10_000, 20 * parts)).alias("_cuts"))
     )
@@ -121,7 +139,7 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "ro
     cut = _with_buckets(df, keys, order[_level], hot, limit, bucket)
     numbered = row_numbers(cut, keys + [bucket], order, out, limit, _level + 1)
     offsets = _bucket_offsets(cut, keys, bucket, {offset: F.count(F.lit(1))})
-    return (attach(numbered, offsets, keys + [bucket])
+    return (attach(numbered, offsets, keys + [bucket], salts=1)
             .withColumn(out, F.col(out) + F.col(offset)).drop(bucket, offset))
 
 
@@ -140,6 +158,6 @@ def running_counts(df: DataFrame, keys: list[str], order: str, weights: list[str
         return df.select("*", *before(keys))
     cut = _with_buckets(df, keys, order, hot, limit, "_b")
     offsets = _bucket_offsets(cut, keys, "_b", {f"_{c}": F.sum(c) for c in weights})
-    within = attach(cut.select("*", *before(keys + ["_b"])), offsets, keys + ["_b"])
+    within = attach(cut.select("*", *before(keys + ["_b"])), offsets, keys + ["_b"], salts=1)
     shifted = {f"{c}_before": F.col(f"{c}_before") + F.col(f"_{c}") for c in weights}
     return within.withColumns(shifted).drop("_b", *[f"_{c}" for c in weights])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_key, segment_key
 from .quantiles import quantile_agg
-from .scale import attach, fits_broadcast, materialise, row_numbers
+from .scale import attach, fits_broadcast, row_numbers, settle
 
 SEGMENT_BROADCAST_ROWS = 100_000
 
@@ -64,7 +64,7 @@ def segment_join(rec: DataFrame, seg: DataFrame, subject: str = "subject", ts: s
     their mean duration (at most three pieces per segment on average) and joined on
     (subject, time slot), which also spreads a subject that holds most of the rows.
     """
-    seg = materialise(seg)
+    seg = settle(seg)
     inside = F.col(ts).between(F.col("t_start"), F.col("t_end"))
     if fits_broadcast(seg, rows):
         return rec.join(F.broadcast(seg), subject, "inner").where(inside)

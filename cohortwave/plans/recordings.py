@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_key, segment_key
 from ..operators.quality import QualitySpec, quality_mask, row_attrition
-from ..operators.scale import attach, materialise
+from ..operators.scale import attach, materialise, settle
 from ..operators.segments import (
     allowed_only, meta_aggregates, pair_markers, segment_join, segment_median, segment_status, valid_segments,
     window_index, with_window_keys,
@@ -34,8 +34,8 @@ def build_segments(rec: DataFrame, markers: DataFrame, meta: DataFrame, allowed:
     """
     checked = materialise(quality_mask(rec, spec))
     clean = checked.where("ok").drop("ok")
-    markers = materialise(attach(markers, meta.select("subject").distinct(), ["subject"], "left_semi"))
-    pairs = materialise(pair_markers(clean, marker=marker, ts=ts))
+    markers = settle(attach(markers, meta.select("subject").distinct(), ["subject"], "left_semi"))
+    pairs = settle(pair_markers(clean, marker=marker, ts=ts))
     kept = allowed_only(markers, allowed).join(valid_segments(pairs), ["subject", "marker_id"])
     cut = segment_join(clean.select("subject", ts, *tie, *features),
                        kept.select("subject", "marker_id", "task", "t_start", "t_end"), ts=ts)
