@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,9 +83,9 @@ def split_feature(name: Column) -> tuple[Column, Column]:
 
 
 def _contains_any(c: Column, words: list[str]) -> Column:
-    if not words:
-        return F.lit(False)
-    return F.lower(F.coalesce(c.cast("string"), F.lit(""))).rlike("|".join(re.escape(w) for w in words))
+    # plain substring tests are several times quicker on long texts than one pattern of them all
+    text = F.lower(F.coalesce(c.cast("string"), F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
 def keyword_category(name: Column, description: Column, domain: Column,

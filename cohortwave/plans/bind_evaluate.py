@@ -105,12 +105,15 @@ def _(t):
     return v.safe_k(t.labels, "toxic", 60)
 
 
-@query("v4_group_kfold", f"""WITH sizes AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
+GROUPED = f"""WITH sizes AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1),
     big AS (SELECT least(count(*) FILTER (WHERE n * 5 > (SELECT sum(n) FROM sizes)), 4) AS h FROM sizes),
     ranked AS (SELECT user_id, h, row_number() OVER (ORDER BY n DESC, {U(0, 'user_id')}, user_id) AS r FROM sizes, big),
     dealt AS (SELECT user_id, CASE WHEN r <= h THEN r WHEN ((r - 1 - h) // (5 - h)) % 2 = 0 THEN h + (r - 1 - h) % (5 - h) + 1
       ELSE h + (5 - h) - 1 - (r - 1 - h) % (5 - h) + 1 END AS fold FROM ranked)
-    SELECT event_id, user_id, CAST(fold AS INTEGER) AS fold FROM events JOIN dealt USING (user_id)""")
+    SELECT event_id, user_id, CAST(fold AS INTEGER) AS fold FROM events JOIN dealt USING (user_id)"""
+
+
+@query("v4_group_kfold", GROUPED)
 def _(t):
     return v.group_kfold(t.events.select("event_id", "user_id"), "user_id", 5)
 
@@ -149,7 +152,7 @@ def _(t):
     return v.leakage_check(v.kfold(t.orders.select("o_custkey", "o_orderkey"), 5, 42, ["o_orderkey"]), "fold", "o_custkey")
 
 
-@query("v9_leakage_check_grouped", "SELECT user_id, event_id AS folds FROM events WHERE false")
+@query("v9_leakage_check_grouped", f"SELECT user_id, count(DISTINCT fold) AS folds FROM ({GROUPED}) GROUP BY 1 HAVING count(DISTINCT fold) > 1")
 def _(t):
     return v.leakage_check(v.group_kfold(t.events.select("event_id", "user_id"), "user_id", 5), "fold", "user_id")
 

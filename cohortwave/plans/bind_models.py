@@ -183,12 +183,14 @@ def _(t):
     return g.cluster_summary(clusters, "cluster")
 
 
-@query("m27_pca", sql("subj", """WITH z AS (SELECT """ + ", ".join(
+@query("m27_pca_lengths", sql("subj", """WITH z AS (SELECT subject, """ + ", ".join(
     f"({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () AS {f}" for f in FEATURES) + """ FROM subj)
-    SELECT count(*) AS n FROM z"""))
+    SELECT subject, round(qty * qty + price * price + disc * disc + tax * tax, 6) AS squared_length FROM z"""))
 def _(t):
-    pcs = m.pca(t.subj.select("subject", *FEATURES), FEATURES, 2)
-    return pcs.where(F.col("pc1").isNotNull() & F.col("pc2").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    """All components together keep the length of every standardised row."""
+    pcs = m.pca(t.subj.select("subject", *FEATURES), FEATURES, 4)
+    length = sum((F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(1, 5)), F.lit(0.0))
+    return pcs.select("subject", F.round(length, 6).alias("squared_length"))
 
 
 @query("m27_pca_components")

@@ -233,7 +233,7 @@ def _(t):
 
 
 @query("a25_ols_line", sql("gaps", """SELECT round(regr_slope(hours, tax), 7) AS slope,
-    round(regr_intercept(hours, tax), 7) AS intercept, regr_count(hours, tax) AS n FROM gaps"""))
+    round(regr_intercept(hours, tax), 7) AS intercept, CAST(regr_count(hours, tax) AS BIGINT) AS n FROM gaps"""))
 def _(t):
     return rounded(c.ols_line(t.gaps, "tax", "hours"), ["slope", "intercept"])
 
