@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,16 +71,25 @@ def train_rows(df: DataFrame, fold: str, folds: list) -> DataFrame:
         .where(F.col("train_for") != F.col(fold))
 
 
+FOLDS_PER_SCAN = 100  # train sets formed at once when each needs its own medians
+
+
+def _chunks(items: Iterable, size: int) -> Iterator[list]:
+    items = iter(items)
+    while some := list(islice(items, size)):
+        yield some
+
+
 def impute_median(df: DataFrame, features: list[str], fold: str | None = None, folds: list | None = None) -> DataFrame:
     """Missing values become the interpolated median of the train rows."""
     if fold is None:
         medians = quantile_agg(df, [], {f: (f, 0.5) for f in features}).first().asDict()
         return df.fillna({f: v for f, v in medians.items() if v is not None})
-    folds = folds or [r[0] for r in df.select(fold).distinct().limit(1001).collect()]
-    if len(folds) > 1000:
-        raise ValueError("medians per train set are meant for a short list of folds")
-    medians = quantile_agg(train_rows(df.select(fold, *features), fold, folds), ["train_for"],
-                           {f"_med_{f}": (f, 0.5) for f in features})
+    narrow = df.select(fold, *features)
+    wanted = folds or (r[0] for r in settle(df.select(fold).distinct()).toLocalIterator())
+    parts = [quantile_agg(train_rows(narrow, fold, some), ["train_for"], {f"_med_{f}": (f, 0.5) for f in features})
+             for some in _chunks(wanted, FOLDS_PER_SCAN)]
+    medians = reduce(DataFrame.unionByName, parts)
     placed = attach(df, medians.withColumnRenamed("train_for", fold), [fold])
     return placed.withColumns({f: F.coalesce(f, f"_med_{f}") for f in features}) \
         .drop(*[f"_med_{f}" for f in features])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import exact_u_p, normal_p
+from .products import matrix_sums
 from .scale import GROUP_ROWS, attach, running_counts
 
 EXACT_GROUP = 8
@@ -130,24 +132,29 @@ def mean_cv(df: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame
     return per_feature.groupBy(*by).agg(F.avg("_r").alias("mean_cv"))
 
 
-def mean_pairwise_cosine(df: DataFrame, dims: list, by: list[str] = ()) -> DataFrame:
+def _unit_sums(block: np.ndarray) -> np.ndarray:
+    """Kernel for matrix_sums: the sum of the unit rows, and how many rows have a direction."""
+    x = np.nan_to_num(block)
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    unit = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+    return np.append(unit.sum(axis=0), float((norm > 0).sum()))
+
+
+def mean_pairwise_cosine(df: DataFrame, dims: list[str], by: list[str] = ()) -> DataFrame:
     """Mean cosine over all row pairs of a group without forming a pair.
 
     With unit rows u and s = sum u the mean is (|s|^2 - sum |u|^2) / (n (n - 1)). A missing
-    value counts as 0 and an all-zero row as the zero vector. ``dims`` holds one column
-    expression per dimension.
+    value counts as 0 and an all-zero row as the zero vector. ``dims`` holds one SQL expression
+    per dimension.
     """
-    cells = [F.coalesce(F.expr(d).cast("double") if isinstance(d, str) else d, F.lit(0.0)) for d in dims]
-    named = df.select(*by, F.array(*cells).alias("_v"))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = named.withColumn("_norm", norm)
-    sums = unit.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_norm") > 0).alias("_units"),
-        F.array(*[F.sum(F.coalesce(F.try_divide(F.get("_v", F.lit(i)), F.col("_norm")), F.lit(0.0)))
-                  for i in range(len(dims))]).alias("_s"))
-    length = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x * x)
-    n = F.col("n").cast("double")
-    return sums.select(*by, "n", F.try_divide(length - F.col("_units"), n * (n - 1)).alias("mean_cosine"))
+    cols = [f"_x{i}" for i in range(len(dims))]
+    rows = df.selectExpr(*([f"`{c}`" for c in by] or ["1 AS _all"]),
+                         *[f"CAST({d} AS DOUBLE) AS {c}" for d, c in zip(dims, cols)])
+    sums = matrix_sums(rows, list(by) or ["_all"], cols, _unit_sums)
+    units = F.get("values", F.lit(len(dims)))
+    length = F.aggregate(F.slice("values", 1, len(dims)), F.lit(0.0), lambda a, x: a + x * x)
+    n = F.col("n")
+    return sums.select(*by, n.cast("long").alias("n"), F.try_divide(length - units, n * (n - 1)).alias("mean_cosine"))
 
 
 def histogram(df: DataFrame, col: str, edges: list[float]) -> DataFrame:

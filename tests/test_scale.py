@@ -93,6 +93,31 @@ def test_ranks_of_hot_groups(skewed):
     assert rows_of(plain, "feature", "u", "n1", "n2") == rows_of(split, "feature", "u", "n1", "n2")
 
 
+def test_matrix_sums_hand_on_early(spark, skewed, monkeypatch):
+    from cohortwave.operators import products
+    rows = skewed.where("x is not null").select("g", "x", "y")
+    kernel = lambda block: block.sum(axis=0)
+    want = {r["g"]: r for r in rows.groupBy("g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.count("x").alias("n")).collect()}
+    for keep in (products.KEEP_BYTES, 1):
+        monkeypatch.setattr(products, "KEEP_BYTES", keep)
+        got = products.matrix_sums(rows, ["g"], ["x", "y"], kernel).collect()
+        assert len(got) == len(want)
+        for r in got:
+            w = want[r["g"]]
+            assert r["n"] == w["n"] and r["values"] == pytest.approx([w["x"], w["y"]])
+
+
+def test_medians_of_train_sets_in_chunks(spark, skewed, monkeypatch):
+    from cohortwave.operators import baselines
+    rows = skewed.withColumn("fold", F.pmod(F.col("id"), F.lit(7)).cast("int"))
+    plain = baselines.impute_median(rows, ["x"], "fold")
+    monkeypatch.setattr(baselines, "FOLDS_PER_SCAN", 2)
+    assert rows_of(plain, "id", "x") == rows_of(baselines.impute_median(rows, ["x"], "fold"), "id", "x")
+    first = rows.where("fold <> 0").agg(F.median("x")).first()[0]
+    filled = plain.join(rows.where("x is null").select("id"), "id").where("fold = 0").first()["x"]
+    assert filled == pytest.approx(first)
+
+
 def test_draws_do_not_depend_on_partitions(skewed):
     one = sampling.random_rank(skewed.repartition(1), ["g"], 42, ["id"])
     many = sampling.random_rank(skewed.repartition(13), ["g"], 42, ["id"], slots=3)
