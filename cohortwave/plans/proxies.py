@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_label, uniform
@@ -35,6 +35,19 @@ def rounded(df: DataFrame, cols, digits: int = 7) -> DataFrame:
     return df.withColumns({k: F.round(k, digits) for k in cols})
 
 
+GRID = 2 ** 36
+
+
+def on_grid(x: Column) -> Column:
+    """To a multiple of 2^-36: equal values stay equal whatever the order of a sum, and unlike a
+    decimal grid it has no points halfway between the decimals results are rounded to."""
+    return F.floor(x * F.lit(float(GRID)) + 0.5) / F.lit(float(GRID))
+
+
+def grid(x: str) -> str:
+    return f"floor({x} * {GRID}::DOUBLE + 0.5) / {GRID}::DOUBLE"
+
+
 def micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
@@ -139,7 +152,7 @@ class Tables:
                                         F.col("o_orderpriority").alias("task"))
             joined = per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             means = joined.groupBy("subject", "task").agg(
-                *[F.round(F.sqrt(F.sum(f) / F.sum("n")), 10).alias(f) for f in cols], F.sum("n").alias("n_rows"))
+                *[on_grid(F.sqrt(F.sum(f) / F.sum("n"))).alias(f) for f in cols], F.sum("n").alias("n_rows"))
             return means.join(self.meta, "subject")
 
         return self._once("obs", build)
@@ -218,9 +231,9 @@ CTES = {
         FROM clean c JOIN pairs p ON c.subject = p.subject AND c.ts BETWEEN p.t_start AND p.t_end
         JOIN markers m ON m.subject = p.subject AND m.marker_id = p.marker_id WHERE p.t_end > p.t_start)""",
     "meta": """meta AS (SELECT c_custkey AS subject, c_acctbal / 1000 AS hours, c_mktsegment AS gender FROM customer)""",
-    "obs": """obs AS (SELECT o_custkey AS subject, o_orderpriority AS task, round(sqrt(avg(l_quantity * l_quantity)), 10) AS qty,
-        round(sqrt(avg((l_extendedprice / 1000) * (l_extendedprice / 1000))), 10) AS price,
-        round(sqrt(avg(l_discount * l_discount)), 10) AS disc, round(sqrt(avg(l_tax * l_tax)), 10) AS tax,
+    "obs": f"""obs AS (SELECT o_custkey AS subject, o_orderpriority AS task, {grid('sqrt(avg(l_quantity * l_quantity))')} AS qty,
+        {grid('sqrt(avg((l_extendedprice / 1000) * (l_extendedprice / 1000)))')} AS price,
+        {grid('sqrt(avg(l_discount * l_discount))')} AS disc, {grid('sqrt(avg(l_tax * l_tax))')} AS tax,
         count(*) AS n_rows, any_value(c_acctbal) / 1000 AS hours, any_value(c_mktsegment) AS gender
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         GROUP BY o_custkey, o_orderpriority)""",
