@@ -66,25 +66,26 @@ def ridge_beta(g: Gram, alpha: float) -> np.ndarray:
     return np.linalg.solve(xx + alpha * np.eye(len(xy)), xy)
 
 
-def elastic_net_beta(g: Gram, alpha: float, l1_ratio: float, rounds: int = 20_000, tol: float = 1e-6) -> np.ndarray:
-    """Coordinate descent on the cross products for 1/(2n)|y-Zb|^2 + penalty, until no slope
-    moves by more than ``tol`` of the largest one."""
+def elastic_net_beta(g: Gram, alpha: float, l1_ratio: float, rounds: int = 20_000, tol: float = 1e-7) -> np.ndarray:
+    """Accelerated proximal gradient on the cross products for 1/(2n)|y-Zb|^2 + penalty, until no
+    slope moves by more than ``tol`` of the largest one."""
     xx, xy, _, _ = g.standardised()
     xx, xy = xx / g.n, xy / g.n
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    beta = np.zeros(len(xy))
-    left = xy.copy()  # xy - xx beta, kept up to date
+    step = 1.0 / (float(np.linalg.eigvalsh(xx)[-1]) + l2)
+    beta = ahead = np.zeros(len(xy))
+    momentum = 1.0
     for _ in range(rounds):
-        change = 0.0
-        for j in range(len(beta)):
-            rho = left[j] + xx[j, j] * beta[j]
-            step = np.sign(rho) * max(abs(rho) - l1, 0.0) / max(xx[j, j] + l2, 1e-12) - beta[j]
-            if step:
-                beta[j] += step
-                left -= step * xx[j]
-                change = max(change, abs(step))
-        if change <= tol * np.abs(beta).max(initial=0.0):
-            break
+        moved = ahead - step * (xx @ ahead - xy + l2 * ahead)
+        new = np.sign(moved) * np.maximum(np.abs(moved) - l1 * step, 0.0)
+        change = new - beta
+        if np.abs(change).max(initial=0.0) <= tol * np.abs(new).max(initial=0.0):
+            return new
+        if (ahead - new) @ change > 0:  # overshot: start the momentum anew
+            momentum = 1.0
+        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        ahead = new + (momentum - 1) / following * change
+        beta, momentum = new, following
     return beta
 
 
