@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names
 from ..functions import scalars as x
 from ..functions.tails import pearson_p
 from ..operators import correlation as c
 from ..operators import groups as g
 from ..operators import quality as q
 from ..operators import relative as r
-from ..operators import segments as s
 from ..operators import subjects as sub
 from ..operators.evaluate import leaderboard
 from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, SPEC, rounded, sql

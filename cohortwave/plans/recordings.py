@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clean_key, segment_key
+from ..functions.scalars import segment_key
 from ..operators.quality import QualitySpec, quality_mask, row_attrition
 from ..operators.scale import attach, materialise, settle
 from ..operators.segments import (
@@ -52,7 +52,3 @@ def build_segments(rec: DataFrame, markers: DataFrame, meta: DataFrame, allowed:
         medians.withColumn("segment_id", segment_key(F.col("task"), F.col("subject"))),
         diagnostics,
     )
-
-
-def clean_task_names(df: DataFrame, task: str = "task") -> DataFrame:
-    return df.withColumn(task, clean_key(F.col(task)))
