@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, warc
+from . import minhash, mixing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,9 @@ FROM p LEFT JOIN g USING (digest)"""
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives with revisit records, read back and reassembled."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_minhash_fingerprints")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of whole documents and of their edited texts, and how near neighbours are."""
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
