@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, warc
+from . import minhash, mixing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of whole documents and of their edited texts, and how near neighbours are."""
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_simhash_groups")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the smallest id that it can be linked to."""
+    return simhash.groups(table(spark, sf_dir, "documents"))
