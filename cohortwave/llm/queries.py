@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, simhash, warc
+from . import minhash, mixing, packing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's SimHash and the smallest id that it can be linked to."""
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_pack_sequences")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in sequences of at most 4096."""
+    return packing.report(table(spark, sf_dir, "documents"), tokenizer_file())
