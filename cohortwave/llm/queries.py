@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, simhash, warc
+from . import ann, minhash, mixing, packing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +108,9 @@ def tokenizer_file() -> str:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in sequences of at most 4096."""
     return packing.report(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query("op5_nearest_by_codes")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
