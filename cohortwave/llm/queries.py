@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, minhash, mixing, packing, pii, quality, simhash, toxicity, warc
+from . import ann, minhash, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in all documents."""
     return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_repeats")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes covered by 400-byte strings that occur again."""
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))

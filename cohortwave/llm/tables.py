@@ -104,16 +104,17 @@ def per_partition(rows: int, most: int) -> int:
     return max(1, math.ceil(rows / most))
 
 
-def join_skewed(rows: DataFrame, values: DataFrame, key: str, count: str, most: int = 2000) -> DataFrame:
+def join_skewed(rows: DataFrame, values: DataFrame, key: str | list[str], count: str, most: int = 2000) -> DataFrame:
     """Inner join of written rows with one row per key, which holds the key's number of rows in ``count``.
 
     Keys that hold more than a ``most``-th of all rows are fewer than ``most``: they are broadcast and their rows
     stay where they are. All others are joined by a shuffle, in which none is hot.
     """
+    keys = [key] if isinstance(key, str) else key
     total = values.agg(F.sum(count)).first()[0] or 0
     large = values.where(F.col(count) * most > total)
-    names = [c for c in values.columns if c not in (key, count)]
-    near = rows.join(F.broadcast(large.select(key, *names)), key)
-    far = (rows.join(F.broadcast(large.select(key)), key, "left_anti")
-           .join(values.where(F.col(count) * most <= total).select(key, *names), key))
+    names = [c for c in values.columns if c not in (*keys, count)]
+    near = rows.join(F.broadcast(large.select(*keys, *names)), keys)
+    far = (rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+           .join(values.where(F.col(count) * most <= total).select(*keys, *names), keys))
     return near.unionByName(far)
