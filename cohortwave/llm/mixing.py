@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import attach, draw, fits_broadcast, key_of, materialise, positions, settle, threshold
+from .tables import attach, draw, key_of, materialise, positions, settle, threshold
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -62,10 +62,10 @@ def water_fill(sources: DataFrame, size: str, weight: str, share: float, max_epo
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text",
          weights: Sequence[int] = WEIGHTS, share: float = TOTAL_SHARE, max_epochs: int = MAX_EPOCHS,
-         seed: int = SEED) -> DataFrame:
-    """(__id, __source, __size, __draw, __source_size, __target, __whole, __last): a row per document.
+         seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Documents as (__id, __key, __size, __draw), and per source (__key, __source_size, __target, __whole, __last).
 
-    A document is taken ``__whole`` times, and once more if ``__draw <= __last``.
+    ``__key`` names the source. A document is taken ``__whole`` times, and once more if ``__draw <= __last``.
     """
     sized = materialise(docs.select(
         F.col(doc_id).alias("__id"), F.col(source).alias("__source"), key_of(F.col(source)).alias("__key"),
@@ -76,8 +76,8 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     targets = settle(targets.withColumn("__whole", whole.cast("long")).withColumn(
         "__rest", F.col("__target") - F.col("__whole") * F.col("__source_size")))
     last = threshold(sized, targets, "__key", "__draw", "__size", "__rest", "__last")
-    each = targets.join(last, "__key").select("__key", "__source_size", "__target", "__whole", "__last")
-    return attach(sized, each, ["__key"], "inner").drop("__key")
+    return sized.drop("__source"), settle(
+        targets.join(last, "__key").select("__key", "__source_size", "__target", "__whole", "__last"))
 
 
 def repeats() -> Column:
@@ -86,7 +86,7 @@ def repeats() -> Column:
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per document: its size, its source's size and target, and the words the mix takes."""
-    return plan(docs, **options).select(
+    return attach(*plan(docs, **options), ["__key"]).select(
         F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"), (F.col("__size") * repeats()).cast("long").alias("taken"))
 
@@ -98,11 +98,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
 
     Only a few numbers per source are joined to the rows, so texts do not move when sources are few.
     """
-    each = settle(plan(docs, doc_id, source, text, weights, share, max_epochs, seed)
-                  .groupBy(key_of(F.col("__source")).alias("__key"))
-                  .agg(F.max("__whole").alias("__whole"), F.max("__last").alias("__last")))
+    _, each = plan(docs, doc_id, source, text, weights, share, max_epochs, seed)
     rows = docs.withColumns({"__key": key_of(F.col(source)), "__draw": draw(seed, F.col(doc_id))})
-    rows = rows.join(F.broadcast(each), "__key") if fits_broadcast(each) else attach(rows, each, ["__key"])
+    taken = attach(rows, each.select("__key", "__whole", "__last"), ["__key"]).withColumn("__times", repeats())
     copies = F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))
-    return (rows.withColumn("__times", repeats()).where("__times > 0").withColumn("__copy", copies)
-            .select(*docs.columns))
+    return taken.where("__times > 0").withColumn("__copy", copies).select(*docs.columns)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import ann, minhash, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,16 +100,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
-def tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op8_pack_sequences")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids in sequences of at most 4096."""
-    return packing.report(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.report(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_file())
 
 
 @query("op5_nearest_by_codes")
@@ -138,3 +134,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes covered by 400-byte strings that occur again."""
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents filtered, deduplicated, redacted, mixed and packed."""
+    return corpus_pipeline.run(spark, sf_dir)
