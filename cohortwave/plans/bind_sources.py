@@ -9,19 +9,29 @@ from ..operators.scale import materialise
 from ..operators.subjects import profile
 from ..sources import readers as r
 from ..sources import writers as w
-from .files import chunk, new_folder, write_titled
+from ..sources.heads import listed
+from .files import chunk, copy_compressed, new_folder, write_titled
 from .proxies import rounded, sql
 from .registry import query
 
 COLUMNS = ["Timestamp", "MarkerIndex", "EEG.Interpolated", "CQ.Overall", "CQ.AF3", "POW.AF3.Theta"]
 
 
-def _recordings(t) -> str:
-    """Folders subject=<id>/chunk=<n>, one file each; a missing feature is written as NaN or as text."""
+def _recordings(t, name: str = "recordings") -> str:
+    """Folders <export>/subject=<id>/chunk=<n>, one file each, of two exports that differ in order and further columns.
+
+    A missing feature is written as NaN or as text.
+    """
     rec = t.marked.withColumn("chunk", chunk(t.marked, "subject", "event_id"))
     theta = F.when(F.col("f1").isNotNull(), F.col("f1").cast("string")).when(F.col("value") < 10, "NaN").otherwise("bad")
-    cells = [F.col("ts"), F.col("marker"), F.col("interpolated"), F.col("overall"), F.col("ch_a"), theta]
-    return write_titled(rec, new_folder(t.spark, "recordings"), ["subject", "chunk"], ",".join(COLUMNS), cells)
+    cells = dict(zip(COLUMNS, [F.col("ts"), F.col("marker"), F.col("interpolated"), F.col("overall"), F.col("ch_a"), theta]))
+    cells |= {"EEG.Counter": F.col("event_id"), "EEG.AF3": F.lit(4200)}
+    root = new_folder(t.spark, name)
+    orders = {"plain": [COLUMNS[0], "EEG.Counter", *COLUMNS[1:3], "EEG.AF3", *COLUMNS[3:]], "turned": [*COLUMNS[::-1], "EEG.AF3"]}
+    for i, (export, names) in enumerate(orders.items()):
+        write_titled(rec.where(F.col("subject") % 2 == i), f"{root}/{export}", ["subject", "chunk"], ",".join(names),
+                     [cells[n] for n in names])
+    return f"{root}/*"
 
 
 SUBJECT_DIR = r"subject=([^/]+)/"
@@ -82,25 +92,44 @@ def _(t):
     return rows.select(r.subject_from_path(r"user_id=([^/]+)/").alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def _by_manifest(t):
+    """A folder with a space, and customers without events whose file does not exist."""
+    root = _recordings(t, "all recordings")
+    files = listed(t.spark, f"{root}/*/*/*.txt").select(F.regexp_replace("file", "%20", " ").alias("Data_File"))
+    known = files.select(F.regexp_extract("Data_File", SUBJECT_DIR, 1).alias("Subject_ID"), "Data_File")
+    absent = (t.meta.join(t.events.select(F.col("user_id").alias("subject")).distinct(), "subject", "left_anti")
+              .select(F.col("subject").cast("string").alias("Subject_ID"),
+                      F.concat(F.lit(root.removesuffix("/*") + "/absent/"), F.col("subject")).alias("Data_File")))
+    return r.read_by_manifest(t.spark, materialise(known.unionByName(absent)), COLUMNS)
+
+
+WITHOUT_EVENTS = "SELECT CAST(c_custkey AS VARCHAR) AS subject FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"
+
+
 @query("s6_read_by_manifest", sql("marked", PER_SUBJECT))
 def _(t):
-    root = _recordings(t)
-    files = t.spark.read.text(f"{root}/*/*/*.txt").select(F.col("_metadata.file_path").alias("Data_File")).distinct()
-    manifest = materialise(files.select(F.regexp_extract("Data_File", SUBJECT_DIR, 1).alias("Subject_ID"), "Data_File"))
-    return _per_subject(r.read_by_manifest(t.spark, manifest, COLUMNS))
+    return _per_subject(_by_manifest(t)[0])
+
+
+@query("s6_manifest_without_file", WITHOUT_EVENTS)
+def _(t):
+    return _by_manifest(t)[1].select("subject")
 
 
-@query("s7_read_tolerant", "SELECT CAST(c_custkey AS VARCHAR) AS subject FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+@query("s7_read_tolerant", sql("marked", """SELECT subject, rows, reason FROM (
+    SELECT CAST(subject AS VARCHAR) AS subject, CASE WHEN subject % 10 <> 0 THEN count(*) END AS rows,
+      CASE WHEN subject % 10 = 0 THEN 'cut' END AS reason FROM marked GROUP BY subject)
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), CAST(NULL AS BIGINT), 'no file' FROM customer
+    WHERE c_custkey NOT IN (SELECT user_id FROM events)"""))
 def _(t):
-    """Subjects of the metadata for whom nothing was read."""
-    path = new_folder(t.spark, "tolerant")
-    cells = ["ts", "marker", "interpolated", "overall", "ch_a", "f1"]
-    w.write_table(t.marked.select(*[F.col(c).alias(n.replace(".", "_")) for c, n in zip(cells, COLUMNS)], "subject"),
-                  path, "csv", ["subject"])
+    """Subjects that load, whole; those with a cut file or none, with the reason."""
+    whole = f"{_recordings(t, 'whole')}/*/*/*.txt"
+    path = copy_compressed(t.spark, whole, new_folder(t.spark, "tolerant"), SUBJECT_DIR, 10)
     expected = t.meta.select(F.col("subject").cast("string").alias("subject"))
-    _, skipped = r.read_tolerant(t.spark, f"{path}/*/*.csv", expected, [c.replace(".", "_") for c in COLUMNS],
-                                 pattern=SUBJECT_DIR)
-    return skipped
+    loaded, skipped = r.read_tolerant(t.spark, f"{path}/*/*.gz", expected, COLUMNS, pattern=SUBJECT_DIR)
+    counts = loaded.groupBy("subject").agg(F.count(F.lit(1)).alias("rows")).withColumn("reason", F.lit(None).cast("string"))
+    reason = F.when(F.col("reason") == "no file", "no file").otherwise("cut")
+    return counts.unionByName(skipped.select("subject", F.lit(None).cast("long").alias("rows"), reason.alias("reason")))
 
 
 @query("s8_read_features", "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import re
 import uuid
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +41,24 @@ def write_titled(df: DataFrame, path: str, folder: list[str], header: str, cells
     (body.unionByName(heads).repartition(*folder).sortWithinPartitions(*folder, "_place")
      .select(*folder, "value").write.partitionBy(*folder).text(path))
     return path
+
+
+def copy_compressed(spark, paths: str, folder: str, subject_pattern: str, cut_every: int) -> str:
+    """Compressed copies of the files; those of every ``cut_every``-th subject end in the middle."""
+    def run(batches):
+        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for pdf in batches:
+            names = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                subject = re.search(subject_pattern, path)[1]
+                data = gzip.compress(bytes(content), 1)
+                name = f"subject={subject}/{uuid.uuid4().hex}.gz"
+                store.create_dir(f"{base}/subject={subject}", recursive=True)
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(data[: len(data) // 2] if int(subject) % cut_every == 0 else data)
+                names.append(name)
+            yield pd.DataFrame({"name": names})
+
+    spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "name string").agg(
+        F.count("name")).collect()
+    return folder

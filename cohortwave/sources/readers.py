@@ -6,13 +6,15 @@ title line above the header line.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import metric_columns, power_columns, quality_columns, spark_name
 from ..functions.scalars import clean_key, nan_to_null, to_double
-from ..operators.scale import BROADCAST_ROWS, attach
+from ..operators.scale import attach, settle
+from .heads import by_name, heads, listed, split_header
 
 TIME, MARKER, INTERPOLATED, OVERALL = "Timestamp", "MarkerIndex", "EEG.Interpolated", "CQ.Overall"
 
@@ -21,64 +23,103 @@ def recording_columns() -> list[str]:
     return [TIME, MARKER, INTERPOLATED, OVERALL, *quality_columns(), *power_columns(), *metric_columns()]
 
 
-def subject_from_path(pattern: str = r"([^/]+)/[^/]+$") -> Column:
+SUBJECT_FOLDER = r"([^/]+)/[^/]+$"
+
+
+def subject_from_path(pattern: str = SUBJECT_FOLDER) -> Column:
     """Subject id from the folder a file lies in, in upper case."""
     return F.upper(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
 
 
 def resolve_root(spark: SparkSession, *roots: str) -> str:
     """The first root that exists, on whatever file system it names."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        if path.getFileSystem(conf).exists(path):
+        try:
+            spark.read.format("binaryFile").load(root)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        else:
             return root
     raise FileNotFoundError(f"none of {list(roots)} exists")
 
 
-def _text_schema(names: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
-def _titled_csv(spark: SparkSession, paths, columns: list[str], sep: str = ",") -> DataFrame:
-    """All-text rows of files whose line 1 is a title and line 2 the header.
+def _named_csv(spark: SparkSession, paths, columns: list[str], sep: str = ",", titled: bool = True,
+               found: DataFrame | None = None) -> DataFrame:
+    """The wanted columns, as text, of files that may differ in what else they hold and in what order.
 
-    The reader skips line 1 of every file as its header, with a declared schema; the true
-    header then shows up as one row per file and is dropped.
+    With ``titled`` line 1 is a title and line 2 the header. The heads of all files are read first; there are as many
+    branches as different headers. A file without a wanted column is an error that names both. Adds ``_path``.
     """
-    reader = (spark.read.schema(_text_schema(columns)).option("header", True).option("sep", sep)
-              .option("enforceSchema", True).option("mode", "PERMISSIVE"))
-    rows = reader.csv(paths).withColumn("_path", F.col("_metadata.file_path"))
+    if found is None:
+        found = heads(listed(spark, paths), 1 if titled else 0)
+    found = settle(found)
+    kinds = [r[0] for r in found.where("header is not null").select("header").distinct().orderBy("header").collect()]
+    headers = [split_header(h, sep) for h in kinds]
+    lacking = [(i, [c for c in columns if c not in h]) for i, h in enumerate(headers)]
+    for i, names in lacking:
+        if names:
+            example = found.where(F.col("header") == kinds[i]).first()["file"]
+            raise ValueError(f"{example} has no column {', '.join(names)}")
+    if not headers:
+        return spark.createDataFrame([], _text_schema([*columns, "_path"])).withColumn("_block", F.lit(0).cast("long"))
+    width = max(map(len, headers))
+    rows = (spark.read.schema(_text_schema([f"_c{i}" for i in range(width)])).option("header", True).option("sep", sep)
+            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
+            .csv(paths).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")))
+    kind = F.lit(0)
+    if len(headers) > 1:
+        number = F.create_map(*[x for i, h in enumerate(kinds) for x in (F.lit(h), F.lit(i))])
+        known = found.where("header is not null").select(F.col("file").alias("_path"), number[F.col("header")].alias("_kind"))
+        rows, kind = attach(rows, known.distinct(), ["_path"]), F.col("_kind")
+    out = rows.select("_path", "_block", *[by_name(rows, headers, kind, c).alias(c) for c in columns])
+    if not titled:  # the reader has dropped line 1, which is the header
+        return out
     first = F.trim(F.col(f"`{columns[0]}`"))
-    return rows.where(first.isNull() | (first != columns[0]))
+    return out.where(first.isNull() | (first != columns[0]))
+
+
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
 def _numbers(df: DataFrame, columns: list[str]) -> list[Column]:
     return [to_double(F.col(f"`{c}`")).alias(spark_name(c)) for c in columns]
 
 
+def _subject(pattern: str) -> Column:
+    return F.upper(F.regexp_extract(F.col("_path"), pattern, 1)).alias("subject")
+
+
 def read_recordings(spark: SparkSession, paths, columns: list[str] | None = None,
-                    pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
+                    pattern: str = SUBJECT_FOLDER) -> DataFrame:
     """subject and the recording's columns as numbers; what is no number is missing."""
     columns = columns or recording_columns()
-    rows = _titled_csv(spark, paths, columns)
-    subject = F.upper(F.regexp_extract(F.col("_path"), pattern, 1)).alias("subject")
-    return rows.select(subject, *_numbers(rows, columns))
+    found = settle(heads(listed(spark, paths), 1))
+    _all_readable(found)
+    rows = _named_csv(spark, paths, columns, found=found)
+    return rows.select(_subject(pattern), *_numbers(rows, columns))
+
 
+def _all_readable(found: DataFrame) -> None:
+    bad = found.where("problem is not null").first()
+    if bad is not None:
+        raise ValueError(f"{bad['file']}: {bad['problem']}")
 
-def read_markers(spark: SparkSession, paths, pattern: str = r"([^/]+)/[^/]+$") -> DataFrame:
-    """subject, marker_id, task and the line's place, by which a repeated id is settled."""
-    rows = spark.read.schema("marker_id string, type string").option("header", True).csv(paths)
-    return rows.select(
-        F.upper(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)).alias("subject"),
-        F.col("marker_id").try_cast("double").cast("long").alias("marker_id"), F.col("type").alias("task"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+
+def read_markers(spark: SparkSession, paths, pattern: str = SUBJECT_FOLDER) -> DataFrame:
+    """subject, marker_id and task, and the line's place, by which a repeated id is settled."""
+    found = settle(heads(listed(spark, paths), 0))
+    _all_readable(found)
+    rows = _named_csv(spark, paths, ["marker_id", "type"], titled=False, found=found)
+    return rows.select(_subject(pattern), F.col("marker_id").try_cast("double").cast("long").alias("marker_id"),
+                       F.col("type").alias("task"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def read_metadata(spark: SparkSession, paths, columns: list[str] | None = None) -> DataFrame:
     """subject, hours and gender; semicolons, decimal commas, rows without an id dropped."""
     columns = columns or ["ID", "Average Sleep Hours per Night", "Gender"]
-    rows = _titled_csv(spark, paths, columns, ";")
+    rows = _named_csv(spark, paths, columns, ";")
     key, label, gender = (F.col(f"`{c}`") for c in columns[:3])
     return (rows.where(key.isNotNull() & (F.trim(key) != ""))
             .select(clean_key(key, upper=True).alias("subject"),
@@ -87,8 +128,7 @@ def read_metadata(spark: SparkSession, paths, columns: list[str] | None = None)
 
 def read_lookup(spark: SparkSession, paths, key: str = "original_stimuli_name", exclude: tuple[str, ...] = ()) -> DataFrame:
     """The stimuli lookup with its cleaned key ``task``, without the listed resting tasks."""
-    columns = [key, "description", "cognitive_domain"]
-    rows = spark.read.schema(_text_schema(columns)).option("header", True).csv(paths)
+    rows = _named_csv(spark, paths, [key, "description", "cognitive_domain"], titled=False).drop("_path", "_block")
     return with_clean_key(rows, key).where(~F.col("task").isin(list(exclude)) if exclude else F.lit(True))
 
 
@@ -97,28 +137,55 @@ def with_clean_key(df: DataFrame, key: str, out: str = "task") -> DataFrame:
 
 
 def read_by_manifest(spark: SparkSession, manifest: DataFrame, columns: list[str] | None = None,
-                     subject: str = "Subject_ID", path: str = "Data_File") -> DataFrame:
-    """The recordings a mapping table names, with the subject the table gives them."""
+                     subject: str = "Subject_ID", path: str = "Data_File") -> tuple[DataFrame, DataFrame]:
+    """The recordings a mapping table names, with the subject it gives them; and its rows whose file cannot be read.
+
+    Rows and files meet by decoded path, so that a space or a differently spelled scheme loses nothing.
+    """
     columns = columns or recording_columns()
-    named = manifest.select(F.col(subject).alias("subject"), F.col(path).alias("_file"))
-    files = [r["_file"] for r in named.select("_file").distinct().collect()]
-    rows = _titled_csv(spark, files, columns).withColumn("_file", F.regexp_replace("_path", "^file:/+", "/"))
-    keyed = named.withColumn("_file", F.regexp_replace("_file", "^file:/+", "/"))
-    return attach(rows, keyed, ["_file"], rows=BROADCAST_ROWS).select("subject", *_numbers(rows, columns))
+    named = settle(manifest.select(F.col(subject).alias("subject"), F.col(path).alias("file")))
+    tried = settle(heads(named.select("file").where("file is not null").distinct(), 1))
+    missing = named.join(tried.where("header is not null").select("file"), "file", "left_anti").join(
+        tried.select("file", "problem"), "file", "left").select(
+        "subject", "file", F.coalesce("problem", F.lit("no file named")).alias("problem"))
+    good = tried.where("header is not null")
+    paths = [r[0] for r in good.select("file").collect()]  # Spark lists files on the driver whatever names them
+    if not paths:
+        return spark.createDataFrame([], T.StructType([T.StructField("subject", T.StringType())] + [
+            T.StructField(spark_name(c), T.DoubleType()) for c in columns])), missing
+    # the same heads under the names the reader gives the files
+    as_read = settle(heads(listed(spark, paths), 1))
+    rows = _named_csv(spark, paths, columns, found=as_read)
+    subjects = (as_read.select(F.col("file").alias("_path"), "place")
+                .join(good.select("file", "place").join(named, "file").select("place", "subject").distinct(), "place")
+                .select("_path", "subject"))
+    return attach(rows, subjects, ["_path"]).select("subject", *_numbers(rows, columns)), missing
 
 
 def read_tolerant(spark: SparkSession, paths, expected: DataFrame, columns: list[str] | None = None,
-                  subject: str = "subject", pattern: str = r"([^/]+)/[^/]+$") -> tuple[DataFrame, DataFrame]:
-    """The recordings that load, and the expected subjects of which nothing was read."""
+                  subject: str = "subject", pattern: str = SUBJECT_FOLDER) -> tuple[DataFrame, DataFrame]:
+    """The recordings of subjects all of whose files are whole, and (subject, reason) of the others.
+
+    Every file is probed first, compressed ones to their end. A subject with a broken file is left out as a whole.
+    """
     columns = columns or recording_columns()
-    spark_paths = paths if isinstance(paths, list) else [paths]
-    reader = (spark.read.schema(_text_schema(columns)).option("header", True).option("mode", "PERMISSIVE")
-              .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True))
-    rows = reader.csv(spark_paths).withColumn("subject", subject_from_path(pattern))
-    first = F.trim(F.col(f"`{columns[0]}`"))
-    loaded = rows.where(first.isNull() | (first != columns[0])).select("subject", *_numbers(rows, columns))
-    seen = loaded.where(F.col(spark_name(columns[0])).isNotNull()).select(F.col("subject").alias(subject)).distinct()
-    return loaded, expected.select(subject).distinct().join(seen, subject, "left_anti")
+    found = settle(heads(listed(spark, paths), 1, whole=True))
+    lacking = F.lit(None).cast("string")
+    for h in [r[0] for r in found.where("header is not null").select("header").distinct().collect()]:
+        names = [c for c in columns if c not in split_header(h, ",")]
+        if names:
+            lacking = F.when(F.col("header") == h, f"no column {', '.join(names)}").otherwise(lacking)
+    found = found.withColumn("problem", F.coalesce("problem", lacking)).withColumn("_path", F.col("file"))
+    found = found.withColumn("header", F.when(F.col("problem").isNull(), F.col("header")))
+    of = settle(found.select(_subject(pattern), "problem", "file", "place", "header"))
+    broken = of.where("problem is not null").groupBy("subject").agg(F.min("problem").alias("reason"))
+    broken = settle(broken)
+    rows = _named_csv(spark, paths, columns, found=of.select("file", "place", "header", "problem"))
+    rows = rows.select(_subject(pattern), *_numbers(rows, columns))
+    loaded = attach(rows, broken.select("subject"), ["subject"], "left_anti")
+    absent = (expected.select(F.col(subject).alias("subject")).distinct().join(of.select("subject").distinct(), "subject", "left_anti")
+              .withColumn("reason", F.lit("no file")))
+    return loaded, broken.unionByName(absent).withColumnRenamed("subject", subject)
 
 
 def read_features(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:

@@ -101,17 +101,49 @@ def test_segments(spark, tables):
 def test_manifest_and_skipped_subjects(spark, root, tables):
     manifest = spark.createDataFrame([("S1", f"{root}/ba01/data.csv"), ("S2", f"{root}/BA02/data.csv")],
                                      "Subject_ID string, Data_File string")
-    rec = readers.read_by_manifest(spark, manifest, COLUMNS)
+    rec, missing = readers.read_by_manifest(spark, manifest, COLUMNS)
+    assert missing.isEmpty()
     report = {r["subject"]: r for r in quality.quality_report(rec, SPEC).collect()}
     assert report["S1"]["usable_pct"] == 95.0 and report["S2"]["overall_pass_pct"] == 66.67
     expected = spark.createDataFrame([("BA01",), ("BA99",)], "subject string")
     loaded, skipped = readers.read_tolerant(spark, f"{root}/*/data.csv", expected, COLUMNS)
-    assert [r["subject"] for r in skipped.collect()] == ["BA99"] and loaded.count() == 25
+    assert [tuple(r) for r in skipped.collect()] == [("BA99", "no file")] and loaded.count() == 25
     assert readers.resolve_root(spark, f"{root}/none", root) == root
     with pytest.raises(FileNotFoundError):
         readers.resolve_root(spark, f"{root}/none")
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    header = "Timestamp,EEG.Counter,MarkerIndex,EEG.AF3,CQ.Overall"
+    for folder, text in {"a1": f"title: x\n{header}\n1,7,11,4200,90\n", "a 2": "title: x\nCQ.Overall,MarkerIndex,Timestamp\n80,12,2\n"}.items():
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "data.csv").write_text(text)
+    names_ = ["Timestamp", "MarkerIndex", "CQ.Overall"]
+    rows = {tuple(r) for r in readers.read_recordings(spark, f"{tmp_path}/*/data.csv", names_).collect()}
+    assert rows == {("A1", 1.0, 11.0, 90.0), ("A%202", 2.0, 12.0, 80.0)} or rows == {("A1", 1.0, 11.0, 90.0), ("A 2", 2.0, 12.0, 80.0)}
+    with pytest.raises(ValueError, match="no column CQ.AF4"):
+        readers.read_recordings(spark, f"{tmp_path}/*/data.csv", [*names_, "CQ.AF4"])
+    manifest = spark.createDataFrame([("S1", f"{tmp_path}/a1/data.csv"), ("S2", f"file:{tmp_path}/a 2/data.csv"),
+                                      ("S3", f"{tmp_path}/a3/data.csv")], "Subject_ID string, Data_File string")
+    rec, missing = readers.read_by_manifest(spark, manifest, names_)
+    assert {tuple(r) for r in rec.collect()} == {("S1", 1.0, 11.0, 90.0), ("S2", 2.0, 12.0, 80.0)}
+    assert [r["subject"] for r in missing.collect()] == ["S3"]
+
+
+def test_a_cut_file_leaves_its_subject_out(spark, tmp_path):
+    import gzip
+    body = "title: x\nTimestamp,MarkerIndex\n" + "".join(f"{i},{i * 7919 % 1000}\n" for i in range(50_000))
+    for folder, share in (("b1", 1.0), ("b2", 0.5)):
+        (tmp_path / folder).mkdir()
+        data = gzip.compress(body.encode())
+        (tmp_path / folder / "data.csv.gz").write_bytes(data[: int(len(data) * share)])
+    expected = spark.createDataFrame([("B1",), ("B2",), ("B3",)], "subject string")
+    loaded, skipped = readers.read_tolerant(spark, f"{tmp_path}/*/data.csv.gz", expected, ["Timestamp", "MarkerIndex"])
+    assert {r["subject"]: r["count"] for r in loaded.groupBy("subject").count().collect()} == {"B1": 50_000}
+    reasons = dict(map(tuple, skipped.collect()))
+    assert set(reasons) == {"B2", "B3"} and reasons["B3"] == "no file" and "EOF" in reasons["B2"]
+
+
 def test_downsample_even_spacing(spark):
     rows = [("a", i, i + 1) for i in range(80)] + [("b", i, i + 1) for i in range(81)] + [("c", i, i + 1) for i in range(500)]
     df = spark.createDataFrame(rows, "seg string, ts long, window_index long")
