@@ -82,21 +82,28 @@ def split_feature(name: Column) -> tuple[Column, Column]:
     return F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
 
 
-def _contains_any(c: Column, words: list[str]) -> Column:
+def _contains_any(text: Column, words: list[str]) -> Column:
     # plain substring tests are several times quicker on long texts than one pattern of them all
-    text = F.lower(F.coalesce(c.cast("string"), F.lit("")))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
 def keyword_category(name: Column, description: Column, domain: Column,
                      rules: list = TASK_CATEGORIES, other: str = OTHER_CATEGORY) -> Column:
     """First rule with a word in the name, the domain or the description."""
-    case = None
-    for category, in_name, in_domain, in_description in rules:
-        hit = (_contains_any(name, in_name) | _contains_any(domain, in_domain)
-               | _contains_any(description, in_description))
-        case = F.when(hit, category) if case is None else case.when(hit, category)
-    return case.otherwise(other)
+    def lower(c: Column) -> Column:
+        return F.lower(F.coalesce(c.cast("string"), F.lit("")))
+
+    def first_rule(t: Column) -> Column:
+        case = None
+        for category, in_name, in_domain, in_description in rules:
+            hit = (_contains_any(t["name"], in_name) | _contains_any(t["domain"], in_domain)
+                   | _contains_any(t["description"], in_description))
+            case = F.when(hit, category) if case is None else case.when(hit, category)
+        return case.otherwise(other)
+
+    # a lambda's argument is computed once, where branches of a case would each lower the texts anew
+    texts = F.struct(lower(name).alias("name"), lower(domain).alias("domain"), lower(description).alias("description"))
+    return F.get(F.transform(F.array(texts), first_rule), F.lit(0))
 
 
 def task_family(task: Column, families: list = TASK_FAMILIES, baseline: str = BASELINE_TASK) -> Column:

@@ -95,14 +95,11 @@ def impute_median(df: DataFrame, features: list[str], fold: str | None = None, f
         .drop(*[f"_med_{f}" for f in features])
 
 
-def one_hot(df: DataFrame, col: str, values: list[str] | None = None, limit: int = 1000) -> DataFrame:
-    """One 0/1 column per known value; an unseen value is 0 in all of them."""
+def one_hot(df: DataFrame, col: str, values: list[str] | None = None) -> DataFrame:
+    """One 0/1 column per known value; an unseen value is 0 in all of them. The plan has a column per value."""
     if values is None:
-        values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col)
-                  .limit(limit + 1).collect()]
-        if len(values) > limit:
-            raise ValueError(f"{col} has more than {limit} values")
-    return df.withColumns({f"{col}_{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in values})
+        values = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+    return df.select("*", *[F.coalesce((F.col(col) == v).cast("int"), F.lit(0)).alias(f"{col}_{v}") for v in values])
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -14,10 +14,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_ROWS = 5_000_000        # rows of one group that one task may sort
 BROADCAST_ROWS = 200_000      # rows a side may have to be broadcast
-BROADCAST_CELLS = 4_000_000   # rows x columns a side may have to be broadcast
+BROADCAST_BYTES = 64 << 20    # bytes a side may have to be broadcast
 SALTS = 32
 
 
@@ -59,8 +60,20 @@ def _mark(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a written table is small enough; counting it reads no columns."""
-    return df.count() <= min(rows, BROADCAST_CELLS // max(1, len(df.columns)))
+    """Whether a written table is small enough, by rows and by bytes: one aggregate measures texts and arrays."""
+    wide = [F.sum(_width(f)) for f in df.schema if not isinstance(f.dataType, (T.NumericType, T.BooleanType, T.DatetimeType))]
+    count, *sizes = df.agg(F.count(F.lit(1)), *wide).first()
+    return count <= rows and 16 * count * len(df.columns) + sum(s or 0 for s in sizes) <= BROADCAST_BYTES
+
+
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value whose type has no fixed width; nested ones by their text."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.octet_length(c)
+    if isinstance(field.dataType, T.ArrayType) and isinstance(field.dataType.elementType, T.NumericType):
+        return 8 * F.size(c)
+    return F.octet_length(F.to_json(F.struct(c)))
 
 
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
@@ -88,6 +101,22 @@ def hot_groups(df: DataFrame, keys: list[str], limit: int) -> DataFrame | None:
     return None if hot.isEmpty() else hot
 
 
+def _orderable(df: DataFrame, column: str) -> Column:
+    """A number that never contradicts the order of the column: of a text its first seven bytes."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column)
+    if isinstance(kind, T.BooleanType):
+        return F.col(column).cast("int")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    raise TypeError(f"{column} is {kind.simpleString()}, which has no order here")
+
+
 def _with_buckets(df: DataFrame, keys: list[str], order: str, hot: DataFrame, limit: int,
                   out: str) -> DataFrame:
     """Cut hot groups into ordered buckets at approximate quantiles of ``order``.
@@ -101,9 +130,9 @@ def _with_buckets(df: DataFrame, keys: list[str], order: str, hot: DataFrame, li
     cuts = (
         df.join(F.broadcast(hot.drop("_n")) if fits_broadcast(hot) else hot.drop("_n"), keys, "left_semi")
         .groupBy(*keys)
-        .agg(F.percentile_approx(order, shares, max(10_000, 20 * parts)).alias("_cuts"))
+        .agg(F.percentile_approx(_orderable(df, order), shares, max(10_000, 20 * parts)).alias("_cuts"))
     )
-    x = F.col(order)
+    x = _orderable(df, order)
     bucketed = attach(df, cuts, keys, "left")
     position = (F.size(F.filter("_cuts", lambda c: c < x))
                 + F.size(F.filter("_cuts", lambda c: c <= x)))
@@ -127,10 +156,11 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "ro
                 limit: int = GROUP_ROWS, _level: int = 0) -> DataFrame:
     """1-based position of each row in its group, ordered by ``order``.
 
-    ``order`` ends in a column that makes it unique. Its columns must be numeric where a
-    group is larger than ``limit``: such a group is cut into ordered buckets, numbered
-    bucket by bucket, and shifted by the number of rows before.
+    ``order`` ends in a column that makes it unique. A group larger than ``limit`` is cut into ordered
+    buckets, numbered bucket by bucket, and shifted by the number of rows before.
     """
+    for c in order:
+        _orderable(df, c)
     window = Window.partitionBy(*keys).orderBy(*order)
     hot = hot_groups(df, keys, limit) if _level < len(order) else None
     if hot is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clean_key, segment_key
 from .quantiles import quantile_agg
@@ -65,19 +66,32 @@ def segment_join(rec: DataFrame, seg: DataFrame, subject: str = "subject", ts: s
     (subject, time slot), which also spreads a subject that holds most of the rows.
     """
     seg = settle(seg)
+    times = {c: _ticks(df, c) for df, names in ((rec, [ts]), (seg, ["t_start", "t_end"])) for c in names}
     inside = F.col(ts).between(F.col("t_start"), F.col("t_end"))
     if fits_broadcast(seg, rows):
         return rec.join(F.broadcast(seg), subject, "inner").where(inside)
-    width = seg.agg(F.avg(F.col("t_end") - F.col("t_start"))).first()[0] or 1.0
+    width = seg.agg(F.avg(times["t_end"] - times["t_start"])).first()[0] or 1.0
 
     def slot(c: str) -> Column:
-        return F.floor(F.col(c) / F.lit(float(width))).cast("long")
+        return F.floor(times[c] / F.lit(float(width))).cast("long")
 
     pieces = seg.withColumn("_slot", F.explode(F.sequence(slot("t_start"), slot("t_end"))))
     return (rec.withColumn("_slot", slot(ts)).join(pieces, [subject, "_slot"], "inner")
             .where(inside).drop("_slot"))
 
 
+def _ticks(df: DataFrame, column: str) -> Column:
+    """A time as a number: numbers stand for themselves, timestamps count microseconds and dates days."""
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.NumericType):
+        return F.col(column)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column)
+    raise TypeError(f"{column} is {kind.simpleString()}, which is no time")
+
+
 def window_index(df: DataFrame, keys: list[str], order: list[str], out: str = "window_index") -> DataFrame:
     """Position inside the segment, given before rows with a missing feature are dropped."""
     return row_numbers(df, keys, order, out)

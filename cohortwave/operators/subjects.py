@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import GENDER_CODES, bin_label, bin_label_inclusive, clean_key, code_map, row_mean
 from .quantiles import quantile_agg
-from .scale import attach, materialise
+from .scale import attach, materialise, running_counts, settle
 from .segments import first_known
 
-GRID_TASKS = 10_000
-
 
 def enrich_inner(df: DataFrame, lookup: DataFrame, task: str = "task", key: str = "task") -> DataFrame:
     """Inner join on the cleaned task name; a repeated lookup key repeats the row."""
@@ -109,22 +107,30 @@ def dense_grid_median(df: DataFrame, groups: list[str], subject: str = "subject"
                       fill: float | None = 0.0) -> DataFrame:
     """Median per task over all subjects, where a subject without the task counts as ``fill``.
 
-    Only the absent cells are made up, from each subject's own task set; with ``fill=None``
-    absent cells stay out.
+    Values are counted, and the absent cells of a task are one more count of ``fill``: no cell is made up. With
+    ``fill=None`` absent cells stay out.
     """
     if fill is None:
         return quantile_agg(df, [task], {g: (g, 0.5) for g in groups})
     df = materialise(df)
-    tasks = [r[0] for r in df.select(task).distinct().orderBy(task).limit(GRID_TASKS + 1).collect()]
-    if len(tasks) > GRID_TASKS:
-        raise ValueError(f"more than {GRID_TASKS} tasks: not a task column")
-    absent = (
-        df.groupBy(subject).agg(F.collect_set(task).alias("_seen"))
-        .select(subject, F.explode(F.array_except(F.array(*[F.lit(t) for t in tasks]), "_seen")).alias(task))
-        .withColumns({g: F.lit(float(fill)) for g in groups})
-    )
-    grid = df.select(subject, task, *groups).fillna(fill, groups).unionByName(absent)
-    return quantile_agg(grid, [task], {g: (g, 0.5) for g in groups})
+    total = df.select(subject).distinct().count()
+    fill = float(fill)
+    cells = F.inline(F.array(*[F.struct(F.lit(g).alias("_g"), F.coalesce(F.col(g).cast("double"), F.lit(fill)).alias("_x")) for g in groups]))
+    present = df.select(task, cells).groupBy(task, "_g", "_x").agg(F.count(F.lit(1)).alias("_c"))
+    seen = df.select(task, subject).distinct().groupBy(task).agg(F.count(F.lit(1)).alias("_seen"))
+    absent = seen.select(task, F.explode(F.array(*[F.lit(g) for g in groups])).alias("_g"), F.lit(fill).alias("_x"),
+                         (F.lit(total) - F.col("_seen")).alias("_c")).where("_c > 0")
+    keys = [task, "_g"]
+    counts = settle(present.unionByName(absent).groupBy(*keys, "_x").agg(F.sum("_c").alias("_c")))
+    sizes = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    ordered = attach(running_counts(counts, keys, "_x", ["_c"]), sizes, keys)
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((F.col("_c_before") <= position) & (position < F.col("_c_before") + F.col("_c")), F.col("_x")))
+
+    middle = (F.col("_n") - 1) / F.lit(2)
+    medians = ordered.groupBy(*keys).agg(((at(F.floor(middle)) + at(F.ceil(middle))) / 2).alias("_m"))
+    return medians.groupBy(task).agg(*[F.max(F.when(F.col("_g") == g, F.col("_m"))).alias(g) for g in groups])
 
 
 def metric_by_task(df: DataFrame, metrics: list[str], subject: str = "subject", task: str = "task") -> DataFrame:

@@ -325,7 +325,8 @@ def _(t):
     SELECT label, n, round(avg(c), 7) AS mean_cosine FROM pairs JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)
     USING (label) GROUP BY 1, 2""")
 def _(t):
-    dims = [f"embedding[{i}]" for i in range(64)]
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    dims = [f"get(embedding, {i})" for i in range(width)]
     return rounded(g.mean_pairwise_cosine(t.embeddings, dims, ["label"]), ["mean_cosine"])
 
 

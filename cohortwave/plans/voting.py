@@ -18,7 +18,7 @@ from ..operators.models import cross_val_predict, rf_classifier, weigh_train
 from ..operators.quality import require_groups
 from ..operators.scale import materialise
 
-LOSO_SUBJECTS = 200
+SCHEMES = ("each", "groups")
 
 
 @dataclass(frozen=True)
@@ -32,10 +32,11 @@ class Votes:
     segments: DataFrame | None = None
 
 
-def subject_folds(df: DataFrame, subject: str = "subject", k: int = 10, most: int = LOSO_SUBJECTS) -> DataFrame:
-    """One fold per subject in a small cohort; k subject-disjoint folds in a large one."""
-    few = df.select(subject).distinct().limit(most + 1).count() <= most
-    return leave_one_group_out(df, subject) if few else group_kfold(df, subject, k)
+def subject_folds(df: DataFrame, subject: str = "subject", scheme: str = "each", k: int = 10) -> DataFrame:
+    """The caller's scheme, whatever the size of the cohort: a fold for ``each`` subject, or k folds of ``groups`` of them."""
+    if scheme not in SCHEMES:
+        raise ValueError(f"scheme is one of {SCHEMES}")
+    return leave_one_group_out(df, subject) if scheme == "each" else group_kfold(df, subject, k)
 
 
 def predict_labels(df: DataFrame, features: list[str], labels: list[str], fold: str = "fold",

@@ -160,7 +160,7 @@ def cohort(spark):
 
 def test_vote_cv(cohort):
     from cohortwave.functions.scalars import HOUR_LABELS, bin_label
-    rows = subject_folds(cohort.withColumn("actual_label", bin_label(F.col("hours"))), most=3, k=3)
+    rows = subject_folds(cohort.withColumn("actual_label", bin_label(F.col("hours"))), scheme="groups", k=3)
     votes = vote_cv(rows, ["p", "q"], HOUR_LABELS, trees=5, depth=4)
     assert votes.rows.count() == cohort.count() and votes.subjects.count() == cohort.select("subject").distinct().count()
     total = sum((F.col(f"p_{x}") for x in HOUR_LABELS), F.lit(0.0))
