@@ -24,7 +24,7 @@ from .words import slices
 CAPACITY = 4096
 END_ID = 2
 GROUP_BYTES = 8_000_000
-CACHED_WORDS = 250_000
+CACHED_WORDS = 800_000
 SEED = 8
 PIECES = "group long, doc_id long, start long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -54,9 +54,9 @@ class Ids:
     def _letters(self, words: list[str]) -> list[bytes]:
         """Words of letters only, in one go: each ends in the one id that closes a word."""
         out: list[bytes] = []
-        for low in range(0, len(words), 20_000):
-            part = words[low : low + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+        for low in range(0, len(words), 200):
+            part = words[low : low + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):  # letters that this tokenizer's tables know otherwise
                 out += self._encode(part)
@@ -79,12 +79,15 @@ class Ids:
         self.known.update(zip(other, self._encode(other), strict=True))
 
     def of(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " ").split(" ") for x in texts]
         if len(self.known) > self.most:
             self.known.clear()
-        self._learn({w for words in split for w in words})
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [x.replace("\n", " ").split(" ") for x in texts]
+        found = [list(map(self.known.get, words)) for words in split]
+        new = [i for i, ids in enumerate(found) if None in ids]
+        self._learn({w for i in new for w, ids in zip(split[i], found[i], strict=True) if ids is None})
+        for i in new:
+            found[i] = [self.known[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=1)
