@@ -35,7 +35,7 @@ from .words import hash_spans, mix64, slices
 LENGTH = 400
 GRAM = 32
 BLOCK = 1 << 20
-BUCKET_BYTES = 3_000_000
+BUCKET_BYTES = 1_000_000
 MOST_BYTES = 6_000_000
 
 
@@ -66,6 +66,8 @@ def sliding_minimum(value: np.ndarray, width: int) -> np.ndarray:
 
 def contexts(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
     """(start, windows, name, digest, again) of the contexts of one text, block by block; ``again``: the name may occur twice inside."""
+    from xxhash import xxh3_64_intdigest
+
     gram = min(gram, length)
     width = length - gram + 1
     for at in range(0, len(data) - length + 1, block):
@@ -83,7 +85,9 @@ def contexts(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, block: in
         place = np.minimum(np.searchsorted(names, some), len(names) - 1)
         times = np.bincount(place[names[place] == some], minlength=len(names))
         again = times[np.searchsorted(names, name)] > 1
-        yield start + at, windows, name, hash_spans(part, start, start + windows + length - 1), again
+        view, ends = memoryview(part), (start + windows + length - 1).tolist()
+        digest = np.array([xxh3_64_intdigest(view[a:b]) for a, b in zip(start.tolist(), ends, strict=True)], np.uint64)
+        yield start + at, windows, name, digest, again
 
 
 CONTEXT = "row_key string, name long, digest long, start long, windows long, again boolean"
@@ -110,36 +114,41 @@ def _contexts(length: int, gram: int):
 # --- the run-length index
 
 def suffix_order(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Sorted positions. ``left``: bytes up to the end of the position's string; ``owner``: its string, which breaks ties of equal rests."""
+    """Sorted positions. ``left``: bytes up to the end of the position's string; ``owner``: its string, which breaks ties of equal rests.
+
+    Positions that are alone in their place after some depth are settled; only the others are sorted further, at twice the depth.
+    """
     n = len(text)
-    wide = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)))
-    key = np.zeros(n, np.uint64)
-    for k in range(7):  # seven symbols of nine bits; past the end of the string they are 0
-        key = (key << np.uint64(9)) | np.where(left > k, wide[k : k + n], np.uint64(0))
-    order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
-
-    def ranks(keys: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.concatenate((text.astype(np.int64) + 1, np.zeros(7, np.int64)))
+    key = np.zeros(n, np.int64)
+    for k in range(7):  # seven symbols of nine bits
+        key = (key << 9) | wide[k : k + n]
+    near = np.flatnonzero(left < 7)  # past the end of the string they are 0
+    key[near] &= -(np.int64(1) << (9 * (7 - left[near])).astype(np.int64))
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    rank = np.empty(n, np.int32)
+
+    def ranks(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the groups' first members, and whether a member is alone."""
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
-        first = np.flatnonzero(new)
-        size = np.diff(np.concatenate((first, [len(keys)])))
-        return base[np.repeat(first, size)], np.repeat(size == 1, size)
+        new = np.empty(len(keys) + 1, bool)
+        new[0] = new[-1] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:-1])
+        first = np.maximum.accumulate(np.where(new[:-1], np.arange(len(keys), dtype=np.int32), np.int32(0)))
+        return places[first], new[:-1] & new[1:]
 
-    places = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
     rank[order], alone = ranks(key[order], places)
-    open_places = places[~alone]
+    places = places[~alone]
     depth = 7
-    while len(open_places):
-        at = order[open_places]
-        further = np.minimum(at + depth, n - 1)
-        second = np.where(left[at] > depth, rank[further] + len(left) + 1, owner[at])
-        both = rank[at] * np.int64(2 * len(left) + 2) + second
+    while len(places):
+        at = order[places]
+        second = np.where(left[at] > depth, rank[np.minimum(at + depth, n - 1)] + np.int32(n), owner[at])
+        both = (rank[at].astype(np.int64) << 32) | second
         inside = np.argsort(both, kind="stable")
         at = at[inside]
-        order[open_places] = at
-        rank[at], alone = ranks(both[inside], open_places)
-        open_places = open_places[~alone]
+        order[places] = at
+        rank[at], alone = ranks(both[inside], places)
+        places = places[~alone]
         depth *= 2
     return order
 
@@ -186,8 +195,8 @@ def repeated_windows(strings: list[bytes], copies: list[bool], length: int = LEN
     sizes = np.array([len(s) for s in held])
     text = np.frombuffer(b"".join(held), np.uint8)
     end = np.cumsum(sizes)
-    left = np.repeat(end, sizes) - np.arange(len(text))
-    owner = np.repeat(np.arange(len(held)), sizes)
+    left = (np.repeat(end, sizes) - np.arange(len(text))).astype(np.int32)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
     best, _ = matching_statistics(text, left, owner)
     begin = end - sizes
     return [np.flatnonzero(best[begin[i] : end[i]] >= length) for i in range(len(strings))]
