@@ -104,7 +104,7 @@ def _dealer(firsts: np.ndarray):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             packed = [press.compress(x) for x in batch.column(1).to_pylist()]
-            part = np.searchsorted(-firsts, -ids, side="right") - 1
+            part = len(firsts) - 1 - np.searchsorted(firsts[::-1], ids)
             again = np.flatnonzero(firsts[part] == ids)
             rows = np.concatenate((np.arange(len(ids)), again))
             part = np.concatenate((part, (part[again] - 1) % len(firsts)))

@@ -149,17 +149,16 @@ def scored(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return docs.withColumn("__log_weight", weight).withColumn("__key", F.col("__log_weight") + gumbel(doc_id, seed)), sample
 
 
-def cut_of(keys: DataFrame, sample: DataFrame, k: int | None) -> float:
-    """The key above which a text is sampled. ``keys`` is a written table of (__id, __key)."""
+def sampled(keys: DataFrame, sample: DataFrame, k: int | None) -> Column:
+    """The condition on ``__key`` under which a text is sampled. ``keys`` is a written table of (__id, __key)."""
     if k is None:
         pairs = keys.join(F.broadcast(sample), "__id").select("__key", "__good").collect()
-        return best_cut(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+        return F.col("__key") > F.lit(best_cut(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])))
     # the k largest keys as the k smallest places on a fine grid
     place = F.least(F.greatest(((F.lit(1e4) - F.col("__key")) * F.lit(float(1 << 40))).cast("long"), F.lit(0)), F.lit((1 << 60) - 1))
     rows = keys.select(F.lit("all").alias("g"), place.alias("place"), F.lit(1).cast("long").alias("w"))
     goals = keys.sparkSession.createDataFrame([("all", float(k))], "g string, goal double")
-    last = threshold(rows, settle(goals), "g", "place", "w", "goal", "last").first()["last"]
-    return 1e4 - (last + 1) / float(1 << 40)
+    return place <= F.lit(threshold(rows, settle(goals), "g", "place", "w", "goal", "last").first()["last"])
 
 
 def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
@@ -167,9 +166,8 @@ def report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """(doc_id, log_weight, key, kept) of every document."""
     texts, sample = scored(docs, labels, doc_id, text, label, rows, seed)
     keys = materialise(texts.select(F.col(doc_id).alias("__id"), "__log_weight", "__key"))
-    cut = cut_of(keys, sample, k)
     return keys.select(F.col("__id").alias("doc_id"), F.col("__log_weight").alias("log_weight"), F.col("__key").alias("key"),
-                       (F.col("__key") > F.lit(cut)).alias("kept"))
+                       sampled(keys, sample, k).alias("kept"))
 
 
 def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
@@ -181,4 +179,4 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     else:
         keys = texts
     keys = materialise(keys.select(F.col(doc_id).alias("__id"), "__key"))
-    return texts.where(F.col("__key") > F.lit(cut_of(keys, sample, k))).select(*docs.columns)
+    return texts.where(sampled(keys, sample, k)).select(*docs.columns)
