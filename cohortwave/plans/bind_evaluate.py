@@ -240,6 +240,27 @@ def _inner(t):
     return t.pred.withColumn("inner", inner).select("subject", "task", "fold", "inner", "hours", *FEATURES)
 
 
+@query("m11_ridge_path_one_penalty", sql("pred", RIDGE))
+def _(t):
+    """With one penalty to choose from, the path is the plain ridge."""
+    rows = t.pred.select("subject", "task", "fold", "qty", "tax", "hours")
+    out = lin.ridge_path(rows, ["qty", "tax"], "hours", "fold", alphas=[10.0])
+    return rounded(out.select("subject", "task", "predicted"), ["predicted"], 6)
+
+
+OUT_OF_FOLD_LINE = """s AS (SELECT l.fold, regr_slope(r.hours, r.qty) AS b, regr_intercept(r.hours, r.qty) AS a
+    FROM (SELECT DISTINCT fold FROM {t}) l JOIN {t} r ON l.fold <> r.fold GROUP BY 1)"""
+
+
+@query("m13_pls_one_feature", sql("pred", "WITH " + OUT_OF_FOLD_LINE.format(t="pred")
+                                  + " SELECT subject, task, round(a + b * qty, 6) AS predicted FROM pred JOIN s USING (fold)"))
+def _(t):
+    """With one feature the first component is the least-squares line."""
+    rows = _inner(t).select("subject", "task", "fold", "inner", "hours", "qty")
+    out = lin.pls_regression(rows, ["qty"], "hours", "fold", "inner")
+    return rounded(out.select("subject", "task", "predicted"), ["predicted"], 6)
+
+
 @query("m11_ridge_path")
 def _(t):
     """Ridge with the penalty chosen by leave-one-out error in each train set."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_label, uniform
@@ -13,7 +15,7 @@ from ..operators.evaluate import binary_metrics, regression_metrics, subject_agg
 from ..operators.folds import group_kfold, kfold
 from ..operators.scale import materialise
 from ..sources.writers import load_model, save_model
-from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, rounded, sql
+from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, U, rounded, sql
 from .registry import query
 from .signal import signal_verdict
 from .views import build_views, compare_views
@@ -47,6 +49,149 @@ def _as_classes(p):
     return rounded(binary_metrics(out, 1), ["accuracy", "precision", "recall", "f1"], 6)
 
 
+# Learned numbers have no SQL; what must hold of any fit does: every row is predicted once, by folds that share no
+# subject, within the range of the labels or with probabilities that add up to one.
+
+def _once(p, key: str, wrong):
+    return p.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(key).alias("keys"), F.count_if(wrong).alias("wrong"))
+
+
+HOURS_ONCE = sql("subj", "SELECT count(*) AS rows, count(DISTINCT subject) AS keys, CAST(0 AS BIGINT) AS wrong FROM subj")
+TOXIC_ONCE = sql("scored", "SELECT count(*) AS rows, count(DISTINCT doc_id) AS keys, CAST(0 AS BIGINT) AS wrong FROM scored")
+
+
+def _within(t, p, column: str = "prediction"):
+    low, high = t.subj.agg(F.min("hours"), F.max("hours")).first()
+    return _once(p, "subject", ~F.col(column).between(low - 1e-9, high + 1e-9))
+
+
+def _proper(p):
+    probability = vector_to_array("probability")
+    total = F.aggregate(probability, F.lit(0.0), lambda a, x: a + x)
+    fits = (F.abs(total - 1) < 1e-9) & F.forall(probability, lambda x: x.between(0, 1)) & F.col("prediction").isin(0.0, 1.0)
+    return _once(p, "doc_id", ~fits)
+
+
+@query("m7_rf_regressor_rows", HOURS_ONCE)
+def _(t):
+    return _within(t, m.cross_val_predict(m.rf_regressor(FEATURES, "hours", TREES, 3, depth=DEPTH), _folded(t), "fold"))
+
+
+@query("m8_rf_classifier_rows", TOXIC_ONCE)
+def _(t):
+    est = m.rf_classifier(DOC, "toxic", TREES, depth=DEPTH)
+    return _proper(m.cross_val_predict(est, _toxic(t), "fold", prepare=m.weigh_train("toxic")))
+
+
+@query("m10_gbt_classifier_rows", TOXIC_ONCE)
+def _(t):
+    return _proper(m.cross_val_predict(m.gbt_classifier(DOC, "toxic", ROUNDS), b.class_weights(_toxic(t), "toxic"), "fold"))
+
+
+@query("m14_logistic_balanced_rows", TOXIC_ONCE)
+def _(t):
+    est = lambda train: m.logistic_balanced(train, DOC, "toxic", 1.0)
+    return _proper(m.cross_val_predict(est, _toxic(t), "fold", prepare=m.weigh_train("toxic")))
+
+
+def _line():
+    return Pipeline(stages=[m.assemble(["qty"]), LinearRegression(labelCol="hours", solver="normal")])
+
+
+FOLDED = f"""folded AS (SELECT *, CAST((row_number() OVER (ORDER BY {U(42, 'subject')}, subject) - 1) % 3 + 1 AS INTEGER) AS fold FROM subj),
+    line AS (SELECT l.fold, regr_slope(r.hours, r.qty) AS b, regr_intercept(r.hours, r.qty) AS a, avg(r.hours) AS mean
+      FROM (SELECT DISTINCT fold FROM folded) l JOIN folded r ON l.fold <> r.fold GROUP BY 1)"""
+
+
+@query("m19_cross_val_predict_line", sql("subj", f"WITH {FOLDED} SELECT subject, fold, round(a + b * qty, 6) AS predicted FROM folded JOIN line USING (fold)"))
+def _(t):
+    """Out-of-fold predictions of a least-squares line."""
+    p = m.cross_val_predict(_line(), _folded(t), "fold")
+    return p.select("subject", "fold", F.round("prediction", 6).alias("predicted"))
+
+
+@query("m20_compare_line", sql("subj", f"""WITH {FOLDED}, p AS (SELECT hours AS actual, unnest(['Line', 'DummyMean']) AS model,
+      unnest([a + b * qty, mean]) AS predicted FROM folded JOIN line USING (fold))
+    SELECT model, count(*) AS n, round(sqrt(avg((actual - predicted) ** 2)), 6) AS rmse, round(avg(abs(actual - predicted)), 6) AS mae,
+      round(1 - sum((actual - predicted) ** 2) / (var_pop(actual) * count(*)), 6) AS r2 FROM p GROUP BY 1"""))
+def _(t):
+    out = m.compare_regressors({"Line": _line()}, materialise(_folded(t)), "hours", "fold")
+    return rounded(out.select("model", "n", "rmse", "mae", "r2"), ["rmse", "mae", "r2"], 6)
+
+
+ONE_FEATURE = """s AS (SELECT l.fold, avg(r.hours) AS my, avg(r.qty) AS mx, stddev_pop(r.qty) AS sx, covar_pop(r.qty, r.hours) / stddev_pop(r.qty) AS g,
+      1 + 0.005 * stddev_samp(r.hours) / stddev_pop(r.hours) AS c FROM (SELECT DISTINCT fold FROM folded) l JOIN folded r ON l.fold <> r.fold GROUP BY 1)"""
+
+
+@query("m12_elastic_net_one_feature", sql("subj", f"""WITH {FOLDED}, {ONE_FEATURE} SELECT subject, round(my + sign(g) * greatest(abs(g) - 0.005, 0)
+    / c * (qty - mx) / sx, 5) AS predicted FROM folded JOIN s USING (fold)"""))
+def _(t):
+    """With one feature the slope is the soft-thresholded covariance."""
+    est = lambda train: m.elastic_net(train, ["qty"], "hours", 0.01, 0.5)
+    p = m.cross_val_predict(est, _folded(t), "fold")
+    return p.select("subject", F.round("prediction", 5).alias("predicted"))
+
+
+@query("m23_final_importances", "SELECT 'hours' AS model, CAST(4 AS BIGINT) AS features, 1.0::DOUBLE AS total FROM (SELECT count(*) FROM orders) UNION ALL SELECT 'category', 4, 1.0")
+def _(t):
+    """The importances of either final model add up to one over all features."""
+    stages = _final(t).stages
+    rows = [(kind, len(w), round(float(sum(w)), 9)) for kind, s in (("hours", stages[1]), ("category", stages[2]))
+            for w in [s.featureImportances.toArray()]]
+    return t.spark.createDataFrame(rows, "model string, features long, total double")
+
+
+@query("m24_predict_batch_rows", HOURS_ONCE)
+def _(t):
+    out = m.predict_batch(_final(t), t.subj.select("subject", *FEATURES))
+    return _once(out, "subject", ~F.col("predicted_category").isin(*LABELS) | F.col("predicted_label").isNull() | F.col("predicted_hours").isNull())
+
+
+@query("s11_saved_model_agrees", HOURS_ONCE)
+def _(t):
+    """Rows on which the saved and the fitted model differ: none."""
+    from .files import new_folder
+    model, path, rows = _final(t), new_folder(t.spark, "model"), t.subj.select("subject", *FEATURES)
+    save_model(model, path)
+    both = m.predict_batch(model, rows).select("subject", "predicted_hours", "predicted_category").join(
+        m.predict_batch(load_model(path), rows).select("subject", F.col("predicted_hours").alias("h"), F.col("predicted_category").alias("c")), "subject")
+    return _once(both, "subject", (F.col("predicted_hours") != F.col("h")) | (F.col("predicted_category") != F.col("c")))
+
+
+CLUSTERS = sql("subj", "SELECT count(*) AS rows, count(DISTINCT subject) AS keys, CAST(0 AS BIGINT) AS wrong, CAST(3 AS BIGINT) AS clusters FROM subj")
+
+
+def _clustered(out):
+    """Every subject in one of three clusters, and none nearer to the others' centres on the whole than to its own."""
+    wide = out.withColumn("x", vector_to_array("features"))
+    centres = wide.groupBy("cluster").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(FEATURES))]).alias("centre"))
+    cost = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b_: (a - b_) * (a - b_)), F.lit(0.0), lambda s, v: s + v)
+    mean = wide.agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(len(FEATURES))]).alias("mean"))
+    sums = wide.join(F.broadcast(centres), "cluster").join(F.broadcast(mean), F.lit(True)).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("subject").alias("keys"),
+        (F.sum(cost("centre")) >= F.sum(cost("mean"))).cast("long").alias("wrong"), F.count_distinct("cluster").alias("clusters"))
+    return sums
+
+
+@query("m25_kmeans_rows", CLUSTERS)
+def _(t):
+    return _clustered(m.kmeans(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3, restarts=3))
+
+
+@query("m26_hierarchical_rows", CLUSTERS)
+def _(t):
+    return _clustered(m.hierarchical_clusters(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3))
+
+
+@query("m27_pca_of_two", sql("subj", """WITH z AS (SELECT subject, (qty - avg(qty) OVER ()) / stddev_samp(qty) OVER () AS a,
+      (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS b, sign(corr(qty, price) OVER ()) AS s FROM subj)
+    SELECT subject, round((a + s * b) ** 2 / 2, 6) AS first, round((a - s * b) ** 2 / 2, 6) AS second FROM z"""))
+def _(t):
+    """The components of two features are their sum and difference; squares do away with the signs."""
+    pcs = m.pca(t.subj.select("subject", *FEATURES), ["qty", "price"], 2)
+    return pcs.select("subject", F.round(F.pow("pc1", F.lit(2)), 6).alias("first"), F.round(F.pow("pc2", F.lit(2)), 6).alias("second"))
+
+
 @query("m7_rf_regressor")
 def _(t):
     return _as_regression(m.cross_val_predict(m.rf_regressor(FEATURES, "hours", TREES, 3, depth=DEPTH), _folded(t), "fold"))

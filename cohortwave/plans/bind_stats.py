@@ -210,7 +210,20 @@ def _(t):
     return rounded(c.task_corr(t.gaps, FEATURES, with_p=False), ["r"])
 
 
-@query("a23_pearson_p")
+GRID_STEPS = 2000
+
+
+def t_tail_sql(rows: str, columns: str) -> str:
+    """p of a correlation r over n rows by Simpson sums: with r = sin(a), the share of cos^(n - 3) beyond a."""
+    total = f"sum(w * pow(greatest(cos(pi() / 2 * i / {GRID_STEPS}), 0), n - 3))"
+    beyond = f"sum(w * pow(greatest(cos(a + (pi() / 2 - a) * i / {GRID_STEPS}), 0), n - 3)) * (pi() / 2 - a) / (pi() / 2)"
+    return f"""grid AS (SELECT i, CASE WHEN i IN (0, {GRID_STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, {GRID_STEPS} + 1) g(i)),
+    inside AS (SELECT *, asin(abs(r)) AS a FROM {rows} WHERE abs(r) < 1 AND n > 2),
+    p_of AS (SELECT {columns}, n, r, a, {beyond} / {total} AS p FROM inside, grid GROUP BY {columns}, n, r, a)"""
+
+
+@query("a23_pearson_p", sql("gaps", TASK_CORR + ", " + t_tail_sql("tc", "task, feature")
+                            + " SELECT task, feature, n, round(r, 7) AS r, round(p, 7) AS p FROM p_of"))
 def _(t):
     """Two-sided p of every task and feature correlation."""
     return rounded(c.task_corr(t.gaps, FEATURES), ["r", "p"])
@@ -508,11 +521,13 @@ def _(t):
 
 # ---- tails and names -----------------------------------------------------------------------------
 
-@query("f4_tail_probabilities")
+@query("f4_tail_probabilities", "WITH base AS (SELECT p_partkey, (p_retailprice - 950) / 60 AS r, CAST(p_size AS BIGINT) AS n FROM part WHERE p_size > 2), "
+       + t_tail_sql("base", "p_partkey") + """ SELECT p_partkey, round(r, 7) AS r, n, round(p, 7) AS p FROM p_of
+       UNION ALL SELECT p_partkey, round(r, 7), n, CASE WHEN r IS NOT NULL THEN 0.0::DOUBLE END FROM base WHERE abs(r) >= 1 OR r IS NULL""")
 def _(t):
     """p of a correlation-like value per line of the part table."""
     rows = t.part.select("p_partkey", ((F.col("p_retailprice") - 950) / 60).alias("r"), F.col("p_size").cast("long").alias("n"))
-    return rows.where("n > 2").withColumn("p", pearson_p(F.col("r"), F.col("n")))
+    return rounded(rows.where("n > 2").withColumn("p", pearson_p(F.col("r"), F.col("n"))), ["r", "p"])
 
 
 @query("f2_element_functions", sql("obs", f"""SELECT subject, task, {FAMILY} AS family,
