@@ -18,6 +18,7 @@ from ..sources.writers import load_model, save_model
 from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, U, rounded, sql
 from .registry import query
 from .signal import signal_verdict
+from .tuning import PENALTIES, THRESHOLDS, nested_tuning
 from .views import build_views, compare_views
 from .voting import vote_cv
 
@@ -366,6 +367,19 @@ def _votes(t):
     return vote_cv(folded, FEATURES, LABELS, trees=TREES, depth=DEPTH)
 
 
+@query("flow_nested_tuning", f"""WITH docs AS (SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id)),
+    o AS (SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {U(42, 'doc_id')}, doc_id) - 1) % 3 + 1 AS INTEGER) AS outer_fold FROM docs)
+    SELECT outer_fold, count(*) AS rows, count(DISTINCT doc_id) AS keys, CAST(sum(toxic) AS BIGINT) AS positives,
+      CAST(1 AS BIGINT) AS settings, CAST(0 AS BIGINT) AS wrong FROM o GROUP BY 1""")
+def _(t):
+    """Per outer fold: its test rows, each predicted once, by one setting of the grid and the threshold that goes with it."""
+    out = nested_tuning(_toxic(t).drop("fold"), DOC, "toxic", ["doc_id"], outer=3, inner=2).predictions
+    fits = F.col("c").isin(*PENALTIES) & F.col("threshold").isin(*THRESHOLDS) & F.col("score").between(0, 1)
+    return out.groupBy("outer_fold").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("keys"), F.sum("toxic").cast("long").alias("positives"),
+        F.count_distinct("c", "threshold").alias("settings"), F.count_if(~fits).alias("wrong"))
+
+
 @query("flow_vote_cv")
 def _(t):
     return _votes(t).subjects

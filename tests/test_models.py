@@ -225,3 +225,23 @@ def test_clusters(cohort):
     assert models.kmeans(cohort, ["p", "q"], 3, restarts=2).select("cluster").distinct().count() == 3
     assert models.hierarchical_clusters(cohort, ["p", "q"], 3).count() == cohort.count()
     assert models.pca(cohort, ["p", "q"]).agg(F.abs(F.avg("pc1"))).first()[0] < 1e-9
+
+
+def test_linear_models_with_more_features_than_rows(spark):
+    """The widest views have some thousands of features for some tens of subjects."""
+    rng = np.random.default_rng(3)
+    n, p = 36, 1100
+    x = rng.normal(size=(n, p))
+    y = x[:, 0] - x[:, 1] + 0.1 * rng.normal(size=n) + 6
+    fold, inner = np.arange(n) % 3 + 1, np.arange(n) // 3 % 2 + 1
+    names_ = [f"f{i}" for i in range(p)]
+    frame = spark.createDataFrame(pd.DataFrame(x, columns=names_).assign(id=np.arange(n), y=y, fold=fold, inner=inner))
+    got = {r["id"]: r["predicted"] for r in linear.ridge(frame, names_, "y", 10.0, "fold").select("id", "predicted").collect()}
+    for f in (1, 2, 3):
+        train, test = fold != f, fold == f
+        mean, std = x[train].mean(0), x[train].std(0)
+        z, zt = (x[train] - mean) / std, (x[test] - mean) / std
+        dual = np.linalg.solve(z @ z.T + 10 * np.eye(train.sum()), y[train] - y[train].mean())
+        want = zt @ (z.T @ dual) + y[train].mean()
+        assert [got[i] for i in np.flatnonzero(test)] == pytest.approx(want.tolist(), abs=1e-6)
+    assert linear.pls_regression(frame, names_, "y", "fold", "inner", max_k=2).select("predicted").dropna().count() == n
