@@ -32,6 +32,17 @@ PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 # --- tokens
 
+class Known(dict):
+    """Ids by word; words that were asked for in vain are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: set[str] = set()
+
+    def __missing__(self, word: str) -> None:
+        self.new.add(word)
+
+
 class Ids:
     """Ids of texts, with a bounded store of the ids of words between spaces.
 
@@ -41,9 +52,10 @@ class Ids:
     def __init__(self, path: str, most: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, Known()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.type = np.dtype("<u2" if max(vocabulary.values()) < 65536 else "<u4")
+        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -67,27 +79,36 @@ class Ids:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        stems = {w[:-1] for w in new if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha()}
-        letters = list({w for w in new if w.isalpha()} | {w for w in stems if w not in self.known})
+        letters, marked, other = set(), [], []
+        for w in words:
+            if w.isalpha():
+                letters.add(w)
+            elif w[-1:] in (".", ",") and w[:-1].isalpha():
+                marked.append(w)
+                if w[:-1] not in self.known:
+                    letters.add(w[:-1])
+            else:
+                other.append(w)
+        letters = list(letters)
         self.known.update(zip(letters, self._letters(letters), strict=True))
-        marks = dict(zip(".,", self._encode([".", ","]), strict=True))
-        rest = [w for w in new if w not in self.known]
-        joined = [w for w in rest if w[:-1] in stems and w[-1] in marks]
-        self.known.update((w, self.known[w[:-1]] + marks[w[-1]]) for w in joined)
-        other = [w for w in rest if w not in self.known]
         self.known.update(zip(other, self._encode(other), strict=True))
+        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1]]) for w in marked)
 
     def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known.clear()
-        split = [x.replace("\n", " ").split(" ") for x in texts]
-        found = [list(map(self.known.get, words)) for words in split]
-        new = [i for i, ids in enumerate(found) if None in ids]
-        self._learn({w for i in new for w, ids in zip(split[i], found[i], strict=True) if ids is None})
-        for i in new:
-            found[i] = [self.known[w] if ids is None else ids for w, ids in zip(split[i], found[i], strict=True)]
-        return [b"".join(ids) for ids in found]
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        found, lacking = [], []
+        for words in split:
+            before = len(known.new)
+            found.append(list(map(known.__getitem__, words)))
+            lacking.append(len(known.new) > before or None in found[-1])
+        if known.new:
+            new, known.new = known.new, set()
+            self._learn(new)
+        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if lack else ids)
+                for words, ids, lack in zip(split, found, lacking, strict=True)]
 
 
 @lru_cache(maxsize=1)
