@@ -118,20 +118,23 @@ def fit(texts: list[bytes], labels: np.ndarray, terms: Sequence[Sequence[str]] =
     swaps, rng = swap_table(terms), random.Random(seed)
     pairs = [(i, t) for i, x in enumerate(texts) for _ in range(twins) if (t := counterfactual(x, swaps, rng)) is not None]
 
-    def present(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = []
+    def present(own: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Features of some texts at a time, once per text."""
         for low in range(0, len(own), 500):
             names, row = features(pa.array(own[low : low + 500], pa.binary()))
             order = np.lexsort((names, row))
             names, row = names[order], row[order]
             new = np.ones(len(names), bool)
             new[1:] = (names[1:] != names[:-1]) | (row[1:] != row[:-1])
-            parts.append((names[new], row[new] + low))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, int))
-
-    names, row = present(texts)
-    known, at = np.unique(names, return_inverse=True)
-    seen, toxic = np.bincount(at).astype(float), np.bincount(at, labels[row])
+            yield names[new], row[new] + low
+
+    counts = []
+    for names, row in present(texts):
+        names, at = np.unique(names, return_inverse=True)
+        counts.append((names, np.bincount(at).astype(float), np.bincount(at, labels[row])))
+    known, at = np.unique(np.concatenate([c[0] for c in counts]), return_inverse=True)
+    seen, toxic = (np.bincount(at, np.concatenate([c[i] for c in counts]), len(known)) for i in (1, 2))
+    del counts, at
     positives = labels.sum()
     # how many standard errors a feature's share among positive rows lies off that among the others
     pooled = seen / n
@@ -142,13 +145,17 @@ def fit(texts: list[bytes], labels: np.ndarray, terms: Sequence[Sequence[str]] =
     if not len(known):
         return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
 
-    def matrix(names: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(known, names), len(known) - 1)
-        ok = known[at] == names
-        return row[ok], at[ok]
-
-    row, col = matrix(names, row)
-    twin_row, twin_col = matrix(*present([t for _, t in pairs]))
+    def matrix(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        rows, cols = [np.zeros(0, int)], [np.zeros(0, int)]
+        for names, row in present(own):
+            at = np.minimum(np.searchsorted(known, names), len(known) - 1)
+            ok = known[at] == names
+            rows.append(row[ok])
+            cols.append(at[ok])
+        return np.concatenate(rows), np.concatenate(cols)
+
+    row, col = matrix(texts)
+    twin_row, twin_col = matrix([t for _, t in pairs])
     of = np.array([i for i, _ in pairs], int)
     p = len(known)
 
