@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import join_skewed, materialise, settle
-from .words import hash_spans, mix64, slices
+from .tables import attach, join_skewed, materialise, settle
+from .words import mix64, slices
 
 LENGTH = 400
 GRAM = 32
@@ -267,11 +267,25 @@ def counted_marks(data: DataFrame, length: int) -> DataFrame:
 
 # --- the whole corpus
 
+def _press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts are compressed before they are shuffled; the text is the last column."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([press.compress(x) for x in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], [*batch.schema.names[:-1], "pressed"])
+
+
 def _cutter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
         for batch in batches:
             out = {c: [] for c in ("name", "digest", "times", "data")}
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for packed, found in zip(batch.column("pressed").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                text = plain.decompress(packed)
                 for f in found:
                     out["name"].append(f["name"])
                     out["digest"].append(f["digest"])
@@ -297,9 +311,13 @@ RESULT = "doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
+    for batch in slices(batches, "pressed", 4_000_000):
         size, removed, spans, kept = [], [], [], []
-        for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+        for packed, marks in zip(batch.column("pressed").to_pylist(), batch.column("marks").to_pylist(), strict=True):
+            text = plain.decompress(packed)
             mask = keep_mask(len(text), marks or [])
             gone = ~mask
             size.append(len(text))
@@ -315,21 +333,21 @@ def marks_of(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_by
              most_bytes: int = MOST_BYTES) -> DataFrame:
     """(row_key, marks): ranges (first, last) of removed bytes. ``texts`` has (row_key, text as bytes)."""
     all_contexts = materialise(texts.mapInArrow(_contexts(length, gram), CONTEXT))
-    sorts = all_contexts.groupBy("name", "digest").agg(
-        F.count(F.lit(1)).alias("times"), F.max("again").alias("again"), F.min(F.struct("row_key", "start", "windows")).alias("one"))
-    sorts = materialise(sorts)
-    names = sorts.groupBy("name").agg(F.sum("times").alias("n"), F.max("again").alias("again"),
-                                      F.sum(F.col("one.windows") + length - 1).alias("bytes"))
-    names = settle(names.where("n > 1 or again").select("name", (F.col("bytes") > most_bytes).alias("common"), "bytes"))
+    again = all_contexts.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again"))
+    held = attach(all_contexts.drop("again"), again.where("n > 1 or again").select("name"), ["name"], "left_semi", salts=8)
+    sorts = materialise(held.groupBy("name", "digest").agg(
+        F.count(F.lit(1)).alias("times"), F.min(F.struct("row_key", "start", "windows")).alias("one")))
+    names = sorts.groupBy("name").agg(F.sum(F.col("one.windows") + length - 1).alias("bytes"))
+    names = settle(names.select("name", "bytes", (F.col("bytes") > most_bytes).alias("common")))
     total = names.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    wanted = materialise(sorts.drop("again").join(names.select("name"), "name"))
 
     # the bytes of one instance of each sort of context
-    places = wanted.groupBy("one.row_key").agg(F.collect_list(F.struct(
+    places = sorts.groupBy("one.row_key").agg(F.collect_list(F.struct(
         "name", "digest", "times", F.col("one.start").alias("start"), F.col("one.windows").alias("windows"))).alias("found"))
 
-    data = places.join(texts, "row_key").mapInArrow(_cutter(length), "name long, digest long, times long, data binary")
+    pressed = texts.mapInArrow(_press, "row_key string, pressed binary")
+    data = places.join(pressed, "row_key").mapInArrow(_cutter(length), "name long, digest long, times long, data binary")
     any_common = not names.where("common").isEmpty()
     if any_common:
         data = materialise(data)
@@ -357,8 +375,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     texts = docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, raw).alias("row_key"), raw.alias("text"))
     marks = marks_of(texts.select("row_key", "text"), **options)
-    joined = texts.join(marks, "row_key", "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_remove, RESULT.format(kind=texts.schema["doc_id"].dataType.simpleString()))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    pressed = texts.mapInArrow(_press, f"doc_id {kind}, row_key string, pressed binary")
+    joined = pressed.join(marks, "row_key", "left").select("doc_id", "pressed", "marks")
+    return joined.mapInArrow(_remove, RESULT.format(kind=kind))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
