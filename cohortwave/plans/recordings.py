@@ -29,10 +29,12 @@ def build_segments(rec: DataFrame, markers: DataFrame, meta: DataFrame, allowed:
     """``rec``: subject, ts, marker, quality columns, features; ``markers``: subject, marker_id, task;
     ``meta``: subject, hours, gender; ``allowed``: the reference tasks.
 
-    The quality filter comes first, so a marker on a bad sample does not count. The rows inside
-    segments are written once: windows, medians and diagnostics are read from there.
+    The quality filter comes first, so a marker on a bad sample does not count. ``rec`` is a stored table: it is
+    scanned for the cuts, the marker rows, the rows inside segments and the counts, each time with the columns
+    that step needs, and never written as a whole. The rows inside segments are written once: windows, medians
+    and diagnostics are read from there.
     """
-    checked = materialise(quality_mask(rec, spec))
+    checked = quality_mask(rec, spec)
     clean = checked.where("ok").drop("ok")
     markers = settle(attach(markers, meta.select("subject").distinct(), ["subject"], "left_semi"))
     pairs = settle(pair_markers(clean, marker=marker, ts=ts))
