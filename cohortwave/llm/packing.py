@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_BYTES = 8_000_000
 CACHED_WORDS = 800_000
+KEPT_WORDS = 200_000
 SEED = 8
 PIECES = "group long, doc_id long, start long, doc_tokens long, ids binary"
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -110,6 +112,13 @@ class Ids:
         return [b"".join([known[w] if x is None else x for w, x in zip(words, ids, strict=True)] if lack else ids)
                 for words, ids, lack in zip(split, found, lacking, strict=True)]
 
+    def rest(self, keep: int = KEPT_WORDS) -> None:
+        """Between tasks a worker, which may do other work next, keeps the words it met first: the common ones."""
+        if len(self.known) > keep:
+            few = Known()
+            few.update(islice(self.known.items(), keep))
+            self.known = few
+
 
 @lru_cache(maxsize=1)
 def ids_of(path: str) -> Ids:
@@ -135,6 +144,7 @@ def _tokenise(path: str, end_id: int, capacity: int, groups: int):
             yield pa.RecordBatch.from_arrays([
                 pa.array(draw, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()),
                 pa.array(total, pa.int64()), pa.array(part, pa.binary())], ["group", "doc_id", "start", "doc_tokens", "ids"])
+        ids.rest()
 
     return run
 

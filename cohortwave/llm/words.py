@@ -110,7 +110,7 @@ def shingle_hashes(word_hash: np.ndarray, first: np.ndarray, width: int) -> tupl
     return value, begin
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the texts of one stay near ``most`` bytes; a longer text stands alone."""
     for batch in batches:
         column = batch.column(text)
