@@ -7,6 +7,9 @@ each. The share of equal minima estimates the Jaccard likeness of two shingle se
 Defined cases: a null text is the empty text; a text of fewer than five words has one shingle, all its words; a text without
 words has the signature of all ones, so two of them are alike (1.0) and one of them is like hardly any other (about 0). Fingerprints hold
 no place or id: equal texts have equal fingerprints. Rows of equal id are each fingerprinted; their order is by text.
+
+Near duplicates: texts of equal shingle sets are a class, named by 64 bits of the set's digest. Classes that share a band are candidates: a pair
+of Jaccard 0.8 shares none of 64 bands of four minima once in 4e14 times. Candidates are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -16,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import components, materialise, settle
+from .tables import attach, components, join_skewed, materialise, one_row_each, settle
 from .words import buffers, hash_words, mix64, shingle_hashes, slices, split_words
 
 WIDTH = 5
 PERMUTATIONS = 256
 BANDS = 64
 LEAST = 0.8
+NEAR = 8
+BLOCK = 512
 SEED = 9
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -167,52 +172,159 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", co
 
 # --- near duplicates
 
+ROWS = "doc_id long, text_key string, node long, size int, bands array<long>"
+
+
+def _sets(column: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text's shingle set, and the hashes with repeats and where each text's begin."""
+    data, offsets = buffers(column)
+    words = split_words(data, offsets)
+    hashes, begin = shingle_hashes(hash_words(data, words), words.first, width)
+    return [np.unique(hashes[begin[i] : begin[i + 1]]).view(np.int64) for i in range(len(column))], hashes, begin
+
+
 def _shingle_rows(count: int, width: int, bands: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            data, offsets = buffers(batch.column("text"))
-            words = split_words(data, offsets)
-            hashes, begin = shingle_hashes(hash_words(data, words), words.first, width)
-            sets = [np.unique(hashes[begin[i] : begin[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
+            sets, hashes, begin = _sets(batch.column("text"), width)
             sign = minima(hashes, begin, count, seed).reshape(batch.num_rows, bands, -1)
             place = np.arange(1, sign.shape[2] + 1, dtype=np.uint64) << np.uint64(32)
             keys = mix64(np.sum(mix64(sign.astype(np.uint64) + place), axis=2, dtype=np.uint64)
                          + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
+            nodes = [int.from_bytes(hashlib.sha256(x.tobytes()).digest()[:8], "big", signed=True) for x in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id").cast(pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in sets]),
-                pa.array(sets, pa.list_(pa.int64())), pa.array(list(keys), pa.list_(pa.int64()))],
-                ["doc_id", "class", "shingles", "bands"])
+                batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()),
+                pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "node", "size", "bands"])
+
+    return run
+
+
+def _shingles(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_sets(batch.column("text"), width)[0], pa.list_(pa.int64()))],
+                                             ["node", "shingles"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST,
-                    count: int = PERMUTATIONS, width: int = WIDTH, bands: int = BANDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class_id) for each document and (a, b, jaccard) for each pair of classes that are near duplicates.
+def _block_links(least: float):
+    """Batches sorted by key, whole keys held: links of members of different roots whose sets are alike."""
+    def found(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        sets = [np.asarray(r[4], np.int64) for r in rows]
+        size = np.array([len(x) for x in sets])
+        root = np.array([r[2] for r in rows])
+        side = np.array([r[3] for r in rows])
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(at, kind="stable")
+        first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(names)))))
+        ends = np.cumsum(size)
+        a, b = [], []
+        for i in range(len(sets)):
+            own = at[ends[i] - size[i] : ends[i]]
+            posts = np.repeat(first[own] - np.concatenate(([0], np.cumsum(first[own + 1] - first[own])[:-1])), first[own + 1] - first[own])
+            common = np.bincount(owner[order[posts + np.arange(len(posts))]], minlength=len(sets))
+            near = (common >= least * (size + size[i] - common)) & (root != root[i])
+            if side.any():
+                near &= side != side[i]
+            near[: i + 1] = False
+            for j in np.flatnonzero(near):
+                a.append(rows[i][1])
+                b.append(rows[j][1])
+        return a, b
 
-    Documents of equal shingle sets are a class, named by its smallest id, so copies never meet in pairs. Classes
-    that share a band of their signatures are compared by their whole shingle sets.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[-1][0] != r[0]:
+                    a, b = found(held)
+                    if a:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    held = []
+                held.append(r)
+        if held:
+            a, b = found(held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def shingle_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int = PERMUTATIONS, width: int = WIDTH,
+                 bands: int = BANDS, seed: int = SEED) -> DataFrame:
+    """Per row its id, the digest of its text, its class, the size of its shingle set and its band keys. A written table."""
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
+    return materialise(rows.mapInArrow(_shingle_rows(count, width, bands, seed), ROWS))
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
+    """The shingle set of ``key`` beside each row, as ``s`` and the key's name."""
+    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return join_skewed(rows, settle(count.join(sets.toDF(key, f"s{key}"), key)), key, "n")
+
+
+def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float = LEAST, width: int = WIDTH,
+             near: int = NEAR, block: int = BLOCK) -> DataFrame:
+    """(node, n, root) per class of ``shingle_rows``: its rows, and the class that names its component.
+
+    Members of a band are put in order. Each is compared by whole shingle sets with the ``near`` members before it and with the
+    band's first one. That is all pairs of an ordinary band; in a larger one, only members that those links leave in
+    different components are compared further, all with all in blocks of ``block`` members.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    rows = materialise(rows.mapInArrow(_shingle_rows(count, width, bands, seed),
-                                       "doc_id long, class string, shingles array<long>, bands array<long>"))
-    names = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    classes = materialise(rows.join(names, "class").where("doc_id = class_id").dropDuplicates(["class"])
-                          .select("class_id", "shingles", "bands"))
-    keyed = classes.select("class_id", F.explode("bands").alias("band"))
-    pairs = (keyed.alias("x").join(keyed.alias("y"), F.expr("x.band = y.band and x.class_id < y.class_id"))
-             .select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct())
-    sets = classes.select("class_id", "shingles")
-    both = (pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-            .withColumn("common", F.size(F.array_intersect("sa", "sb"))))
-    jaccard = F.col("common") / (F.size("sa") + F.size("sb") - F.col("common"))
-    found = both.where("size(sa) + size(sb) > 0").select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
-    return rows.join(names, "class").select("doc_id", "class_id"), found
+    classes = materialise(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"),
+                                                   F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
+    keyed = classes.where("size > 0").select(F.explode("bands").alias("band"), F.struct("node", "size").alias("m"))
+    order = Window.partitionBy("band").orderBy("m")
+    met = keyed.select("band", "m", F.row_number().over(order).alias("place"),
+                       F.first("m").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
+                       F.collect_list("m").over(order.rowsBetween(-near, -1)).alias("before"))
+    met = materialise(met.where("place > 1"))
+    tries = F.when(F.col("place") > near + 1, F.concat(F.array("top"), F.col("before"))).otherwise(F.col("before"))
+    pairs = met.select(F.explode(tries).alias("x"), F.col("m").alias("y"))
+    pairs = pairs.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size"))
+    pairs = settle(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    hot = settle(met.where(F.col("place") == near + 2).select("band"))
+    crowd = met.join(hot, "band", "left_semi")
+    crowd = settle(crowd.select("band", "m.node").unionByName(crowd.where("place = 2").select("band", "top.node")))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
+    wanted = settle(classes.join(wanted, "node").select("text_key", "node"))
+    body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    texts = attach(docs.select(F.md5(body).alias("text_key"), body.alias("text")), wanted, ["text_key"])
+    texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+    sets = materialise(texts.mapInArrow(_shingles(width), "node long, shingles array<long>"))
+    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
+    alike = F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))
+    found = settle(both.where(alike).select("a", "b"))
+    roots = settle(components(found, "a", "b"))
+    crowd = crowd.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    crowd = settle(crowd)
+    split = settle(crowd.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+                   .where("low < high").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    if not split.isEmpty():
+        dealt = attach(crowd, split, ["band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select(
+            F.concat_ws(" ", "band", F.least("own", "mate"), F.greatest("own", "mate")).alias("key"), "node", "root",
+            F.when(F.col("own") == F.col("mate"), 0).when(F.col("own") < F.col("mate"), 1).otherwise(2).alias("side"))
+        more = _with_sets(settle(dealt), sets, "node").select("key", "node", "root", "side", "snode")
+        more = more.repartition("key").sortWithinPartitions("key").mapInArrow(_block_links(least), "a long, b long")
+        roots = settle(components(found.unionByName(settle(more.distinct())), "a", "b"))
+    return settle(classes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, component_id): documents linked through near duplicates share the smallest id."""
-    members, found = near_duplicates(docs, doc_id, text, **options)
-    roots = components(settle(found), "a", "b")
-    return (members.join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
-            .select("doc_id", F.coalesce("root", "class_id").alias("component_id")))
+    rows = shingle_rows(docs, doc_id, text)
+    each = materialise(join_skewed(rows.select("doc_id", "node"), roots_of(docs, rows, text, **options), "node", "n"))
+    names = settle(each.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    return join_skewed(each, names, "root", "n").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near duplicates: that of smallest id, no id last, and of equal ids that of smallest text digest."""
+    rows = shingle_rows(docs, doc_id, text)
+    each = join_skewed(rows.select("doc_id", "text_key", "node"), roots_of(docs, rows, text, **options), "node", "n")
+    return one_row_each(docs, each, doc_id, text)

@@ -118,3 +118,22 @@ def join_skewed(rows: DataFrame, values: DataFrame, key: str | list[str], count:
     far = (rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
            .join(values.where(F.col(count) * most <= total).select(*keys, *names), keys))
     return near.unionByName(far)
+
+
+def one_row_each(docs: DataFrame, each: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` per root of ``each``, which has (doc_id, text_key as the MD5 of the text, root) per row.
+
+    It is the row of smallest id, no id last, then of smallest text digest; of rows equal in both, any one.
+    """
+    rows = each.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")).alias("s")
+    kept = settle(rows.groupBy("root").agg(first).select(F.col("s.doc_id").alias("__id"), F.col("s.text_key").alias("__key"),
+                                                        F.col("s.n").alias("__n")))
+    own, key = F.col(doc_id).cast("long"), F.md5(F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
+    same = own.eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    once = docs.join(kept.where("__n = 1"), same, "left_semi")
+    repeated = kept.where("__n > 1")
+    if repeated.isEmpty():
+        return once
+    many = docs.join(repeated, same, "left_semi").withColumns({"__id": own, "__key": key})
+    return once.unionByName(many.dropDuplicates(["__id", "__key"]).drop("__id", "__key"))

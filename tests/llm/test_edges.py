@@ -425,6 +425,41 @@ def test_near_duplicates(spark):
     assert got == {**{i: i // 3 * 3 for i in range(60)}, 60: 60, 61: 60, 62: 62}
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Copies of Jaccard 0.8 and more that two bits of a SimHash do not link, a band with many members, and a chain."""
+    from corpus_pipeline import drop_near_copies
+
+    rng = random.Random(11)
+    texts = []
+    for _ in range(12):
+        b = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        texts += [" ".join(b), " ".join([*b[:60], "changed", *b[61:130], "other", *b[131:]])]
+    common = [f"c{i}" for i in range(60)]
+    texts += [" ".join([*common, *[f"t{i}x{j}" for j in range(12 + i % 30)]]) for i in range(60)]
+    chain = [f"k{i}" for i in range(100)]
+    texts += [" ".join([*chain[4 * i :], *[f"n{j}" for j in range(4 * i)]]) for i in range(14)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in drop_near_copies(spark, frame, "").collect()} == set(root)
+    assert simhash.one_of_each(frame).count() > len(set(root))
+    for options in ({"near": 1, "block": 512}, {"near": 1, "block": 7}):
+        assert dict(map(tuple, minhash.groups(frame, **options).collect())) == dict(enumerate(root))
+
+
+def test_one_row_of_each_group(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, "no id"), (None, "no id"), (4, None), (5, "")]
+    kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (1, b), (None, "no id"), (4, None)])
+    assert minhash.one_of_each(kept.limit(0)).isEmpty() and minhash.groups(kept.limit(0)).isEmpty()
+
+
 # --- 10 archives
 
 PAGES = [(1, "http://a/\r\nx", "<p>small</p>"), (2, None, None), (3, "http://c/ü", "y" * 2000), (7, "http://d", "y" * 2000),
