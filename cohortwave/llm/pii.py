@@ -366,7 +366,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: in
 def redact_text(text: str, model: Model) -> str:
     """The text with each span replaced by its kind in angle brackets; overlapping spans are replaced as one."""
     base = base_spans(text)
-    others = [(s, traits(text, s)) for s in candidates(text, base)[len(base) :]] if base or _DIGIT.search(text) or "=" in text or ":" in text or "@" in text else []
+    others = [(s, traits(text, s)) for s in candidates(text, base)[len(base) :]]
     out, at = [], 0
     for kind, a, b in sorted(accepted(base, others, model), key=lambda s: (s[1], -s[2])):
         if a >= at:

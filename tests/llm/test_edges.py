@@ -342,6 +342,15 @@ def test_personal_data(docs, none):
     assert clean[11] == "mail me at <EMAIL> or <PHONE>." and clean[2] is None and clean[5] == LONG
 
 
+def test_redaction_sees_every_candidate():
+    """A veiled address without digit, '=', ':' or '@', which the classifier accepts."""
+    for text in ("write to jane.doe [at] example.com today", "or jane.doe (AT) example.org"):
+        (span,) = pii.examine(text)
+        model = pii.Model(np.array(span["traits"][:1]), np.array([9.0]))
+        assert pii.accepted([], [((span["kind"], span["start"], span["end"]), span["traits"])], model)
+        assert pii.redact_text(text, model) == text[: span["start"]] + "<EMAIL>" + text[span["end"] :]
+
+
 def test_searches_are_linear():
     import time
     for text in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "+(" * 100_000, "a@" * 20_000, "A1-" * 60_000):
