@@ -45,14 +45,16 @@ def resolve_root(spark: SparkSession, *roots: str) -> str:
 
 
 def _named_csv(spark: SparkSession, paths, columns: list[str], sep: str = ",", titled: bool = True,
-               found: DataFrame | None = None) -> DataFrame:
+               found: DataFrame | None = None, without: list[str] | None = None) -> DataFrame:
     """The wanted columns, as text, of files that may differ in what else they hold and in what order.
 
     With ``titled`` line 1 is a title and line 2 the header. The heads of all files are read first; there are as many
     branches as different headers. A file without a wanted column is an error that names both. Adds ``_path``.
+    Files in ``without`` are not read; any other that cannot be read to its end is an error.
     """
     if found is None:
-        found = heads(listed(spark, paths), 1 if titled else 0)
+        found = settle(heads(listed(spark, paths), 1 if titled else 0))
+        _all_readable(found)
     found = settle(found)
     kinds = [r[0] for r in found.where("header is not null").select("header").distinct().orderBy("header").collect()]
     headers = [split_header(h, sep) for h in kinds]
@@ -65,8 +67,11 @@ def _named_csv(spark: SparkSession, paths, columns: list[str], sep: str = ",", t
         return spark.createDataFrame([], _text_schema([*columns, "_path"])).withColumn("_block", F.lit(0).cast("long"))
     width = max(map(len, headers))
     rows = (spark.read.schema(_text_schema([f"_c{i}" for i in range(width)])).option("header", True).option("sep", sep)
-            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-            .csv(paths).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block")))
+            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", False)
+            .csv(paths))
+    if without:  # a filter on the path prunes the list of files
+        rows = rows.where(~F.col("_metadata.file_path").isin(without))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
     kind = F.lit(0)
     if len(headers) > 1:
         number = F.create_map(*[x for i, h in enumerate(kinds) for x in (F.lit(h), F.lit(i))])
@@ -144,7 +149,7 @@ def read_by_manifest(spark: SparkSession, manifest: DataFrame, columns: list[str
     """
     columns = columns or recording_columns()
     named = settle(manifest.select(F.col(subject).alias("subject"), F.col(path).alias("file")))
-    tried = settle(heads(named.select("file").where("file is not null").distinct(), 1))
+    tried = settle(heads(named.select("file").where("file is not null").distinct(), 1, whole=True))
     missing = named.join(tried.where("header is not null").select("file"), "file", "left_anti").join(
         tried.select("file", "problem"), "file", "left").select(
         "subject", "file", F.coalesce("problem", F.lit("no file named")).alias("problem"))
@@ -180,7 +185,8 @@ def read_tolerant(spark: SparkSession, paths, expected: DataFrame, columns: list
     of = settle(found.select(_subject(pattern), "problem", "file", "place", "header"))
     broken = of.where("problem is not null").groupBy("subject").agg(F.min("problem").alias("reason"))
     broken = settle(broken)
-    rows = _named_csv(spark, paths, columns, found=of.select("file", "place", "header", "problem"))
+    rows = _named_csv(spark, paths, columns, found=of.select("file", "place", "header", "problem"),
+                      without=[r[0] for r in of.where("problem is not null").select("file").collect()])
     rows = rows.select(_subject(pattern), *_numbers(rows, columns))
     loaded = attach(rows, broken.select("subject"), ["subject"], "left_anti")
     absent = (expected.select(F.col(subject).alias("subject")).distinct().join(of.select("subject").distinct(), "subject", "left_anti")

@@ -144,6 +144,33 @@ def test_a_cut_file_leaves_its_subject_out(spark, tmp_path):
     assert set(reasons) == {"B2", "B3"} and reasons["B3"] == "no file" and "EOF" in reasons["B2"]
 
 
+def test_a_cut_file_is_never_read_in_part(spark, tmp_path):
+    """The head of the file is whole, so only reading on tells; a space stands in its path."""
+    import gzip
+    numbers = [f"{i};{i * 7919 % 1000}" for i in range(50_000)]
+    heads_ = {"data": ("title: x\nTimestamp,MarkerIndex\n", ","), "marker": ("marker_id,type\n", ","),
+              "meta": ("title\nID;Average Sleep Hours per Night;Gender\n", ";"),
+              "lookup": ("original_stimuli_name,description,cognitive_domain\n", ",")}
+    for folder, share in (("c1", 1.0), ("c 2", 0.5)):
+        (tmp_path / folder).mkdir()
+        for name, (head, sep) in heads_.items():
+            data = gzip.compress((head + "".join(x.replace(";", sep) + "\n" for x in numbers)).encode())
+            (tmp_path / folder / f"{name}.csv.gz").write_bytes(data[: int(len(data) * share)])
+    wanted = ["Timestamp", "MarkerIndex"]
+    reads = {"data": lambda p: readers.read_recordings(spark, p, wanted), "marker": lambda p: readers.read_markers(spark, p),
+             "meta": lambda p: readers.read_metadata(spark, p), "lookup": lambda p: readers.read_lookup(spark, p)}
+    for name, read in reads.items():
+        assert read(f"{tmp_path}/c1/{name}.csv.gz").count() == 50_000
+        with pytest.raises(Exception):
+            read(f"{tmp_path}/*/{name}.csv.gz").collect()
+    manifest = spark.createDataFrame([(f, f"{tmp_path}/{f}/data.csv.gz") for f in ("c1", "c 2")], "Subject_ID string, Data_File string")
+    rec, missing = readers.read_by_manifest(spark, manifest, wanted)
+    assert {r["subject"]: r["count"] for r in rec.groupBy("subject").count().collect()} == {"c1": 50_000}
+    assert [r["subject"] for r in missing.collect()] == ["c 2"] and "EOF" in missing.first()["problem"]
+    loaded, skipped = readers.read_tolerant(spark, f"{tmp_path}/*/data.csv.gz", manifest.selectExpr("upper(Subject_ID) as subject"), wanted)
+    assert loaded.count() == 50_000 and sum("EOF" in r["reason"] for r in skipped.collect()) == 1
+
+
 def test_downsample_even_spacing(spark):
     rows = [("a", i, i + 1) for i in range(80)] + [("b", i, i + 1) for i in range(81)] + [("c", i, i + 1) for i in range(500)]
     df = spark.createDataFrame(rows, "seg string, ts long, window_index long")
