@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import ann, minhash, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
+from . import ann, importance, langid, lexical, minhash, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +136,80 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# CRC-32 is linear: a byte's part in the checksum depends on the byte and on how many bytes follow, and parts add by xor
+OP11_SQL = f"""
+WITH RECURSIVE step AS (
+  SELECT list(v ORDER BY b) AS t FROM (SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS v
+    FROM range(256) r(b))),
+texts AS (
+  SELECT 0 AS kind, doc_id AS id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS t FROM documents
+  UNION ALL SELECT 1, item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS (
+  SELECT kind, id, unnest(t) AS g FROM texts
+  UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM texts
+  UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) FROM texts),
+counted AS (SELECT kind, id, g, count(*) AS n FROM runs GROUP BY ALL),
+grams AS (SELECT g, hex(g) AS h, CAST(strlen(g) AS BIGINT) AS size FROM (SELECT DISTINCT g FROM counted)),
+parts AS (
+  SELECT CAST(0 AS BIGINT) AS d, b, CAST(t[b + 1] AS BIGINT) AS c FROM step, range(256) r(b) UNION ALL SELECT 0, 256, 4294967295
+  UNION ALL SELECT d + 1, b, xor(CAST(t[c % 256 + 1] AS BIGINT), c // 256) FROM parts, step WHERE d < (SELECT max(size) FROM grams)),
+letters AS (SELECT g, size, unnest(range(size)) AS i, h FROM grams),
+sums AS (
+  SELECT g, bit_xor(c) AS c FROM letters JOIN parts ON d = size - 1 - i AND b = CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) GROUP BY g),
+buckets AS (
+  SELECT g, xor(xor(s.c, p.c), 4294967295) % 10000 AS bucket FROM sums s JOIN grams USING (g) JOIN parts p ON p.d = size AND p.b = 256),
+each AS (SELECT kind, id, bucket, CAST(sum(n) AS BIGINT) AS n FROM counted JOIN buckets USING (g) GROUP BY ALL),
+totals AS (SELECT bucket, coalesce(sum(n) FILTER (kind = 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (kind = 1), 0)::DOUBLE AS t FROM each GROUP BY 1),
+sizes AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM totals),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000)))) AS BIGINT) AS gain FROM totals, sizes),
+weighed AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM each JOIN gain USING (bucket) WHERE kind = 0 GROUP BY 1),
+scored AS (
+  SELECT x.id AS doc_id, len(x.t) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || x.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM texts x LEFT JOIN weighed w ON w.id = x.id WHERE x.kind = 0),
+placed AS (
+  SELECT *, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id) END AS place,
+         count(*) FILTER (words >= 20) OVER () AS large FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * large // 100 THEN place END AS rank FROM placed"""
+
+
+@query("op11_target_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed by how much they look like the benchmark's texts, and those drawn."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+s AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS length FROM d WHERE len(t) > 0),
+held AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM held GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+asked AS (SELECT item_id, term, count(*) AS r FROM (
+  SELECT item_id, unnest(regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+share AS (
+  SELECT doc_id, term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT)
+         * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))) AS part
+  FROM tf JOIN df USING (term), s WHERE term IN (SELECT term FROM asked)),
+scored AS (SELECT item_id, doc_id, CAST(sum(r * part) AS BIGINT) AS score FROM asked JOIN share USING (term) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20"""
+
+
+@query("op12_lexical_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty documents of highest score for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_language_by_words")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by its words' labels."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents filtered, deduplicated, redacted, mixed and packed."""
