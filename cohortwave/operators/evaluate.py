@@ -190,7 +190,11 @@ def threshold_table(scored: DataFrame, thresholds: list[float], by: list[str], s
     reached = reduce(lambda a, b: a + b, [(F.col(score) >= t).cast("int") for t in cuts])
     p = F.col(positive).cast("boolean")
     counts = scored.groupBy(*by, reached.alias("_level")).agg(F.count_if(p).alias("_pos"), F.count_if(~p).alias("_neg"))
+    return threshold_cells(counts, cuts, by)
 
+
+def threshold_cells(counts: DataFrame, cuts: list[float], by: list[str]) -> DataFrame:
+    """The same from (``_level``, ``_pos``, ``_neg``): rows of each class by how many of the sorted cuts they reach."""
     def cell(i: int, t: float) -> Column:
         above = F.col("_level") > i
         zero = F.lit(0)
@@ -207,7 +211,10 @@ def threshold_table(scored: DataFrame, thresholds: list[float], by: list[str], s
 def tune_threshold(scored: DataFrame, thresholds: list[float], by: list[str], outer: list[str],
                    score: str = "score", positive: str = "is_positive") -> DataFrame:
     """The best setting per outer fold by F1, recall and accuracy, then the smallest settings."""
-    table = threshold_table(scored, thresholds, by, score, positive)
+    return best_threshold(threshold_table(scored, thresholds, by, score, positive), by, outer)
+
+
+def best_threshold(table: DataFrame, by: list[str], outer: list[str]) -> DataFrame:
     settings = [c for c in by if c not in outer] + ["threshold"]
     order = F.struct(-F.col("f1"), -F.col("recall"), -F.col("accuracy"), *[F.col(c) for c in settings])
     best = F.min_by(F.struct(*settings, "f1", "precision", "recall", "accuracy"), order)

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FRIENDLY_LABELS, code_map
+from .agglomerate import MOST, assign, standard_points, ward_tree
 from .baselines import class_weights, dummy_majority_cv, dummy_mean_cv
 from .evaluate import binary_metrics, leaderboard, regression_metrics
 from .scale import materialise
@@ -230,10 +231,10 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, restarts: int = 20, s
     return min(fits, key=lambda m: m.summary.trainingCost).transform(prepared)
 
 
-def hierarchical_clusters(df: DataFrame, features: list[str], k: int = 3, seed: int = 42,
-                          out: str = "cluster") -> DataFrame:
-    prepared = Pipeline(stages=scaled(features)).fit(df).transform(df)
-    return BisectingKMeans(k=k, seed=seed, predictionCol=out).fit(prepared).transform(prepared).drop("_raw")
+def hierarchical_clusters(df: DataFrame, features: list[str], k: int = 3, out: str = "cluster", most: int = MOST) -> DataFrame:
+    """Ward clusters of the standardised features; exact up to ``most`` distinct rows (see ``agglomerate``)."""
+    points = materialise(standard_points(df, features))
+    return assign(points, ward_tree(points, most), k, out).drop("x")
 
 
 def pca(df: DataFrame, features: list[str], k: int = 2) -> DataFrame:

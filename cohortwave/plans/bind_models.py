@@ -8,11 +8,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bin_label, uniform
+from ..operators import agglomerate as ag
 from ..operators import baselines as b
 from ..operators import groups as g
 from ..operators import models as m
 from ..operators.evaluate import binary_metrics, regression_metrics, subject_aggregate
 from ..operators.folds import group_kfold, kfold
+from ..operators.logistic import logistic_cv
 from ..operators.scale import materialise
 from ..sources.writers import load_model, save_model
 from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, U, rounded, sql
@@ -95,6 +97,27 @@ def _(t):
     return _proper(m.cross_val_predict(est, _toxic(t), "fold", prepare=m.weigh_train("toxic")))
 
 
+CELL = "len >= 1500"
+ONE_CELL = f"""x AS (SELECT doc_id, toxic, CAST({CELL} AS INTEGER) AS b, CAST(floor({U('fold', 'doc_id')} * 3) + 1 AS INTEGER) AS fold FROM scored),
+    f AS (SELECT l.fold, l.b, count(*) FILTER (toxic = 1 AND r.b = l.b) / count(*) FILTER (toxic = 1)::DOUBLE AS p,
+      count(*) FILTER (toxic = 0 AND r.b = l.b) / count(*) FILTER (toxic = 0)::DOUBLE AS q
+      FROM (SELECT DISTINCT fold, b FROM x) l JOIN x r ON l.fold <> r.fold GROUP BY 1, 2)"""
+
+
+@query("m14_logistic_of_one_cell", sql("scored", f"WITH {ONE_CELL} SELECT doc_id, fold, round(p / (p + q), 5) AS score FROM x JOIN f USING (fold, b)"))
+def _(t):
+    """Without a penalty, the probability in each cell of one 0/1 feature is the balanced share of label 1 in the other folds."""
+    rows = materialise(_toxic(t).withColumn("b", F.expr(CELL).cast("double")))
+    return logistic_cv(rows, ["b"], "toxic", "fold", c=1e9).select("doc_id", "fold", F.round("score", 5).alias("score"))
+
+
+@query("m14_logistic_one_row_out")
+def _(t):
+    """As many folds as documents, in the same scans."""
+    rows = materialise(_toxic(t).drop("fold").withColumn("fold", F.col("doc_id")))
+    return logistic_cv(rows, DOC, "toxic", "fold").select("doc_id", F.round("score", 6).alias("score"))
+
+
 def _line():
     return Pipeline(stages=[m.assemble(["qty"]), LinearRegression(labelCol="hours", solver="normal")])
 
@@ -184,6 +207,31 @@ def _(t):
     return _clustered(m.hierarchical_clusters(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3))
 
 
+WARD_Z = """z AS (SELECT subject, """ + ", ".join(f"({f} - avg({f}) OVER ()) / stddev_samp({f}) OVER () AS {f}" for f in FEATURES) + " FROM subj)"
+
+
+@query("m26_ward_tree", sql("subj", f"""WITH {WARD_Z}, d AS (SELECT DISTINCT qty, price, disc, tax FROM z),
+    near AS (SELECT min(sqrt((a.qty - b.qty) ** 2 + (a.price - b.price) ** 2 + (a.disc - b.disc) ** 2 + (a.tax - b.tax) ** 2)) AS least
+      FROM z a JOIN z b ON a.subject < b.subject)
+    SELECT (SELECT count(*) FROM d) - 1 AS merges, (SELECT count(*) FROM z) AS top_size, round((SELECT least FROM near), 6) AS lowest,
+      round((SELECT sum(qty ** 2 + price ** 2 + disc ** 2 + tax ** 2) FROM z), 4) AS total"""))
+def _(t):
+    """Of Ward's tree: its merges, what the last one holds, the height of the first one (the least distance of two subjects), and
+    the cost that all merges and the leaves add up to, which is the whole sum of squares."""
+    points = materialise(ag.standard_points(t.subj, FEATURES))
+    tree = ag.ward_tree(points)
+    return ag.merge_table(tree, points).agg(
+        F.count(F.lit(1)).alias("merges"), F.max("size").alias("top_size"), F.round(F.min("height"), 6).alias("lowest"),
+        F.round(F.sum(F.col("height") * F.col("height")) / 2 + F.lit(tree.lost), 4).alias("total"))
+
+
+@query("m26_ward_merges")
+def _(t):
+    """The merge table of Ward's tree over the subjects."""
+    points = materialise(ag.standard_points(t.subj, FEATURES))
+    return rounded(ag.merge_table(ag.ward_tree(points), points), ["height"], 6)
+
+
 @query("m27_pca_of_two", sql("subj", """WITH z AS (SELECT subject, (qty - avg(qty) OVER ()) / stddev_samp(qty) OVER () AS a,
       (price - avg(price) OVER ()) / stddev_samp(price) OVER () AS b, sign(corr(qty, price) OVER ()) AS s FROM subj)
     SELECT subject, round((a + s * b) ** 2 / 2, 6) AS first, round((a - s * b) ** 2 / 2, 6) AS second FROM z"""))
@@ -225,9 +273,7 @@ def _(t):
 
 @query("m14_logistic_balanced")
 def _(t):
-    est = lambda train: m.logistic_balanced(train, DOC, "toxic", 1.0)
-    p = m.cross_val_predict(est, _toxic(t), "fold", prepare=m.weigh_train("toxic"))
-    return m.positive_probability(p).select("doc_id", "fold", "toxic", F.round("score", 6).alias("score"))
+    return logistic_cv(_toxic(t), DOC, "toxic", "fold").select("doc_id", "fold", "toxic", F.round("score", 6).alias("score"))
 
 
 @query("m15_rbf_margin_classifier")
@@ -368,12 +414,12 @@ def _votes(t):
 
 
 @query("flow_nested_tuning", f"""WITH docs AS (SELECT doc_id, toxic FROM documents JOIN labels USING (doc_id)),
-    o AS (SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {U(42, 'doc_id')}, doc_id) - 1) % 3 + 1 AS INTEGER) AS outer_fold FROM docs)
+    o AS (SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {U(42, 'doc_id')}, doc_id) - 1) % 5 + 1 AS INTEGER) AS outer_fold FROM docs)
     SELECT outer_fold, count(*) AS rows, count(DISTINCT doc_id) AS keys, CAST(sum(toxic) AS BIGINT) AS positives,
       CAST(1 AS BIGINT) AS settings, CAST(0 AS BIGINT) AS wrong FROM o GROUP BY 1""")
 def _(t):
     """Per outer fold: its test rows, each predicted once, by one setting of the grid and the threshold that goes with it."""
-    out = nested_tuning(_toxic(t).drop("fold"), DOC, "toxic", ["doc_id"], outer=3, inner=2).predictions
+    out = nested_tuning(_toxic(t).drop("fold"), DOC, "toxic", ["doc_id"]).predictions
     fits = F.col("c").isin(*PENALTIES) & F.col("threshold").isin(*THRESHOLDS) & F.col("score").between(0, 1)
     return out.groupBy("outer_fold").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("doc_id").alias("keys"), F.sum("toxic").cast("long").alias("positives"),

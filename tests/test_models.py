@@ -223,7 +223,8 @@ def test_augmentation_conserves_counts(cohort):
 
 def test_clusters(cohort):
     assert models.kmeans(cohort, ["p", "q"], 3, restarts=2).select("cluster").distinct().count() == 3
-    assert models.hierarchical_clusters(cohort, ["p", "q"], 3).count() == cohort.count()
+    found = models.hierarchical_clusters(cohort, ["p", "q"], 3)
+    assert found.count() == cohort.count() and found.select("cluster").distinct().count() == 3
     assert models.pca(cohort, ["p", "q"]).agg(F.abs(F.avg("pc1"))).first()[0] < 1e-9
 
 
