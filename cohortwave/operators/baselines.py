@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
-from itertools import islice
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quantiles import quantile_agg
-from .scale import attach, settle
+from .scale import attach, materialise, row_numbers, settle
 
 
 def dummy_mean_cv(df: DataFrame, fold: str, y: str, out: str = "predicted") -> DataFrame:
@@ -65,34 +61,45 @@ def standardize(df: DataFrame, features: list[str], fold: str | None = None, ddo
                                for c in df.columns])
 
 
-def train_rows(df: DataFrame, fold: str, folds: list) -> DataFrame:
-    """Each row once per fold it trains in, under ``train_for``."""
-    return df.withColumn("train_for", F.explode(F.array(*[F.lit(f) for f in folds]))) \
-        .where(F.col("train_for") != F.col(fold))
-
-
-FOLDS_PER_SCAN = 100  # train sets formed at once when each needs its own medians
-
+def fold_medians(df: DataFrame, features: list[str], fold: str) -> DataFrame:
+    """(fold, medians): per fold the interpolated median of every feature over the rows outside it, in the order of ``features``.
 
-def _chunks(items: Iterable, size: int) -> Iterator[list]:
-    items = iter(items)
-    while some := list(islice(items, size)):
-        yield some
-
-
-def impute_median(df: DataFrame, features: list[str], fold: str | None = None, folds: list | None = None) -> DataFrame:
+    No row is copied for a train set. Each value has a rank among all values of its feature and one among those of its fold.
+    Of the values outside a fold, the k-th (from 0) has rank k plus the number of the fold's values that come before it, and
+    those are the ones whose two ranks differ by at most k. So the ranks, counts per (feature, fold) and a look-up of two ranks each
+    answer for all folds together, however many there are.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f"`{f}`").cast("double").alias("_x")) for i, f in enumerate(features)])
+    long = df.select(F.col(fold).alias("_fold"), F.inline(cells)).where(F.col("_x").isNotNull())
+    long = materialise(long.withColumn("_id", F.monotonically_increasing_id()))
+    ranked = materialise(row_numbers(long, ["_f"], ["_x", "_id"], "_at").drop("_id"))
+    own = row_numbers(ranked.drop("_x"), ["_f", "_fold"], ["_at"], "_own")
+    sizes = settle(ranked.groupBy("_f", "_fold").agg(F.count(F.lit(1)).alias("_n")))
+    every = settle(df.select(F.col(fold).alias("_fold")).distinct()).withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    left = every.join(sizes, ["_f", "_fold"], "left").join(sizes.groupBy("_f").agg(F.sum("_n").alias("_all")), "_f", "left")
+    left = left.withColumn("_left", F.col("_all") - F.coalesce("_n", F.lit(0))).where("_left > 0")
+    left = settle(left.select("_f", "_fold", F.floor((F.col("_left") - 1) / 2).alias("_low"), F.ceil((F.col("_left") - 1) / 2).alias("_high")))
+    lead = F.col("_at") - F.col("_own")
+    passed = attach(own, left, ["_f", "_fold"]).groupBy("_f", "_fold").agg(
+        F.count_if(lead <= F.col("_low")).alias("_a"), F.count_if(lead <= F.col("_high")).alias("_b"))
+    wanted = left.join(passed, ["_f", "_fold"], "left").select("_f", "_fold", F.explode(F.array(
+        F.col("_low") + F.coalesce("_a", F.lit(0)) + 1, F.col("_high") + F.coalesce("_b", F.lit(0)) + 1)).alias("_at"))
+    wanted = settle(wanted)
+    found = attach(ranked.select("_f", "_at", "_x"), wanted.select("_f", "_at").distinct(), ["_f", "_at"], salts=1)
+    middle = wanted.join(found, ["_f", "_at"]).groupBy("_f", "_fold").agg(
+        (F.min("_x") + (F.max("_x") - F.min("_x")) * 0.5).alias("_m"))
+    placed = every.join(middle, ["_f", "_fold"], "left").groupBy("_fold").agg(F.array_sort(F.collect_list(F.struct("_f", "_m"))).alias("_all"))
+    return placed.select(F.col("_fold").alias(fold), F.col("_all._m").alias("medians"))
+
+
+def impute_median(df: DataFrame, features: list[str], fold: str | None = None) -> DataFrame:
     """Missing values become the interpolated median of the train rows."""
     if fold is None:
         medians = quantile_agg(df, [], {f: (f, 0.5) for f in features}).first().asDict()
         return df.fillna({f: v for f, v in medians.items() if v is not None})
-    narrow = df.select(fold, *features)
-    wanted = folds or (r[0] for r in settle(df.select(fold).distinct()).toLocalIterator())
-    parts = [quantile_agg(train_rows(narrow, fold, some), ["train_for"], {f"_med_{f}": (f, 0.5) for f in features})
-             for some in _chunks(wanted, FOLDS_PER_SCAN)]
-    medians = reduce(DataFrame.unionByName, parts)
-    placed = attach(df, medians.withColumnRenamed("train_for", fold), [fold])
-    return placed.withColumns({f: F.coalesce(f, f"_med_{f}") for f in features}) \
-        .drop(*[f"_med_{f}" for f in features])
+    medians = fold_medians(df, features, fold).withColumnRenamed("medians", "_medians")
+    placed = attach(df, medians, [fold])
+    return placed.withColumns({f: F.coalesce(F.col(f"`{f}`"), F.get("_medians", F.lit(i))) for i, f in enumerate(features)}).drop("_medians")
 
 
 def one_hot(df: DataFrame, col: str, values: list[str] | None = None) -> DataFrame:

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .products import add_rows, matrix_sums
-from .scale import attach, settle
+from .scale import attach, materialise, settle
 
 SOLVE_TASKS = 1_000
-PATH_FOLDS = 32  # folds whose eigenvectors travel with one scan of ridge_path
+GROUP_BYTES = 16 << 20  # eigenvectors of folds that are scored together in ridge_path
+BLOCK_ROWS = 2_048      # rows that are scored together
 
 
 @dataclass(frozen=True)
@@ -199,68 +200,112 @@ def ridge(df: DataFrame, features: list[str], y: str, alpha: float, fold: str, o
     return _predict(df, features, fold, Sums(df, features, y, fold).solve(solver), out).drop("details")
 
 
-def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=None, out: str = "predicted") -> DataFrame:
-    """Ridge with the penalty of least leave-one-out error in each train set.
-
-    A row's leave-one-out error is its residual over one minus its leverage; with the
-    eigenvectors of a train set both are short sums, so a scan scores all penalties of
-    ``PATH_FOLDS`` folds at once.
-    """
-    alphas = np.logspace(-4, 4, 25) if alphas is None else np.asarray(alphas, float)
-    sums = Sums(df, features, y, fold)
-    total = sums.totals()[0]
-    kind = dict(sums.table.dtypes)["_fold"]
-    tables = []
-    chunk: dict = {}
+@dataclass(frozen=True)
+class Basis:
+    """Eigenvectors of a train set's standardised features, and what is needed to place a row on them."""
+
+    values: np.ndarray
+    vectors: np.ndarray
+    c: np.ndarray        # label on the eigenvectors
+    mean: np.ndarray
+    scale: np.ndarray
+    label_mean: float
+    n: float
 
-    def score(bases: dict) -> DataFrame:
-        def run(batches):
-            errors = {f: np.zeros(len(alphas)) for f in bases}
-            for pdf in batches:
-                x_all, y_all, own = pdf[features].to_numpy(float), pdf[y].to_numpy(float), pdf[fold].to_numpy()
-                for f, (values, vectors, c, mx, scale, my, n) in bases.items():
-                    rows = own != f
-                    t = ((x_all[rows] - mx) / scale) @ vectors
-                    target = y_all[rows] - my
-                    for i, a in enumerate(alphas):
-                        shrink = 1.0 / (values + a)
-                        leverage = 1.0 / n + (t * t) @ shrink
-                        errors[f][i] += float(np.sum(((target - t @ (c * shrink)) / (1 - leverage)) ** 2))
-            cells = [(f, float(alphas[i]), v) for f, e in errors.items() for i, v in enumerate(e)]
-            yield pd.DataFrame(cells, columns=["_fold", "_alpha", "_e"])
-
-        return settle(df.select(fold, *features, y).mapInPandas(run, f"_fold {kind}, _alpha double, _e double")
-                           .groupBy("_fold", "_alpha").agg(F.sum("_e").alias("_e"))
-                           .groupBy("_fold").agg(F.min_by("_alpha", F.struct("_e", "_alpha")).alias("_alpha")))
-
-    for r in sums.table.toLocalIterator():
-        g = total - unpack(r["n"], np.array(r["values"], float), sums.centre)
+    @staticmethod
+    def of(g: Gram) -> "Basis":
         xx, xy, mean, scale = g.standardised()
         values, vectors = np.linalg.eigh(xx)
         middle = mean + g.centre
-        chunk[r["_fold"]] = (np.maximum(values, 0), vectors, vectors.T @ xy, middle[:-1], scale, middle[-1], g.n)
-        if len(chunk) == PATH_FOLDS:
-            tables.append(score(chunk))
-            chunk = {}
-    if chunk:
-        tables.append(score(chunk))
-    best = tables[0]
-    for t in tables[1:]:
-        best = best.unionByName(t)
-
-    centre = sums.centre
+        return Basis(np.maximum(values, 0), vectors, vectors.T @ xy, middle[:-1], scale, float(middle[-1]), float(g.n))
+
+    def pack(self) -> bytes:
+        return np.concatenate(([self.n, self.label_mean], self.values, self.c, self.mean, self.scale, self.vectors.ravel())).tobytes()
+
+    @staticmethod
+    def unpack(packed: bytes, p: int) -> "Basis":
+        v = np.frombuffer(packed)
+        values, c, mean, scale = v[2 : 2 + 4 * p].reshape(4, p)
+        return Basis(values, v[2 + 4 * p :].reshape(p, p), c, mean, scale, v[1], v[0])
+
+    def left_out_errors(self, x: np.ndarray, y: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+        """Per penalty the sum of squared leave-one-out errors of these train rows: residuals over one minus the leverage."""
+        t = ((x - self.mean) / self.scale) @ self.vectors
+        target, square = y - self.label_mean, t * t
+        shrink = 1.0 / (self.values[:, None] + alphas[None, :])
+        leverage = 1.0 / self.n + square @ shrink
+        return ((target[:, None] - t @ (self.c[:, None] * shrink)) ** 2 / (1 - leverage) ** 2).sum(axis=0)
+
 
+def _row_blocks(p: int, rows: int):
+    """Rows packed into blocks: the folds of the rows, and their features and label as one matrix."""
     def run(batches):
         for pdf in batches:
-            rows = []
+            out = []
+            for low in range(0, len(pdf), rows):
+                part = pdf.iloc[low : low + rows]
+                out.append((part["_fold"].tolist(), np.ascontiguousarray(part[[f"x{i}" for i in range(p + 1)]].to_numpy(float)).tobytes()))
+            yield pd.DataFrame(out, columns=["own", "rows"])
+
+    return run
+
+
+def ridge_path(df: DataFrame, features: list[str], y: str, fold: str, alphas=None, out: str = "predicted",
+               group_bytes: int = GROUP_BYTES, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Ridge with the penalty of least leave-one-out error in each train set.
+
+    The eigenvectors of a train set are computed in the task that holds its fold's sums. Folds are dealt into groups of about
+    ``group_bytes`` of them, rows into blocks; every (group, block) pair is scored where it lies, and the errors are added up per fold. Only the
+    totals go to the driver; each fold's penalty stays in a table.
+    """
+    alphas = np.logspace(-4, 4, 25) if alphas is None else np.asarray(alphas, float)
+    sums, p = Sums(df, features, y, fold), len(features)
+    total, centre = sums.totals()[0], sums.centre
+    kind = dict(sums.table.dtypes)["_fold"]
+    count = sums.table.count()
+    groups = max(1, -(-count * 8 * (p * p + 4 * p + 2) // group_bytes))
+
+    def decompose(batches):
+        for pdf in batches:
+            packed = [Basis.of(total - unpack(n, np.asarray(v, float), centre)).pack() for n, v in zip(pdf["n"], pdf["values"])]
+            yield pd.DataFrame({"_fold": pdf["_fold"], "basis": packed})
+
+    spread = sums.table.select("_fold", "n", "values").repartition(max(1, min(count, SOLVE_TASKS)), "_fold")
+    bases = spread.mapInPandas(decompose, f"_fold {kind}, basis binary")
+    bases = bases.groupBy(F.pmod(F.xxhash64("_fold"), F.lit(groups)).cast("int").alias("_group")).agg(
+        F.collect_list("_fold").alias("folds"), F.collect_list("basis").alias("bases"))
+    cols = [*features, y]
+    rows = df.selectExpr(f"`{fold}` AS _fold", *[f"CAST(`{c}` AS DOUBLE) AS x{i}" for i, c in enumerate(cols)])
+    blocks = rows.mapInPandas(_row_blocks(p, block_rows), f"own array<{kind}>, rows binary")
+    dealt = attach(blocks.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), materialise(bases), ["_group"])
+
+    def score(batches):
+        errors: dict = {}
+        for pdf in batches:
+            for own, packed, folds, held in zip(pdf["own"], pdf["rows"], pdf["folds"], pdf["bases"]):
+                block, own = np.frombuffer(packed).reshape(-1, p + 1), np.asarray(own)
+                for f, basis in zip(folds, held):
+                    train = block[own != f]
+                    told = Basis.unpack(basis, p).left_out_errors(train[:, :p], train[:, p], alphas)
+                    errors[f] = errors.get(f, 0.0) + told
+        cells = [(f, float(a), float(v)) for f, e in errors.items() for a, v in zip(alphas, e)]
+        yield pd.DataFrame(cells, columns=["_fold", "_alpha", "_e"])
+
+    scored = dealt.select("own", "rows", "folds", "bases").mapInPandas(score, f"_fold {kind}, _alpha double, _e double")
+    best = scored.groupBy("_fold", "_alpha").agg(F.sum("_e").alias("_e")).groupBy("_fold").agg(
+        F.min_by("_alpha", F.struct("_e", "_alpha")).alias("_alpha"))
+
+    def rule(batches):
+        for pdf in batches:
+            out = []
             for key, alpha, n, values in zip(pdf["_fold"], pdf["_alpha"], pdf["n"], pdf["values"]):
                 g = total - unpack(n, np.asarray(values, float), centre)
                 intercept, slopes = g.coefficients(ridge_beta(g, alpha))
-                rows.append((key, intercept, slopes.tolist(), f"alpha={alpha:.6g}"))
-            yield pd.DataFrame(rows, columns=["_fold", "_b0", "_b", "details"])
+                out.append((key, intercept, slopes.tolist(), f"alpha={alpha:.6g}"))
+            yield pd.DataFrame(out, columns=["_fold", "_b0", "_b", "details"])
 
-    chosen = sums.table.select("_fold", "n", "values").join(best, "_fold")
-    rules = chosen.mapInPandas(run, f"_fold {kind}, _b0 double, _b array<double>, details string")
+    chosen = sums.table.select("_fold", "n", "values").join(settle(best), "_fold")
+    rules = chosen.mapInPandas(rule, f"_fold {kind}, _b0 double, _b array<double>, details string")
     return _predict(df, features, fold, rules.withColumnRenamed("_fold", fold), out)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -20,9 +22,10 @@ from ..functions.scalars import FRIENDLY_LABELS, code_map
 from .agglomerate import MOST, assign, standard_points, ward_tree
 from .baselines import class_weights, dummy_majority_cv, dummy_mean_cv
 from .evaluate import binary_metrics, leaderboard, regression_metrics
-from .scale import materialise
+from .scale import append, materialise
 
 MIN_LEAF = 1
+FOLDS_AT_ONCE = 32  # folds whose predictions form one plan
 MAX_DEPTH = 30  # the deepest tree Spark grows; the forests here have no limit of their own
 
 
@@ -137,15 +140,17 @@ Estimator = Callable[[DataFrame], Pipeline] | Pipeline
 
 
 def cross_val_predict(est: Estimator, df: DataFrame, fold: str, threads: int = 4,
-                      prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+                      prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+                      most: int = FOLDS_AT_ONCE) -> DataFrame:
     """Out-of-fold prediction of every row.
 
     ``est`` may be a function of the train rows; ``prepare`` may fit anything else on them.
-    The rows are written once for all fits, and folds are fitted side by side.
+    The rows are written once for all fits, and folds are fitted side by side, ``most`` at a time: their predictions
+    are written before the next ones are fitted, so neither the plan nor the driver grows with the number of folds.
     """
     rows = materialise(df)
-    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
-    if len(folds) < 2:
+    folds = materialise(rows.select(fold).distinct().orderBy(fold))
+    if folds.count() < 2:
         raise ValueError("at least two folds are needed")
 
     def one(f):
@@ -155,12 +160,15 @@ def cross_val_predict(est: Estimator, df: DataFrame, fold: str, threads: int = 4
         pipeline = est(train) if callable(est) else est
         return pipeline.fit(train).transform(test)
 
-    with ThreadPoolExecutor(max_workers=min(threads, len(folds))) as pool:
-        parts = list(pool.map(one, folds))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    out = None
+    names = (r[0] for r in folds.toLocalIterator())
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        while some := list(islice(names, most)):
+            part = reduce(DataFrame.unionByName, pool.map(one, some))
+            if out is None and len(some) < most:
+                return part
+            out = append(part, out)
+    return out.read()
 
 
 def positive_probability(df: DataFrame, out: str = "score", column: str = "probability") -> DataFrame:

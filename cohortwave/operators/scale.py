@@ -46,6 +46,24 @@ def materialise(df: DataFrame) -> DataFrame:
     return _mark(spark.read.schema(df.schema).parquet(path))
 
 
+class Written:
+    """A table that grows by whole parts, in the shared folder."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{shared_dir(self.spark)}/{uuid.uuid4().hex}"
+
+    def read(self) -> DataFrame:
+        return _mark(self.spark.read.schema(self.schema).parquet(self.path))
+
+
+def append(part: DataFrame, to: Written | None = None) -> Written:
+    """Write a part beside those written before it; the first part starts a table."""
+    to = to or Written(part)
+    part.select(to.schema.names).write.mode("append").parquet(to.path)
+    return to
+
+
 def settle(df: DataFrame) -> DataFrame:
     """The same for a table of one row per group, as a checkpoint, which is quicker for few rows."""
     if getattr(df, "_written", False):

@@ -69,6 +69,10 @@ def test_ridge_path_picks_the_least_leave_one_out_error(data):
     out = linear.ridge_path(df, X, "y", "fold", alphas)
     assert predicted(out) == pytest.approx(out_of_fold(pdf, fit))
     assert out.where(~F.col("details").startswith("alpha=")).isEmpty()
+    for options in ({"group_bytes": 1}, {"block_rows": 7}, {"group_bytes": 300, "block_rows": 11}):
+        assert predicted(linear.ridge_path(df.repartition(4), X, "y", "fold", alphas, **options)) == pytest.approx(predicted(out))
+    alone = linear.ridge_path(df.withColumn("fold", F.col("id")), X, "y", "fold", alphas)
+    assert predicted(alone) == pytest.approx(out_of_fold(pdf.assign(fold=pdf.id), fit))
 
 
 def test_one_fold_per_row(data):
@@ -125,6 +129,11 @@ def test_cross_val_predict_covers_each_row_once(data):
     _, df = data
     p = models.cross_val_predict(models.rf_regressor(X, "y", 5, depth=4), df, "fold")
     assert p.count() == 90 and p.select("id").distinct().count() == 90
+    line = models.Pipeline(stages=[models.assemble(X), models.LinearRegression(labelCol="y", solver="normal")])
+    whole = {r["id"]: r["prediction"] for r in models.cross_val_predict(line, df, "fold").collect()}
+    parts = models.cross_val_predict(line, df, "fold", most=1)
+    assert {r["id"]: r["prediction"] for r in parts.collect()} == pytest.approx(whole)
+    assert parts.select("features").first()[0].size == 3
 
 
 def test_nested_folds_stay_inside_the_train_set(data):

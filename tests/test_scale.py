@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,17 +109,37 @@ def test_matrix_sums_hand_on_early(spark, skewed, monkeypatch):
             assert r["n"] == w["n"] and r["values"] == pytest.approx([w["x"], w["y"]])
 
 
-def test_medians_of_train_sets_in_chunks(spark, skewed, monkeypatch):
+def test_medians_of_train_sets(spark, skewed):
     from cohortwave.operators import baselines
     rows = skewed.withColumn("fold", F.pmod(F.col("id"), F.lit(7)).cast("int"))
     plain = baselines.impute_median(rows, ["x"], "fold")
-    monkeypatch.setattr(baselines, "FOLDS_PER_SCAN", 2)
-    assert rows_of(plain, "id", "x") == rows_of(baselines.impute_median(rows, ["x"], "fold"), "id", "x")
     first = rows.where("fold <> 0").agg(F.median("x")).first()[0]
     filled = plain.join(rows.where("x is null").select("id"), "id").where("fold = 0").first()["x"]
     assert filled == pytest.approx(first)
 
 
+@pytest.mark.parametrize("k", [2, 5, 60])
+def test_medians_of_many_train_sets(spark, k):
+    """Ties, missing values, folds without any value, and as many folds as rows."""
+    from cohortwave.operators import baselines
+    rng = np.random.default_rng(k)
+    pdf = pd.DataFrame({"id": range(60), "fold": [f"f{i % k}" for i in range(60)], "a b": rng.integers(0, 6, 60).astype(float),
+                        "c": rng.normal(size=60), "none": np.nan})
+    pdf.loc[rng.random(60) < 0.3, "a b"] = np.nan
+    pdf.loc[pdf.fold == "f1", "c"] = np.nan
+    frame = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "id int, fold string, `a b` double, c double, none double")
+    medians = {r["fold"]: list(r["medians"]) for r in baselines.fold_medians(frame, ["a b", "c", "none"], "fold").collect()}
+    assert len(medians) == k
+    for f, got in medians.items():
+        rest = pdf[pdf.fold != f]
+        want = [rest[c].dropna().median() if rest[c].notna().any() else None for c in ("a b", "c", "none")]
+        assert [x is None for x in got] == [x is None for x in want] and [x for x in got if x is not None] == pytest.approx([x for x in want if x is not None])
+    out = {r["id"]: r for r in baselines.impute_median(frame, ["a b", "c", "none"], "fold").collect()}
+    assert len(out) == 60 and all(r["none"] is None for r in out.values())
+    assert all(out[i]["c"] == (pdf.c[i] if pdf.c[i] == pdf.c[i] else medians[pdf.fold[i]][1]) for i in range(60))
+
+
+
 def test_draws_do_not_depend_on_partitions(skewed):
     one = sampling.random_rank(skewed.repartition(1), ["g"], 42, ["id"])
     many = sampling.random_rank(skewed.repartition(13), ["g"], 42, ["id"], slots=3)
