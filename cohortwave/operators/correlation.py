@@ -11,43 +11,43 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_corr
 from ..functions.tails import pearson_p
-from .products import matrix_sums
+from .products import TILE, matrix_sums, tile_sums
 from .quantiles import quantile_agg
 from .segments import first_known
 
 CONSTANT = 1e-13  # spread below this share of the mean is rounding of a constant column
 
 
-def pair_products(centre: np.ndarray):
-    """Kernel for matrix_sums: counts, sums, squares and products of every pair of columns,
-    each over the rows that have both."""
-    def kernel(block: np.ndarray) -> np.ndarray:
-        seen = (~np.isnan(block)).astype(float)
-        x = np.where(seen > 0, block - centre, 0.0)
-        return np.concatenate([m.ravel() for m in (seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x)])
+def pair_products(block: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Kernel for tile_sums: counts, sums, squares and products of every pair of columns, each over the rows that have both."""
+    seen, there = (~np.isnan(x) for x in (block, other))
+    x, y = np.where(seen, block, 0.0), np.where(there, other, 0.0)
+    seen, there = seen.astype(float), there.astype(float)
+    return np.concatenate([m.ravel() for m in (seen.T @ there, x.T @ there, seen.T @ y, (x * x).T @ there, seen.T @ (y * y), x.T @ y)])
 
-    return kernel
 
-
-def _pairwise(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Long (a, b, r) over all ordered pairs of columns from one scan."""
-    k = len(cols)
+def _pairwise(df: DataFrame, cols: list[str], tile: int = TILE) -> DataFrame:
+    """Long (a, b, r) over all ordered pairs of columns from one scan, summed and solved tile by tile."""
     means = df.agg(*[F.expr(f"avg(`{c}`)") for c in cols]).first()
     centre = np.array([0.0 if m is None else float(m) for m in means])
-    rows = df.selectExpr("0 AS _all", *[f"CAST(`{c}` AS DOUBLE) AS x{i}" for i, c in enumerate(cols)])
-    sums = matrix_sums(rows, ["_all"], [f"x{i}" for i in range(k)], pair_products(centre))
+    rows = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) - ({float(m)!r}D) AS x{i}" for i, (c, m) in enumerate(zip(cols, centre))])
+    sums = tile_sums(rows, [f"x{i}" for i in range(len(cols))], pair_products, tile)
+    names = np.array(cols, object)
 
     def run(batches):
         for pdf in batches:
-            for values in pdf["values"]:
-                n, s, q, p = np.asarray(values, float).reshape(4, k, k)
+            for i, j, values in zip(pdf["i"], pdf["j"], pdf["values"]):
+                own, other = slice(i * tile, (i + 1) * tile), slice(j * tile, (j + 1) * tile)
+                a, b = names[own], names[other]
+                n, s, t, q, u, p = np.asarray(values, float).reshape(6, len(a), len(b))
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    spread = q - s * s / n      # of column i over the rows that also have j
-                    r = (p - s * s.T / n) / np.sqrt(spread * spread.T)
-                flat = spread <= n * (CONSTANT * np.abs(centre)[:, None]) ** 2
-                known = (n >= 2) & ~flat & ~flat.T & np.isfinite(r)
-                yield pd.DataFrame({"a": np.repeat(cols, k), "b": np.tile(cols, k),
-                                    "r": pd.Series(r.ravel()).where(pd.Series(known.ravel()), None)})
+                    x, y = q - s * s / n, u - t * t / n  # spreads of either column over the rows that have both
+                    r = (p - s * t / n) / np.sqrt(x * y)
+                flat = (x <= n * (CONSTANT * np.abs(centre[own])[:, None]) ** 2) | (y <= n * (CONSTANT * np.abs(centre[other])[None, :]) ** 2)
+                r = pd.Series(r.ravel()).where(pd.Series(((n >= 2) & ~flat & np.isfinite(r)).ravel()), None)
+                yield pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "r": r})
+                if i != j:
+                    yield pd.DataFrame({"a": np.tile(b, len(a)), "b": np.repeat(a, len(b)), "r": r})
 
     return sums.mapInPandas(run, "a string, b string, r double")
 

@@ -1,173 +1,28 @@
-"""Balanced logistic regression of many train sets and penalties at once.
-
-Newton's method needs a model's loss, gradient and curvature, which are sums over rows. One pass over the table adds
-them up for every (train set, C): a row says which train sets it is left out of, so no row is copied for a fold. The sums of a model are turned into
-its step where they lie; only the coefficients come back, and all models still on their way go into the next pass. So five times four
-folds and six penalties cost some eight scans together.
-
-The loss is C times the weighted log loss plus half the squared slopes on features standardised by the train set; the
-intercept is free. A row's weight is n / (2 n_class) of its train set.
-"""
+"""Balanced logistic regression, all folds in shared scans (see ``newton``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .products import add_rows
+from .newton import Table
 from .scale import attach, settle
 
-CELLS = 2_000_000  # rows times models that are held at once
-ROUNDS = 60
-
-
-@dataclass(frozen=True)
-class Blocks:
-    """Cuts a batch into blocks of rows: 1 and the features, standardised over all rows, the labels, and per train set whether a row is in it."""
-
-    mean: np.ndarray
-    std: np.ndarray
-    sets: int
-
-    def __call__(self, pdf: pd.DataFrame, models: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        size = max(1, CELLS // max(1, models, self.sets))
-        for low in range(0, len(pdf), size):
-            part = pdf.iloc[low : low + size]
-            x = (part[[f"x{i}" for i in range(len(self.mean))]].to_numpy(float) - self.mean) / self.std
-            inside = np.ones((len(part), self.sets))
-            out = part["out"].tolist()
-            inside[np.repeat(np.arange(len(part)), [len(o) for o in out]), np.concatenate(out).astype(int)] = 0
-            yield np.column_stack((np.ones(len(part)), x)), part["y"].to_numpy(float), inside
-
-
-class Table:
-    """Rows with 0/1 labels and ``left_out``, an array of the train sets (from 0) that a row takes no part in; written before use."""
-
-    def __init__(self, df: DataFrame, features: list[str], label: str, left_out: str, sets: int, ddof: int = 0):
-        self.features, self.sets = features, sets
-        self.rows = df.where(F.col(label).isNotNull()).selectExpr(
-            *[f"CAST(`{f}` AS DOUBLE) AS x{i}" for i, f in enumerate(features)], f"CAST(`{label}` AS DOUBLE) AS y", f"`{left_out}` AS out")
-        cols = [f"x{i}" for i in range(len(features))]
-        stats = self.rows.agg(*[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
-        p = len(features)
-        self.mean = np.array([float(v or 0) for v in stats[:p]])
-        self.std = np.array([float(v) if v else 1.0 for v in stats[p:]])
-        self.blocks = Blocks(self.mean, self.std, sets)
-        n = self._moments()
-        self.count, self.positives = n[:, 0], n[:, 1]
-        if ((self.positives <= 0) | (self.positives >= self.count)).any():
-            raise ValueError("every train set needs rows of both classes")
-        square = (n[:, 2 + p :] - n[:, 2 : 2 + p] ** 2 / n[:, :1]) / np.maximum(n[:, :1] - ddof, 1)
-        self.scale = np.sqrt(np.where(square > 1e-20, square, 1.0))  # per set, of features standardised over all rows
-
-    def _sum(self, kernel, width: int, models: int) -> DataFrame:
-        """(model, n, values): what ``kernel(a, y, inside)`` gives per model, added up over all rows."""
-        blocks = self.blocks
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((models, width))
-            for pdf in batches:
-                for block in blocks(pdf, models):
-                    total += kernel(*block)
-            yield pd.DataFrame({"model": np.arange(models, dtype=np.int32), "n": 1.0, "values": list(total)})
-
-        return add_rows(self.rows.mapInPandas(run, "model int, n double, values array<double>"), ["model"])
-
-    def _moments(self) -> np.ndarray:
-        def kernel(a, y, inside):
-            return inside.T @ np.column_stack((a[:, 0], y, a[:, 1:], a[:, 1:] ** 2))
 
-        width = 2 + 2 * len(self.features)
-        rows = self._sum(kernel, width, self.sets).collect()
-        return np.array([list(r["values"]) for r in sorted(rows, key=lambda r: r["model"])]).reshape(-1, width)
+def fold_sets(df: DataFrame, fold: str) -> tuple[DataFrame, dict]:
+    """Rows with ``_out``, the number of the train set that their own fold is left out of, and the numbers by fold.
 
-    def fit(self, settings: list[tuple[int, float]], tol: float = 1e-9, rounds: int = ROUNDS) -> "Fits":
-        """A model for each (train set, C)."""
-        p, m = len(self.features) + 1, len(settings)
-        sets = np.array([s for s, _ in settings], int)
-        penalty = np.array([np.concatenate(([0.0], self.scale[s] ** 2 / c)) for s, c in settings]).reshape(m, p)
-        low, high = np.triu_indices(p)
-        heavy = self.count[sets] / (2 * self.positives[sets]), self.count[sets] / (2 * (self.count - self.positives)[sets])
-        best, trial = np.zeros((m, p)), np.zeros((m, p))
-        reached, busy = np.full(m, np.inf), np.arange(m)
-        for _ in range(rounds):
-            if not len(busy):
-                break
-            own, beta, pen, w1, w0 = sets[busy], trial[busy], penalty[busy], heavy[0][busy], heavy[1][busy]
-
-            def kernel(a, y, inside, own=own, beta=beta, w1=w1, w0=w0):
-                z = a @ beta.T
-                chance = 1 / (1 + np.exp(-z))
-                weight = inside[:, own] * np.where(y[:, None] > 0, w1, w0)
-                loss = (weight * (np.logaddexp(0, z) - y[:, None] * z)).sum(axis=0)
-                slope = (weight * (chance - y[:, None])).T @ a
-                bend = (weight * chance * (1 - chance)).T @ (a[:, low] * a[:, high])
-                return np.column_stack((loss, slope, bend))
-
-            def step(batches, beta=beta, pen=pen):
-                for pdf in batches:
-                    rows = []
-                    for i, values in zip(pdf["model"], pdf["values"]):
-                        v = np.asarray(values, float)
-                        bend = np.zeros((p, p))
-                        bend[low, high] = bend[high, low] = v[1 + p :]
-                        slope = v[1 : 1 + p] + pen[i] * beta[i]
-                        move = -np.linalg.lstsq(bend + np.diag(pen[i] + 1e-12), slope, rcond=None)[0]
-                        rows.append((i, v[0] + 0.5 * float(pen[i] @ beta[i] ** 2), move.tolist()))
-                    yield pd.DataFrame(rows, columns=["model", "loss", "move"])
-
-            told = self._sum(kernel, 1 + p + len(low), len(busy)).mapInPandas(step, "model int, loss double, move array<double>")
-            done = []
-            for r in told.collect():
-                at, move = busy[r["model"]], np.array(r["move"])
-                if r["loss"] <= reached[at] + 1e-10 * abs(reached[at]) or not np.isfinite(reached[at]):
-                    best[at], reached[at] = trial[at], r["loss"]
-                    trial[at] = best[at] + move
-                    if np.abs(move).max() <= tol * (1 + np.abs(best[at]).max()):
-                        best[at] = trial[at]
-                        done.append(at)
-                else:  # too far: half the way
-                    trial[at] = (best[at] + trial[at]) / 2
-            busy = np.array([i for i in busy if i not in set(done)], int)
-        return Fits(self, settings, best)
-
-
-class Fits:
-    """Coefficients per (train set, C), the intercept first, on features standardised over all rows."""
-
-    def __init__(self, table: Table, settings: list[tuple[int, float]], beta: np.ndarray):
-        self.table, self.settings, self.beta = table, settings, beta
-
-    def rules(self) -> list[tuple[int, float, float, list[float]]]:
-        """(set, C, intercept, slopes) in the features' own units."""
-        out = []
-        for (s, c), b in zip(self.settings, self.beta, strict=True):
-            slopes = b[1:] / self.table.std
-            out.append((int(s), float(c), float(b[0] - slopes @ self.table.mean), slopes.tolist()))
-        return out
-
-    def predict(self, df: DataFrame, key: str, sets: dict, out: str = "score") -> DataFrame:
-        """Adds the probability by the model of each row's ``key``, and that model's C as ``_penalty``; ``sets`` maps keys to train sets."""
-        by_set = {s: (c, b0, b) for s, c, b0, b in self.rules()}
-        kind = dict(df.dtypes)[key]
-        rows = [(k, *by_set[s]) for k, s in sets.items() if s in by_set]
-        rules = df.sparkSession.createDataFrame(rows, f"`{key}` {kind}, _penalty double, _b0 double, _b array<double>")
-        terms = F.zip_with(F.array(*[F.col(f"`{f}`").cast("double") for f in self.table.features]), "_b", lambda x, b: x * b)
-        z = F.aggregate(terms, F.col("_b0"), lambda total, term: total + term)
-        return attach(df, rules, [key]).withColumn(out, 1 / (1 + F.exp(-z))).drop("_b0", "_b")
-
-
-def logistic_cv(df: DataFrame, features: list[str], label: str, fold: str, c: float = 1.0, ddof: int = 0, out: str = "score") -> DataFrame:
-    """Out-of-fold probability of label 1 for every row: all folds in shared scans."""
+    A model per fold comes back to the driver, so its list of folds is no longer than that of its models.
+    """
     folds = [r[0] for r in settle(df.select(fold).distinct()).orderBy(fold).collect()]
     if len(folds) < 2:
         raise ValueError("at least two folds are needed")
     place = df.sparkSession.createDataFrame([(f, [i]) for i, f in enumerate(folds)], f"`{fold}` {dict(df.dtypes)[fold]}, _out array<int>")
-    table = Table(attach(df, place, [fold]), features, label, "_out", len(folds), ddof)
-    fits = table.fit([(i, c) for i in range(len(folds))])
-    return fits.predict(df, fold, {f: i for i, f in enumerate(folds)}, out).drop("_penalty")
+    return attach(df, place, [fold]), {f: i for i, f in enumerate(folds)}
+
+
+def logistic_cv(df: DataFrame, features: list[str], label: str, fold: str, c: float = 1.0, ddof: int = 0, out: str = "score") -> DataFrame:
+    """Out-of-fold probability of label 1 for every row; features are standardised and classes weighed on the train rows."""
+    rows, sets = fold_sets(df, fold)
+    fits = Table(rows, features, label, "_out", len(sets), ddof).fit([(i, c) for i in sets.values()])
+    return fits.predict(df, fold, sets, out).drop("_penalty")

@@ -10,7 +10,6 @@ from itertools import islice
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +21,8 @@ from ..functions.scalars import FRIENDLY_LABELS, code_map
 from .agglomerate import MOST, assign, standard_points, ward_tree
 from .baselines import class_weights, dummy_majority_cv, dummy_mean_cv
 from .evaluate import binary_metrics, leaderboard, regression_metrics
+from .kmeans import assign as nearest_centre
+from .kmeans import best_of_starts
 from .scale import append, materialise
 
 MIN_LEAF = 1
@@ -233,10 +234,10 @@ def predict_batch(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def kmeans(df: DataFrame, features: list[str], k: int = 3, restarts: int = 20, seed: int = 42,
            out: str = "cluster") -> DataFrame:
-    """The best of several starts by within-cluster cost, on standardised features."""
-    prepared = materialise(Pipeline(stages=scaled(features)).fit(df).transform(df).drop("_raw"))
-    fits = [KMeans(k=k, seed=seed + i, predictionCol=out).fit(prepared) for i in range(restarts)]
-    return min(fits, key=lambda m: m.summary.trainingCost).transform(prepared)
+    """The best of several starts by within-cluster cost, on standardised features; clusters are numbered from the largest."""
+    points = materialise(standard_points(df, features))
+    centres, _ = best_of_starts(points, k, restarts, seed)
+    return nearest_centre(points, centres, out).drop("x")
 
 
 def hierarchical_clusters(df: DataFrame, features: list[str], k: int = 3, out: str = "cluster", most: int = MOST) -> DataFrame:

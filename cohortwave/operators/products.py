@@ -99,3 +99,40 @@ def add_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     slot = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
     spread = per_task.withColumn("_slot", slot).repartition(*keys, "_slot").drop("_slot").mapInPandas(add, schema)
     return spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_add_up_sorted(keys), schema)
+
+
+TILE = 128  # columns of a block; a tile of two blocks is a few matrices of that size
+
+
+def tile_sums(df: DataFrame, cols: list[str], kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], tile: int = TILE) -> DataFrame:
+    """(i, j, n, values): the sum over all rows of ``kernel`` of column blocks i <= j, one scan for all of them.
+
+    A task holds ``KEEP_BYTES`` of tiles and one more, whatever the number of columns, and hands on what grows beyond that.
+    """
+    blocks = [slice(low, min(low + tile, len(cols))) for low in range(0, len(cols), tile)]
+
+    def partial(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        size = 0
+
+        def out():
+            for (i, j), v in held.items():
+                yield pd.DataFrame({"i": [i], "j": [j], "n": [0.0], "values": [v]})
+
+        for pdf in batches:
+            rows = pdf[cols].to_numpy(float)
+            for i, a in enumerate(blocks):
+                for j in range(i, len(blocks)):
+                    v = kernel(rows[:, a], rows[:, blocks[j]])
+                    if (i, j) in held:
+                        held[i, j] += v
+                        continue
+                    held[i, j] = v
+                    size += v.nbytes
+                    if size > KEEP_BYTES:
+                        yield from out()
+                        held.clear()
+                        size = 0
+        yield from out()
+
+    return add_rows(df.select(*cols).mapInPandas(partial, "i int, j int, n double, values array<double>"), ["i", "j"])

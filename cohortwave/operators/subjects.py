@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import GENDER_CODES, bin_label, bin_label_inclusive, clean_key, code_map, row_mean
+from .agglomerate import leaf_order, ward
 from .quantiles import quantile_agg
 from .scale import attach, materialise, running_counts, settle
 from .segments import first_known
@@ -133,6 +136,43 @@ def dense_grid_median(df: DataFrame, groups: list[str], subject: str = "subject"
     return medians.groupBy(task).agg(*[F.max(F.when(F.col("_g") == g, F.col("_m"))).alias(g) for g in groups])
 
 
+def _order(names: list[str], points: np.ndarray) -> list[str]:
+    return [names[i] for i in leaf_order(len(names), ward(np.ones(len(names)), points))]
+
+
+def map_order(df: DataFrame, metrics: list[str], subject: str = "subject", task: str = "task") -> DataFrame:
+    """Long (subject, axis, name, position): where the rows (``task``) and columns (``metric``) of a subject's clustered map stand.
+
+    A subject's map is its table of mean metrics by task. Metrics without any value and then tasks with a missing one are left out; what is left is
+    scaled to 0-1 per metric, and both sides are ordered as the leaves of their Ward tree. Equal distances go by name. A subject with fewer than two
+    tasks or metrics has no map. One subject's map, as many cells as it has tasks and metrics, is held at once.
+    """
+    means = df.groupBy(subject, task).agg(*[F.avg(m).alias(m) for m in metrics])
+    maps = means.where(F.col(task).isNotNull()).groupBy(subject).agg(F.array_sort(F.collect_list(F.struct(
+        F.col(task).cast("string").alias("name"), F.array(*[F.col(f"`{m}`").cast("double") for m in metrics]).alias("x")))).alias("map"))
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for key, rows in zip(pdf[subject], pdf["map"]):
+                names = [r["name"] for r in rows]
+                x = np.array([[np.nan if v is None else v for v in r["x"]] for r in rows], float)
+                some = ~np.isnan(x).all(axis=0)
+                whole = ~np.isnan(x[:, some]).any(axis=1)
+                x = x[whole][:, some]
+                if x.shape[0] < 2 or x.shape[1] < 2:
+                    continue
+                span = x.max(axis=0) - x.min(axis=0)
+                x = (x - x.min(axis=0)) / np.where(span > 0, span, 1.0)
+                tasks, kept = [n for n, w in zip(names, whole) if w], [m for m, k in zip(metrics, some) if k]
+                by_name = np.argsort(kept)
+                columns = _order([kept[i] for i in by_name], x.T[by_name])
+                out += [(key, "task", n, i) for i, n in enumerate(_order(tasks, x))] + [(key, "metric", n, i) for i, n in enumerate(columns)]
+            yield pd.DataFrame(out, columns=[subject, "axis", "name", "position"])
+
+    return maps.mapInPandas(run, f"`{subject}` {dict(df.dtypes)[subject]}, axis string, name string, position int")
+
+
 def metric_by_task(df: DataFrame, metrics: list[str], subject: str = "subject", task: str = "task") -> DataFrame:
     """Mean metric per subject and task, and the same scaled to 0-1 within the subject."""
     means = df.groupBy(subject, task).agg(*[F.avg(m).alias(m) for m in metrics])

@@ -14,8 +14,12 @@ from ..operators import groups as g
 from ..operators import models as m
 from ..operators.evaluate import binary_metrics, regression_metrics, subject_aggregate
 from ..operators.folds import group_kfold, kfold
+from ..operators.kernel import rbf_classifier_cv, rbf_regressor_cv
+from ..operators.kmeans import assign as nearest_centre
+from ..operators.kmeans import best_of_starts
 from ..operators.logistic import logistic_cv
 from ..operators.scale import materialise
+from ..operators.tiles import euclidean_silhouette
 from ..sources.writers import load_model, save_model
 from .proxies import BASELINE, FAMILIES, FEATURES, LABELS, U, rounded, sql
 from .registry import query
@@ -199,7 +203,20 @@ def _clustered(out):
 
 @query("m25_kmeans_rows", CLUSTERS)
 def _(t):
-    return _clustered(m.kmeans(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3, restarts=3))
+    return _clustered(m.kmeans(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3))
+
+
+@query("m25_kmeans_of_one_feature", sql("subj", """WITH r AS (SELECT qty, (qty - avg(qty) OVER ()) / stddev_samp(qty) OVER () AS x FROM subj),
+    u AS (SELECT x, count(*) OVER w AS n, sum(x) OVER w AS s, count(*) OVER () AS all_n, sum(x) OVER () AS all_s, sum(x * x) OVER () AS q
+      FROM r WINDOW w AS (ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    c AS (SELECT q - s * s / n - CASE WHEN n < all_n THEN (all_s - s) ** 2 / (all_n - n) ELSE 0 END AS cost, n, all_n FROM u)
+    SELECT round(min(cost), 5) AS cost, max(greatest(n, all_n - n)) FILTER (cost <= (SELECT min(cost) FROM c) + 1e-9) AS larger FROM c"""))
+def _(t):
+    """The best split of one feature in two, which sums in order of the feature give exactly."""
+    points = materialise(ag.standard_points(t.subj, ["qty"]))
+    centres, cost = best_of_starts(points, 2)
+    sizes = nearest_centre(points, centres).groupBy("cluster").count()
+    return sizes.agg(F.round(F.lit(cost), 5).alias("cost"), F.max("count").alias("larger"))
 
 
 @query("m26_hierarchical_rows", CLUSTERS)
@@ -276,20 +293,34 @@ def _(t):
     return logistic_cv(_toxic(t), DOC, "toxic", "fold").select("doc_id", "fold", "toxic", F.round("score", 6).alias("score"))
 
 
+def _gaps(fold_gaps):
+    """What must hold of a settled support vector machine: the gap is a small share of its objective, and its dual variables balance."""
+    wrong = (F.col("gap") > 0.02 * F.col("objective")) | (F.col("gap") < -1e-6) | (F.abs("balance") > 1e-4)
+    return fold_gaps.agg(F.count(F.lit(1)).alias("folds"), F.count_if(wrong).alias("wrong"))
+
+
 @query("m15_rbf_margin_classifier")
 def _(t):
-    scaled = b.standardize(_toxic(t), DOC, "fold")
-    rows, cols = m.fourier_features(scaled, DOC, 32)
-    n = rows.count()
-    return _as_classes(m.cross_val_predict(m.rbf_margin_classifier(cols, "toxic", n, max_iter=20), rows, "fold",
-                                           prepare=m.weigh_train("toxic")))
+    """Out-of-fold margins of a balanced support vector classifier on Nyström features of all labelled documents."""
+    rows, _ = rbf_classifier_cv(b.standardize(_toxic(t), DOC, "fold"), DOC, "toxic", "fold")
+    return _as_classes(rows)
+
+
+@query("m15_rbf_margin_classifier_gaps", sql("scored", "SELECT CAST(3 AS BIGINT) AS folds, count(*) FILTER (toxic IS NULL) AS wrong FROM scored"))
+def _(t):
+    return _gaps(rbf_classifier_cv(b.standardize(_toxic(t), DOC, "fold"), DOC, "toxic", "fold")[1])
 
 
 @query("m16_rbf_regressor")
 def _(t):
-    scaled = b.standardize(_folded(t), FEATURES, "fold")
-    rows, cols = m.fourier_features(scaled, FEATURES, 32)
-    return _as_regression(m.cross_val_predict(m.rbf_regressor(cols, "hours", rows.count()), rows, "fold"))
+    """Out-of-fold support vector regression of the subjects' label on Nyström features."""
+    rows, _ = rbf_regressor_cv(b.standardize(_folded(t), FEATURES, "fold"), FEATURES, "hours", "fold")
+    return _as_regression(rows)
+
+
+@query("m16_rbf_regressor_gaps", sql("subj", "SELECT CAST(3 AS BIGINT) AS folds, count(*) FILTER (hours IS NULL) AS wrong FROM subj"))
+def _(t):
+    return _gaps(rbf_regressor_cv(b.standardize(_folded(t), FEATURES, "fold"), FEATURES, "hours", "fold")[1])
 
 
 @query("m17_top_features")
@@ -365,7 +396,7 @@ def _(t):
 
 @query("m25_kmeans")
 def _(t):
-    clusters = m.kmeans(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3, restarts=3)
+    clusters = m.kmeans(t.subj.select("subject", "hours", *FEATURES), FEATURES, 3)
     return g.cluster_summary(clusters, "cluster")
 
 
@@ -402,6 +433,17 @@ def _(t):
     return rounded(m.silhouette(rows, "label"), ["silhouette"], 6)
 
 
+@query("m28_silhouette_euclidean", """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    d AS (SELECT a.vec_id, a.label, b.label AS other, sum(list_distance(a.e, b.e)) AS s, count(*) AS n
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+    own AS (SELECT vec_id, s / n AS a FROM d WHERE label = other),
+    near AS (SELECT vec_id, min(s / n) AS b FROM d WHERE label <> other GROUP BY 1)
+    SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM near LEFT JOIN own USING (vec_id)""")
+def _(t):
+    """The same by Euclidean distance, from sums of distances by tiles."""
+    return rounded(euclidean_silhouette(t.embeddings, "label", "embedding"), ["silhouette"], 6)
+
+
 @query("e12_signal_verdict")
 def _(t):
     return rounded(signal_verdict(t.subj, FEATURES, k=3, trees=TREES, depth=DEPTH), ["accuracy", "macro_f1"], 4)

@@ -435,6 +435,46 @@ def _(t):
     return sub.subject_targets(t.obs)
 
 
+@query("a26_bootstrap_mean", sql("gaps", """WITH k AS (SELECT gender, qty, tax, CAST('0x' || substr(md5('42|' || subject || '|' || task), 1, 7) AS BIGINT) AS k FROM gaps),
+    x AS (SELECT *, unnest(range(1, 101)) AS b FROM k), x1 AS (SELECT *, (k * 48271 + b * 69621 + 42) % 2147483647 AS h FROM x),
+    x2 AS (SELECT * REPLACE ((h * h + 40014 * b) % 2147483647 AS h) FROM x1), x3 AS (SELECT * REPLACE ((h * 16807 + h // 127773) % 2147483647 AS h) FROM x2),
+    x4 AS (SELECT *, ((h * h + h) % 2147483647) / 2147483647.0::DOUBLE AS u FROM x3),
+    w AS (SELECT *, """ + " + ".join(f"CAST(u >= {p!r}::DOUBLE AS INTEGER)" for p in g.POISSON) + """ AS w FROM x4),
+    l AS (SELECT gender, b, w, unnest(['qty', 'tax']) AS feature, unnest([qty, tax]) AS x FROM w),
+    m AS (SELECT gender, feature, b, sum(w * x) / sum(w) AS m FROM l WHERE x IS NOT NULL GROUP BY 1, 2, 3),
+    c AS (SELECT gender, feature, quantile_cont(m, 0.16) AS low, quantile_cont(m, 0.84) AS high FROM m GROUP BY 1, 2),
+    o AS (SELECT gender, feature, avg(x) AS mean, count(x) AS n FROM (SELECT gender, unnest(['qty', 'tax']) AS feature, unnest([qty, tax]) AS x FROM k) GROUP BY 1, 2)
+    SELECT gender, feature, round(mean, 7) AS mean, round(low, 7) AS low, round(high, 7) AS high, n FROM o JOIN c USING (gender, feature)"""))
+def _(t):
+    """Means and the middle 68 % of their bootstrap distribution."""
+    return rounded(g.bootstrap_mean(t.gaps, ["gender"], ["qty", "tax"], ["subject", "task"], 100), ["mean", "low", "high"])
+
+
+@query("a39_map_order_of_three", sql("obs", """WITH n AS (SELECT subject FROM obs GROUP BY 1 HAVING count(*) = 3),
+    s AS (SELECT subject, task, row_number() OVER (PARTITION BY subject ORDER BY task) AS i, """ + ", ".join(
+    f"coalesce(({f} - min({f}) OVER w) / nullif(max({f}) OVER w - min({f}) OVER w, 0), 0) AS {f}" for f in FEATURES) + """
+      FROM obs JOIN n USING (subject) WINDOW w AS (PARTITION BY subject)),
+    d AS (SELECT a.subject, a.i AS i, b.i AS j, """ + " + ".join(f"(a.{f} - b.{f}) ** 2" for f in FEATURES) + """ AS d FROM s a JOIN s b ON a.subject = b.subject AND a.i < b.i),
+    f AS (SELECT subject, arg_min(i, (d, i, j)) AS i, arg_min(j, (d, i, j)) AS j FROM d GROUP BY 1)
+    SELECT subject, task AS name, CAST(CASE WHEN s.i = f.i THEN 1 WHEN s.i = f.j THEN 2 ELSE 0 END AS INTEGER) AS position FROM s JOIN f USING (subject)"""))
+def _(t):
+    """Of subjects with three tasks, where the tasks stand in their clustered map: the nearest two stand side by side."""
+    three = t.obs.groupBy("subject").count().where("count = 3").select("subject")
+    order = sub.map_order(t.obs.join(three, "subject"), FEATURES)
+    return order.where("axis = 'task'").select("subject", "name", "position")
+
+
+@query("a39_map_order_sides", sql("gaps", """WITH m AS (SELECT subject, max(CAST(price IS NOT NULL AS INTEGER)) AS p, max(CAST(tax IS NOT NULL AS INTEGER)) AS x FROM gaps GROUP BY 1),
+    k AS (SELECT subject, p + x + 2 AS metrics, count(*) FILTER ((p = 0 OR price IS NOT NULL) AND (x = 0 OR tax IS NOT NULL)) AS tasks
+      FROM gaps JOIN m USING (subject) GROUP BY 1, 2)
+    SELECT subject, unnest(['task', 'metric']) AS axis, unnest([tasks, metrics]) AS names, unnest([tasks * (tasks - 1) // 2, metrics * (metrics - 1) // 2]) AS positions
+    FROM k WHERE tasks >= 2"""))
+def _(t):
+    """Per subject and side of its map: the names, and the sum of their positions."""
+    return sub.map_order(t.gaps, FEATURES).groupBy("subject", "axis").agg(
+        F.count_distinct("name").alias("names"), F.sum("position").alias("positions"))
+
+
 @query("a39_metric_by_task", sql("gaps", """WITH m AS (SELECT subject, task, avg(qty) AS qty, avg(tax) AS tax FROM gaps GROUP BY 1, 2)
     SELECT subject, task, round(qty, 7) AS qty, round(tax, 7) AS tax,
       round((qty - min(qty) OVER s) / nullif(max(qty) OVER s - min(qty) OVER s, 0), 7) AS qty_scaled,

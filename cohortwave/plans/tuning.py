@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import best_threshold, threshold_cells
 from ..operators.folds import nested_folds, stratified_kfold
-from ..operators.logistic import Fits, Table
+from ..operators.newton import Fits, Table
 from ..operators.scale import materialise, settle
 
 # The grids
