@@ -20,7 +20,7 @@ from .products import add_rows
 SEEDING = 4       # passes that draw candidates
 OVER = 2          # candidates a pass draws per centre, on average
 ITERATIONS = 300
-TOL = 1e-9        # squared shift of a start's centres, against the mean variance, at which it is done
+TOL = 1e-4        # squared shift of a start's centres, against the mean variance, at which it is done
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

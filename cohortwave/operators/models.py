@@ -39,14 +39,15 @@ def scaled(features: list[str]) -> list:
 
 
 def rf_regressor(features: list[str], y: str, trees: int = 500, min_leaf: int = MIN_LEAF, seed: int = 42,
-                 depth: int = MAX_DEPTH) -> Pipeline:
+                 depth: int = MAX_DEPTH, bootstrap: bool = True) -> Pipeline:
     return Pipeline(stages=[assemble(features), RandomForestRegressor(
-        labelCol=y, numTrees=trees, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)])
+        labelCol=y, numTrees=trees, minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed,
+        bootstrap=bootstrap)])
 
 
 def rf_classifier(features: list[str], y: str, trees: int = 500, weight: str | None = "weight", seed: int = 42,
-                  depth: int = MAX_DEPTH) -> Pipeline:
-    forest = RandomForestClassifier(labelCol=y, numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
+                  depth: int = MAX_DEPTH, bootstrap: bool = True) -> Pipeline:
+    forest = RandomForestClassifier(labelCol=y, numTrees=trees, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed, bootstrap=bootstrap)
     if weight:
         forest.setWeightCol(weight)
     return Pipeline(stages=[assemble(features), forest])
