@@ -29,8 +29,10 @@ WIDTH = 5
 PERMUTATIONS = 256
 BANDS = 64
 LEAST = 0.8
-NEAR = 8
-BLOCK = 512
+SKETCH, AGREE = 128, 64   # bytes of a sketch, and how many must be equal in a pair that is compared
+TRIES = 3                 # rounds of comparing with other components' smallest classes
+SKETCH_BLOCK = 8192
+BLOCK, BLOCK_BYTES = 512, 32_000_000
 SEED = 9
 NONE = np.uint32(0xFFFFFFFF)
 
@@ -172,7 +174,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", co
 
 # --- near duplicates
 
-ROWS = "doc_id long, text_key string, node long, size int, bands array<long>"
+ROWS = "doc_id long, text_key string, node long, size int, bands array<long>, sketch binary"
 
 
 def _sets(column: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -187,15 +189,17 @@ def _shingle_rows(count: int, width: int, bands: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets, hashes, begin = _sets(batch.column("text"), width)
-            sign = minima(hashes, begin, count, seed).reshape(batch.num_rows, bands, -1)
+            minimum = minima(hashes, begin, count, seed)
+            sign = minimum.reshape(batch.num_rows, bands, -1)
             place = np.arange(1, sign.shape[2] + 1, dtype=np.uint64) << np.uint64(32)
             keys = mix64(np.sum(mix64(sign.astype(np.uint64) + place), axis=2, dtype=np.uint64)
                          + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
             nodes = [int.from_bytes(hashlib.sha256(x.tobytes()).digest()[:8], "big", signed=True) for x in sets]
+            sketch = [x.tobytes() for x in minimum[:, :SKETCH].astype(np.uint8)]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()),
-                pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "node", "size", "bands"])
+                pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_key", "node", "size", "bands", "sketch"])
 
     return run
 
@@ -209,112 +213,246 @@ def _shingles(width: int):
     return run
 
 
-def _block_links(least: float):
-    """Batches sorted by key, whole keys held: links of members of different roots whose sets are alike."""
-    def found(rows: list[tuple]) -> tuple[list[int], list[int]]:
-        sets = [np.asarray(r[4], np.int64) for r in rows]
+def _items(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list<long> column as views of its buffer, in the order they were sorted in, as unsigned numbers."""
+    at = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [values[at[i] : at[i + 1]] for i in range(len(column))]
+
+
+def alike(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted shingle sets have a Jaccard likeness of ``least`` or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(x) < least * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+    return common >= least * (len(x) + len(y) - common)
+
+
+def _compare(least: float):
+    """Rows sorted by (hub, part, kind): a hub's set, then the sets of the classes to compare it with. One hub's set is held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = own = None
+        for batch in batches:
+            names, kinds, nodes = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("hub", "kind", "node"))
+            found: list[tuple[int, int]] = []
+            for i, x in enumerate(_items(batch.column("shingles"))):
+                if kinds[i] == 0:
+                    hub, own = names[i], x.copy()
+                elif names[i] == hub and alike(own, x, least):
+                    found.append((int(nodes[i]), int(hub)))
+            a, b = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float, part_rows: int = 256) -> DataFrame:
+    """The written pairs (a, b) whose whole shingle sets are alike. Written.
+
+    b is the hub. A class's set travels once per pair to its hub, and a hub's set once per ``part_rows`` of its pairs, so no row holds two sets and
+    no task more than one besides its batch.
+    """
+    hubs = settle(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")))
+    many = settle(hubs.where("parts > 1"))
+    dealt = attach(pairs, many, ["b"], "left")
+    part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = settle(dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), part.alias("part")))
+    members = attach(sets, dealt, ["node"], salts=1).select("hub", "part", F.lit(1).alias("kind"), "node", "shingles")
+    heads = attach(sets, hubs.select(F.col("b").alias("node"), "parts"), ["node"], salts=1).select(
+        F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "shingles")
+    rows = members.unionByName(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
+    return settle(rows.mapInArrow(_compare(least), "a long, b long"))
+
+
+def _sketch_forest(least: float, agree: int):
+    """Batches sorted by key, whole keys held: a spanning forest of the pairs of different roots that sizes and sketches do not rule out.
+
+    What leaves a key is fewer rows than came in, however many pairs are left.
+    """
+    def told(node, root, side, size, sketch) -> tuple[list[int], list[int]]:
+        part = np.arange(len(node))
+        a, b = [], []
+        for i in range(len(node)):
+            at = np.flatnonzero((root != root[i]) & (part != part[i]))
+            at = at[np.minimum(size[at], size[i]) >= least * np.maximum(size[at], size[i])]
+            if side[i]:
+                at = at[side[at] != side[i]]
+            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= agree]
+            parts, first = np.unique(part[at], return_index=True)
+            if len(parts):
+                a += [int(node[i])] * len(parts)
+                b += node[at[first]].tolist()
+                part[np.isin(part, parts)] = part[i]
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def close() -> tuple[list[int], list[int]]:
+            found = told(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            return found
+
+        def rows(found: list[tuple[list[int], list[int]]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[k]], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            names, done = np.array(batch.column("key").to_pylist(), object), []
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("node", "root", "side", "size")]
+            columns.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(len(names), -1))
+            for low, high in zip(cuts, cuts[1:]):
+                if held and key != names[low]:
+                    done.append(close())
+                key = names[low]
+                held.append([c[low:high] for c in columns])
+            yield rows(done)
+        if held:
+            yield rows([close()])
+
+    return run
+
+
+def _block_links(least: float, agree: int):
+    """Batches sorted by key, whole keys held: links that join members of different roots, compared by whole sets where sizes and sketches allow it."""
+    def found(node, root, side, sketch, sets) -> tuple[list[int], list[int]]:
         size = np.array([len(x) for x in sets])
-        root = np.array([r[2] for r in rows])
-        side = np.array([r[3] for r in rows])
-        names, at = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), size)
-        order = np.argsort(at, kind="stable")
-        first = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=len(names)))))
-        ends = np.cumsum(size)
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in up:
+                x = up[x]
+            return x
+
         a, b = [], []
         for i in range(len(sets)):
-            own = at[ends[i] - size[i] : ends[i]]
-            posts = np.repeat(first[own] - np.concatenate(([0], np.cumsum(first[own + 1] - first[own])[:-1])), first[own + 1] - first[own])
-            common = np.bincount(owner[order[posts + np.arange(len(posts))]], minlength=len(sets))
-            near = (common >= least * (size + size[i] - common)) & (root != root[i])
+            near = (root != root[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]))
+            near[: i + 1] = False
             if side.any():
                 near &= side != side[i]
-            near[: i + 1] = False
-            for j in np.flatnonzero(near):
-                a.append(rows[i][1])
-                b.append(rows[j][1])
+            at = np.flatnonzero(near)
+            at = at[(sketch[at] == sketch[i]).sum(axis=1) >= agree]
+            for j in at.tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x != y and alike(sets[i], sets[j], least):
+                    up[max(x, y)] = min(x, y)
+                    a.append(int(node[i]))
+                    b.append(int(node[j]))
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        key, held = None, []
+
+        def close() -> pa.RecordBatch:
+            parts = [np.concatenate(c) for c in list(zip(*held, strict=True))[:4]]
+            a, b = found(*parts, [x for h in held for x in h[4]])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
         for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if held and held[-1][0] != r[0]:
-                    a, b = found(held)
-                    if a:
-                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                    held = []
-                held.append(r)
+            names = np.array(batch.column("key").to_pylist(), object)
+            cuts = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)] if len(names) else [0]
+            for low, high in zip(cuts, cuts[1:]):
+                if held and key != names[low]:
+                    yield close()
+                key, rows = names[low], batch.slice(low, high - low)
+                sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(high - low, -1)
+                held.append((*(rows.column(n).to_numpy(zero_copy_only=False) for n in ("node", "root", "side")), sketch,
+                             [x.copy() for x in _items(rows.column("shingles"))]))
         if held:
-            a, b = found(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield close()
 
     return run
 
 
 def shingle_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int = PERMUTATIONS, width: int = WIDTH,
                  bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """Per row its id, the digest of its text, its class, the size of its shingle set and its band keys. A written table."""
+    """Per row its id, the digest of its text, its class, the size of its shingle set, its band keys and its sketch. A written table."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
     return materialise(rows.mapInArrow(_shingle_rows(count, width, bands, seed), ROWS))
 
 
-def _with_sets(rows: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """The shingle set of ``key`` beside each row, as ``s`` and the key's name."""
-    count = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return join_skewed(rows, settle(count.join(sets.toDF(key, f"s{key}"), key)), key, "n")
+def _best(tries: DataFrame) -> DataFrame:
+    """Of the pairs (a, b), once per band that they share, each a's b of most shared bands."""
+    shared = tries.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
 
 
-def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float = LEAST, width: int = WIDTH,
-             near: int = NEAR, block: int = BLOCK) -> DataFrame:
+def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float = LEAST, width: int = WIDTH, agree: int = AGREE,
+             tries: int = TRIES, sketch_block: int = SKETCH_BLOCK, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, n, root) per class of ``shingle_rows``: its rows, and the class that names its component.
 
-    Members of a band are put in order. Each is compared by whole shingle sets with the ``near`` members before it and with the
-    band's first one. That is all pairs of an ordinary band; in a larger one, only members that those links leave in
-    different components are compared further, all with all in blocks of ``block`` members.
+    Each class is compared by whole shingle sets with one other, that which is the smallest class of most of its bands. Components are
+    taken, and for some rounds each class that shares a band with another component is compared with that component's smallest class in the
+    band. That links nearly all; what makes the result exact is the last step, for every pair of classes that
+    share a band and still lie in different components. Bands are taken in pairs of blocks of sketches; of the pairs that sizes and sketches do not rule out a
+    spanning forest is kept, and inside each of its trees all are compared with all by whole sets, in blocks, in which
+    a link made spares all others between the two components. A sketch rules out a pair of Jaccard 0.8 once in 1e14 times, about as often as the bands miss one.
     """
-    classes = materialise(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"),
-                                                   F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    keyed = classes.where("size > 0").select(F.explode("bands").alias("band"), F.struct("node", "size").alias("m"))
-    order = Window.partitionBy("band").orderBy("m")
-    met = keyed.select("band", "m", F.row_number().over(order).alias("place"),
-                       F.first("m").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("top"),
-                       F.collect_list("m").over(order.rowsBetween(-near, -1)).alias("before"))
-    met = materialise(met.where("place > 1"))
-    tries = F.when(F.col("place") > near + 1, F.concat(F.array("top"), F.col("before"))).otherwise(F.col("before"))
-    pairs = met.select(F.explode(tries).alias("x"), F.col("m").alias("y"))
-    pairs = pairs.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size"))
-    pairs = settle(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    hot = settle(met.where(F.col("place") == near + 2).select("band"))
-    crowd = met.join(hot, "band", "left_semi")
-    crowd = settle(crowd.select("band", "m.node").unionByName(crowd.where("place = 2").select("band", "top.node")))
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowd.select("node")).distinct()
-    wanted = settle(classes.join(wanted, "node").select("text_key", "node"))
+    classes = materialise(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"),
+                                                   F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n")))
+    keyed = classes.where("size > 0").select(F.explode("bands").alias("band"), "node")
+    tops = settle(keyed.groupBy("band").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    met = materialise(join_skewed(keyed, tops, "band", "n"))
+    wanted = settle(met.select("node").distinct())
+    wanted = settle(classes.select("text_key", "node").join(wanted, "node", "left_semi"))
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     texts = attach(docs.select(F.md5(body).alias("text_key"), body.alias("text")), wanted, ["text_key"])
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = materialise(texts.mapInArrow(_shingles(width), "node long, shingles array<long>"))
-    both = _with_sets(_with_sets(pairs, sets, "a"), sets, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    alike = F.col("common") >= least * (F.size("sa") + F.size("sb") - F.col("common"))
-    found = settle(both.where(alike).select("a", "b"))
-    roots = settle(components(found, "a", "b"))
-    crowd = crowd.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-    crowd = settle(crowd)
-    split = settle(crowd.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-                   .where("low < high").select("band", F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    if not split.isEmpty():
-        dealt = attach(crowd, split, ["band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select(
-            F.concat_ws(" ", "band", F.least("own", "mate"), F.greatest("own", "mate")).alias("key"), "node", "root",
-            F.when(F.col("own") == F.col("mate"), 0).when(F.col("own") < F.col("mate"), 1).otherwise(2).alias("side"))
-        more = _with_sets(settle(dealt), sets, "node").select("key", "node", "root", "side", "snode")
-        more = more.repartition("key").sortWithinPartitions("key").mapInArrow(_block_links(least), "a long, b long")
-        roots = settle(components(found.unionByName(settle(more.distinct())), "a", "b"))
+
+    tried = settle(_best(met.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))))
+    links = verified(tried, sets, least)
+    for _ in range(tries):
+        placed, lows = _split_bands(met, links)
+        cross = join_skewed(placed, lows, "band", "n").where("root <> low.root").select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+        fresh = settle(_best(_untried(cross, tried)))
+        more = verified(fresh, sets, least)
+        if more.isEmpty():
+            break
+        tried, links = settle(tried.unionByName(fresh)), settle(links.unionByName(more))
+
+    placed, lows = _split_bands(met, links)
+    crowd = materialise(join_skewed(placed, lows.select("band", "n"), "band", "n"))
+    drawn = classes.select("node", "size", "sketch")
+    blocks = _in_blocks(crowd.join(drawn, "node"), sketch_block, 1 << 60).repartition("key").sortWithinPartitions("key")
+    left = components(blocks.mapInArrow(_sketch_forest(least, agree), "a long, b long"), "a", "b").withColumnRenamed("root", "band")
+    roots = settle(components(links, "a", "b"))
+    left = settle(left.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")).join(drawn, "node"))
+    if not left.isEmpty():
+        rows = settle(_in_blocks(left, block, block_bytes)).join(sets, "node").repartition("key").sortWithinPartitions("key")
+        links = settle(links.unionByName(rows.mapInArrow(_block_links(least, agree), "a long, b long").distinct()))
+    roots = settle(components(links, "a", "b"))
     return settle(classes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
 
 
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    either = tried.unionByName(tried.select(F.col("a").alias("b"), F.col("b").alias("a")))
+    return pairs.join(either, ["a", "b"], "left_anti")
+
+
+def _split_bands(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of bands (band, node, root), and of bands whose members lie in different components the lowest root and its smallest class."""
+    roots = settle(components(links, "a", "b"))
+    placed = materialise(met.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+    lows = placed.groupBy("band").agg(F.min(F.struct("root", "node")).alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+    return placed, settle(lows.where("low.root < high").select("band", "low", "n"))
+
+
+def _in_blocks(crowd: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """Members of bands, once per pair of blocks that theirs is in; blocks have about ``block`` members and sets of ``block_bytes`` at most."""
+    sizes = crowd.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(8 * F.sum("size") / block_bytes)).cast("int").alias("blocks"))
+    dealt = attach(crowd, sizes, ["band"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(
+        F.concat_ws(" ", "band", F.least("own", "mate"), F.greatest("own", "mate")).alias("key"), "band", "node", "root", "size", "sketch",
+        F.when(F.col("own") == F.col("mate"), 0).when(F.col("own") < F.col("mate"), 1).otherwise(2).alias("side"))
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """(doc_id, component_id): documents linked through near duplicates share the smallest id."""
     rows = shingle_rows(docs, doc_id, text)

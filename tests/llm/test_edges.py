@@ -457,10 +457,26 @@ def test_near_copies_of_the_pipeline(spark):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in drop_near_copies(spark, frame, "").collect()} == set(root)
     assert simhash.one_of_each(frame).count() > len(set(root))
-    for options in ({"near": 1, "block": 512}, {"near": 1, "block": 7}):
+    for options in ({"tries": 0, "sketch_block": 9}, {"tries": 0, "block": 7}):
         assert dict(map(tuple, minhash.groups(frame, **options).collect())) == dict(enumerate(root))
 
 
+def test_pairs_are_verified_on_whole_sets(spark):
+    """Hubs with many partners, dealt in parts, against plain sets."""
+    rng = np.random.default_rng(12)
+    sets = {i: np.unique(np.concatenate([np.arange(40 + i % 20), rng.integers(0, 2**63, i % 25)]).astype(np.uint64) * np.uint64(2**58 + 9)).view(np.int64)
+            for i in range(200)}
+    frame = spark.createDataFrame([(i, np.sort(x.view(np.uint64)).view(np.int64).tolist()) for i, x in sets.items()], "node long, shingles array<long>")
+    pairs = [(i, int(rng.integers(0, 3))) for i in range(3, 200)] + [(int(a), int(b)) for a, b in rng.integers(3, 200, (60, 2)) if a != b]
+    pairs = list(dict.fromkeys(pairs))
+    plain = {i: set(x.tolist()) for i, x in sets.items()}
+    want = {(a, b) for a, b in pairs if len(plain[a] & plain[b]) >= 0.8 * len(plain[a] | plain[b])}
+    for rows in (1000, 7):
+        got = minhash.verified(tables.settle(spark.createDataFrame(pairs, "a long, b long")), frame, 0.8, rows)
+        assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert 0 < len(want) < len(pairs)
+
+
 def test_one_row_of_each_group(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     rows = [(1, a), (1, b), (2, b), (3, a), (None, a), (None, "no id"), (None, "no id"), (4, None), (5, "")]
