@@ -76,7 +76,7 @@ def segment_join(rec: DataFrame, seg: DataFrame, subject: str = "subject", ts: s
         return F.floor(times[c] / F.lit(float(width))).cast("long")
 
     pieces = seg.withColumn("_slot", F.explode(F.sequence(slot("t_start"), slot("t_end"))))
-    return (rec.withColumn("_slot", slot(ts)).join(pieces, [subject, "_slot"], "inner")
+    return (rec.withColumn("_slot", slot(ts)).join(pieces.hint("merge"), [subject, "_slot"], "inner")
             .where(inside).drop("_slot"))
 
 

@@ -173,3 +173,23 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         scale.shared_dir(Session)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("salts", [1, 32])
+def test_a_side_measured_as_large_is_not_broadcast(spark, tmp_path, how, salts):
+    """A file of few bytes and many rows looks small to the planner; copies of its rows look no larger."""
+    spark.range(20_000).selectExpr("id AS g", "1.5D AS v").write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    big = spark.range(50_000).selectExpr("id", "id % 30000 AS g")
+    got = scale.attach(big, small, ["g"], how, rows=10, salts=salts)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "g", how).select(got.columns).collect()))
+
+
+def test_many_segments_are_not_broadcast(spark, tmp_path):
+    spark.range(5_000).selectExpr("id % 50 AS subject", "id AS marker_id", "id * 10 AS t_start", "id * 10 + 25 AS t_end").write.parquet(str(tmp_path / "seg"))
+    seg, rec = spark.read.parquet(str(tmp_path / "seg")), spark.range(50_000).selectExpr("id % 50 AS subject", "id AS ts")
+    got = segments.segment_join(rec, seg, rows=10)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(got, "subject", "ts", "marker_id") == rows_of(segments.segment_join(rec, seg), "subject", "ts", "marker_id")
