@@ -7,18 +7,22 @@ import re
 import uuid
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import shared_dir
+from ..sources.heads import store_of
+from ..sources.writers import FILE_ROWS, deal_folders
 
 
 def new_folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-FILE_ROWS = 5_000_000
+FOLDERS_PER_TASK = 2_000
 
 
 def chunk(df: DataFrame, subject: str, key: str, rows: int = FILE_ROWS) -> Column:
@@ -31,15 +35,36 @@ def write_titled(df: DataFrame, path: str, folder: list[str], header: str, cells
                  title: str = "title: cohort recording") -> str:
     """One text file per folder value: a title line, the header line, then the rows.
 
-    ``folder`` names the columns that make the folders; give a large subject several.
+    ``folder`` names the columns that make the folders; give a large subject several. Files are written batch by batch in
+    the tasks, as Spark's own writer spends most of its time on making each of very many small files. Their names are fixed,
+    so a task that is repeated writes the same files again.
     """
     line = F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("")) for c in cells])
-    body = df.select(*folder, F.lit(2).alias("_place"), line.alias("value"))
-    heads = df.select(*folder).distinct().select(*folder, F.inline(F.array(
-        F.struct(F.lit(0).alias("_place"), F.lit(title).alias("value")),
-        F.struct(F.lit(1).alias("_place"), F.lit(header).alias("value")))))
-    (body.unionByName(heads).repartition(*folder).sortWithinPartitions(*folder, "_place")
-     .select(*folder, "value").write.partitionBy(*folder).text(path))
+    name = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in folder])
+    head = f"{title}\n{header}\n".encode()
+
+    def run(batches):
+        store, base = store_of(path)
+        now, out, files = None, None, 0
+        for batch in batches:
+            names = batch.column("folder")
+            lines = batch.column("value").to_pylist()
+            ends = [0, *(pc.indices_nonzero(pc.not_equal(names[1:], names[:-1])).to_numpy() + 1).tolist(), len(names)]
+            for low, high in zip(ends, ends[1:]):
+                if low < high and names[low].as_py() != now:
+                    if out is not None:
+                        out.close()
+                    now, files = names[low].as_py(), files + 1
+                    store.create_dir(f"{base}/{now}", recursive=True)
+                    out = store.open_output_stream(f"{base}/{now}/part-0.txt", compression=None)
+                    out.write(head)
+                out.write(("\n".join(lines[low:high]) + "\n").encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": [files]}, pa.schema([("files", pa.int64())]))
+
+    rows = deal_folders(df.select(name.alias("folder"), line.alias("value")), ["folder"], per_task=FOLDERS_PER_TASK, whole=True)
+    rows.sortWithinPartitions("folder").mapInArrow(run, "files long").agg(F.sum("files")).collect()
     return path
 
 

@@ -29,13 +29,25 @@ def place_of(path: str) -> str:
     return re.sub("/+", "/", bare if bare == path else unquote(bare))
 
 
-def _open(path: str) -> io.BufferedIOBase:
+def store_of(path: str) -> tuple[fs.FileSystem, str]:
     if re.match("^[A-Za-z][A-Za-z0-9+.-]*:", path):
         scheme, _, rest = path.partition(":")
         uri = "file://" + re.sub("^/+", "/", rest) if scheme == "file" else path
-        store, base = (fs.LocalFileSystem(), place_of(uri)) if scheme == "file" else fs.FileSystem.from_uri(uri)
-    else:
-        store, base = fs.LocalFileSystem(), path
+        return (fs.LocalFileSystem(), place_of(uri)) if scheme == "file" else fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), path
+
+
+def is_there(path: str) -> bool:
+    """Whether the path is found without Spark; what is not may still lie in a store that only Spark can open."""
+    try:
+        store, base = store_of(path)
+        return store.get_file_info(base).type != fs.FileType.NotFound
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _open(path: str) -> io.BufferedIOBase:
+    store, base = store_of(path)
     raw = store.open_input_stream(base, compression=None, buffer_size=1 << 16)
     return gzip.GzipFile(fileobj=raw) if base.endswith(".gz") else io.BufferedReader(raw)
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.names import metric_columns, power_columns, quality_columns, spark_name
 from ..functions.scalars import clean_key, nan_to_null, to_double
 from ..operators.scale import attach, settle
-from .heads import by_name, heads, listed, split_header
+from .heads import by_name, heads, is_there, listed, split_header
 
 TIME, MARKER, INTERPOLATED, OVERALL = "Timestamp", "MarkerIndex", "EEG.Interpolated", "CQ.Overall"
 
@@ -32,8 +32,13 @@ def subject_from_path(pattern: str = SUBJECT_FOLDER) -> Column:
 
 
 def resolve_root(spark: SparkSession, *roots: str) -> str:
-    """The first root that exists, on whatever file system it names."""
+    """The first root that exists, on whatever file system it names.
+
+    Spark lists a whole tree to say yes; it is asked only about a path that is not found without it.
+    """
     for root in roots:
+        if is_there(root):
+            return root
         try:
             spark.read.format("binaryFile").load(root)
         except AnalysisException as e:

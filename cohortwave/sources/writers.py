@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FILE_ROWS = 5_000_000
+FOLDERS_PER_TASK = 500
+# files go to their place as each task ends, side by side, and not one after the other when all have ended
+AT_ONCE = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def deal_folders(df: DataFrame, folder: list[str], file_rows: int = FILE_ROWS, per_task: int = FOLDERS_PER_TASK,
+                 whole: bool = False) -> DataFrame:
+    """Rows dealt so that a folder's lie in one task, and a large folder's in several of about ``file_rows`` rows, unless it is to stay ``whole``.
+
+    Without it every task writes a file to every folder it meets. The number of tasks grows with that of folders, as opening files is the work.
+    """
+    sizes = df.groupBy(*folder).agg(F.count(F.lit(1)).alias("n"))
+    count, largest, rows = sizes.agg(F.count("n"), F.max("n"), F.sum("n")).first()
+    parts = 1 if whole else (largest or 0) // file_rows + 1
+    tasks = max(1, math.ceil(count * parts / per_task), math.ceil((rows or 0) / file_rows))
+    own = [F.pmod(F.xxhash64(*df.columns), F.lit(parts))] if parts > 1 else []
+    return df.repartition(tasks, *folder, *own)
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] = (), mode: str = "overwrite") -> None:
+    if partition_by:
+        df = deal_folders(df, list(partition_by))
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
         # names and texts are kept as they are, spaces included
         writer = writer.option("header", True).option("ignoreLeadingWhiteSpace", False) \
             .option("ignoreTrailingWhiteSpace", False)
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
+        writer = writer.partitionBy(*partition_by).options(**AT_ONCE)
     writer.save(path)
 
 
