@@ -182,6 +182,13 @@ def test_run_length_index():
             assert got.tolist() == [i for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1]
 
 
+def test_strings_with_copies_stand_in_the_index_once(monkeypatch):
+    sizes, plain = [], suffix_dedup.matching_statistics
+    monkeypatch.setattr(suffix_dedup, "matching_statistics", lambda text, *rest: sizes.append(len(text)) or plain(text, *rest))
+    found = suffix_dedup.repeated_windows([b"abcdefgh", b"xxabcdyy", b"ab"], [True, False, True], 4)
+    assert sizes == [18] and [x.tolist() for x in found] == [[0, 1, 2, 3, 4], [2], []]
+
+
 def test_runs_are_fewer_in_repetitive_text():
     rng = random.Random(4)
     base = "".join(rng.choice("abcdefgh") for _ in range(400)).encode()
