@@ -1,4 +1,4 @@
-"""MinHash fingerprints, and near duplicates by signature bands with the Jaccard likeness verified.
+"""MinHash fingerprints, and near duplicates by SimHash and by signature bands with the Jaccard likeness verified.
 
 A document's shingles are its runs of five words. Each is hashed to 32 bits, and ``PERMUTATIONS`` universal hash
 functions ``(a x + b) mod 2^64 >> 32`` are applied to all shingles of a batch in NumPy; a signature is the minimum of
@@ -8,8 +8,9 @@ Defined cases: a null text is the empty text; a text of fewer than five words ha
 words has the signature of all ones, so two of them are alike (1.0) and one of them is like hardly any other (about 0). Fingerprints hold
 no place or id: equal texts have equal fingerprints. Rows of equal id are each fingerprinted; their order is by text.
 
-Near duplicates: texts of equal shingle sets are a class, named by 64 bits of the set's digest. Classes that share a band are candidates: a pair
-of Jaccard 0.8 shares none of 64 bands of four minima once in 4e14 times. Candidates are verified on their whole sets.
+Near duplicates: texts of equal shingle sets are a class, named by 64 bits of the set's digest. SimHash fingerprints of the shingles that differ in at
+most two bits link classes first (``simhash``). Two bits miss most pairs of Jaccard 0.8, so classes that share a band are candidates as well: such a
+pair shares none of 64 bands of four minima once in 4e14 times. All candidates are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .tables import attach, components, join_skewed, materialise, one_row_each, settle
 from .words import buffers, hash_words, mix64, shingle_hashes, slices, split_words
 
@@ -174,7 +176,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", co
 
 # --- near duplicates
 
-ROWS = "doc_id long, text_key string, node long, size int, bands array<long>, sketch binary"
+ROWS = "doc_id long, text_key string, node long, size int, fingerprint long, bands array<long>, sketch binary"
 
 
 def _sets(column: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -196,10 +198,12 @@ def _shingle_rows(count: int, width: int, bands: int, seed: int):
                          + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
             nodes = [int.from_bytes(hashlib.sha256(x.tobytes()).digest()[:8], "big", signed=True) for x in sets]
             sketch = [x.tobytes() for x in minimum[:, :SKETCH].astype(np.uint8)]
+            prints = [simhash.fingerprint(simhash.shingle_digests(x, width)) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text_key"), pa.array(nodes, pa.int64()),
-                pa.array([len(x) for x in sets], pa.int32()), pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "text_key", "node", "size", "bands", "sketch"])
+                pa.array([len(x) for x in sets], pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64)),
+                pa.array(list(keys), pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_key", "node", "size", "fingerprint", "bands", "sketch"])
 
     return run
 
@@ -370,7 +374,7 @@ def _block_links(least: float, agree: int):
 
 def shingle_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int = PERMUTATIONS, width: int = WIDTH,
                  bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """Per row its id, the digest of its text, its class, the size of its shingle set, its band keys and its sketch. A written table."""
+    """Per row its id, the digest of its text, its class, the size of its shingle set, its SimHash fingerprint, its band keys and its sketch. Written."""
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(body).alias("text_key"), body.alias("text"))
     return materialise(rows.mapInArrow(_shingle_rows(count, width, bands, seed), ROWS))
@@ -382,12 +386,19 @@ def _best(tries: DataFrame) -> DataFrame:
     return shared.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
 
 
+def simhash_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): each class of ``shingle_rows`` with the smallest one that links of SimHash fingerprints reach. Written."""
+    prints = materialise(rows.where("size > 0").select("node", "fingerprint").distinct())
+    each = simhash.linked(prints, "node").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
+    return settle(each.where("a <> b").distinct())
+
+
 def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float = LEAST, width: int = WIDTH, agree: int = AGREE,
              tries: int = TRIES, sketch_block: int = SKETCH_BLOCK, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, n, root) per class of ``shingle_rows``: its rows, and the class that names its component.
 
-    Each class is compared by whole shingle sets with one other, that which is the smallest class of most of its bands. Components are
-    taken, and for some rounds each class that shares a band with another component is compared with that component's smallest class in the
+    Each class is compared by whole shingle sets with one other: the smallest class that SimHash links reach, or where that is not alike, the one
+    which is the smallest class of most of its bands. Components are taken, and for some rounds each class that shares a band with another component is compared with that component's smallest class in the
     band. That links nearly all; what makes the result exact is the last step, for every pair of classes that
     share a band and still lie in different components. Bands are taken in pairs of blocks of sketches; of the pairs that sizes and sketches do not rule out a
     spanning forest is kept, and inside each of its trees all are compared with all by whole sets, in blocks, in which
@@ -405,8 +416,12 @@ def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = materialise(texts.mapInArrow(_shingles(width), "node long, shingles array<long>"))
 
-    tried = settle(_best(met.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"))))
+    tried = simhash_pairs(rows)
     links = verified(tried, sets, least)
+    found = settle(links.select(F.col("a").alias("node")).distinct())
+    others = met.where("node <> top").join(found, "node", "left_anti").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    fresh = settle(_best(_untried(others, tried)))
+    tried, links = settle(tried.unionByName(fresh)), settle(links.unionByName(verified(fresh, sets, least)))
     for _ in range(tries):
         placed, lows = _split_bands(met, links)
         cross = join_skewed(placed, lows, "band", "n").where("root <> low.root").select(F.col("node").alias("a"), F.col("low.node").alias("b"))

@@ -121,13 +121,13 @@ class Ids:
 
 
 @lru_cache(maxsize=1)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, words: int = CACHED_WORDS) -> Ids:
+    return Ids(path, words)
 
 
-def _tokenise(path: str, end_id: int, capacity: int, groups: int):
+def _tokenise(path: str, end_id: int, capacity: int, groups: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = ids_of(path, words)
         step = capacity * ids.type.itemsize
         for batch in slices(batches, "text", 2_000_000):
             doc_id, draw, start, total, part = [], [], [], [], []
@@ -150,16 +150,17 @@ def _tokenise(path: str, end_id: int, capacity: int, groups: int):
 
 
 def token_pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, doc_id: str = "doc_id",
-                 text: str = "text", group_bytes: int = GROUP_BYTES, seed: int = SEED) -> DataFrame:
+                 text: str = "text", group_bytes: int = GROUP_BYTES, seed: int = SEED, words: int = CACHED_WORDS) -> DataFrame:
     """Documents' ids cut at multiples of the capacity, each piece in a random group: PIECES.
 
-    Groups are as many as keep one near ``group_bytes`` of text; a long document's pieces go to different ones.
+    Groups are as many as keep one near ``group_bytes`` of text; a long document's pieces go to different ones. ``words`` are the most
+    whose ids a worker holds: some 200 bytes each.
     """
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     size = docs.agg(F.sum(F.octet_length(raw) + 1)).first()[0] or 0
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"),
                        F.xxhash64(F.lit(seed), F.col(doc_id)).alias("draw"), raw.alias("text"))
-    return rows.mapInArrow(_tokenise(path, end_id, capacity, max(1, -(-size // group_bytes))), PIECES)
+    return rows.mapInArrow(_tokenise(path, end_id, capacity, max(1, -(-size // group_bytes)), words), PIECES)
 
 
 # --- first-fit decreasing
@@ -235,10 +236,10 @@ def _pack(capacity: int, type_of: str):
 
 
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAPACITY, doc_id: str = "doc_id",
-         text: str = "text", group_bytes: int = GROUP_BYTES, seed: int = SEED) -> DataFrame:
+         text: str = "text", group_bytes: int = GROUP_BYTES, seed: int = SEED, words: int = CACHED_WORDS) -> DataFrame:
     """The pieces of all documents with their ids (little-endian unsigned 32-bit), sequence and offset there: PACKED."""
-    pieces = token_pieces(docs, path, end_id, capacity, doc_id, text, group_bytes, seed)
-    return pieces.groupBy("group").applyInArrow(_pack(capacity, ids_of(path).type.str), PACKED)
+    pieces = token_pieces(docs, path, end_id, capacity, doc_id, text, group_bytes, seed, words)
+    return pieces.groupBy("group").applyInArrow(_pack(capacity, ids_of(path, words).type.str), PACKED)
 
 
 def report(docs: DataFrame, path: str, **options) -> DataFrame:

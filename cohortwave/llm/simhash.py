@@ -219,16 +219,20 @@ def _split(rows: DataFrame, masks: list[int], most: int) -> DataFrame:
     return near.select(F.xxhash64("m", "bits", F.least("top", mate), F.greatest("top", mate)).alias("key"), side.alias("side"), "fingerprint")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
-    """(doc_id, fingerprint as 16 hex digits, component_id) for each document."""
-    rows = materialise(fingerprints(docs, doc_id, text))
-    classes = settle(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
+def linked(rows: DataFrame, name: str = "doc_id", most: int = MOST) -> DataFrame:
+    """The written rows (name, fingerprint) with ``component_id``, the smallest name that links of fingerprints reach."""
+    classes = settle(rows.groupBy("fingerprint").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("n")))
     roots = components(links(classes.select("fingerprint"), most, forest=True), "a", "b")
     named = classes.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     named = settle(named.join(smallest, "root").select("fingerprint", "n", "component_id"))
-    each = join_skewed(rows, named, "fingerprint", "n")
+    return join_skewed(rows, named, "fingerprint", "n")
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+    """(doc_id, fingerprint as 16 hex digits, component_id) for each document."""
+    each = linked(materialise(fingerprints(docs, doc_id, text)), "doc_id", most)
     return each.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 

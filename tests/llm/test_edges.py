@@ -468,6 +468,19 @@ def test_near_copies_of_the_pipeline(spark):
         assert dict(map(tuple, minhash.groups(frame, **options).collect())) == dict(enumerate(root))
 
 
+def test_simhash_links_near_copies_first(spark, monkeypatch):
+    from corpus_pipeline import drop_near_copies
+
+    asked, plain = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda rows, name, *more: asked.append(name) or plain(rows, name, *more))
+    long = [f"w{i}" for i in range(4000)]
+    frame = spark.createDataFrame([(0, " ".join(long)), (1, " ".join([*long[:-1], "changed"])), (2, "another text"), (3, None)], "doc_id long, text string")
+    rows = minhash.shingle_rows(frame)
+    nodes = {r.doc_id: r.node for r in rows.collect()}
+    assert [set(r) for r in minhash.simhash_pairs(rows).collect()] == [{nodes[0], nodes[1]}]
+    assert {r.doc_id for r in drop_near_copies(spark, frame, "").collect()} == {0, 2, 3} and asked == ["node", "node"]
+
+
 def test_pairs_are_verified_on_whole_sets(spark):
     """Hubs with many partners, dealt in parts, against plain sets."""
     rng = np.random.default_rng(12)
