@@ -33,6 +33,18 @@ def test_silhouette_against_all_pairs(spark):
         tiles.silhouettes(frame.where("g = 'a'"), "g", "x")
 
 
+def test_silhouette_copies_a_block_once_per_group(spark, monkeypatch):
+    """Many blocks in few groups give the same, from single-precision vectors too; a group's size is bounded."""
+    rng = np.random.default_rng(2)
+    x, g = rng.normal(0, 1, (90, 4)).astype(np.float32), np.arange(90) % 3
+    frame = spark.createDataFrame([(int(h), p.tolist()) for h, p in zip(g, x)], "g int, x array<float>").repartition(3)
+    want = tiles.euclidean_silhouette(frame.select("g", F.col("x").cast("array<double>").alias("x")), "g").first()[0]
+    for most in (128, 5):
+        monkeypatch.setattr(tiles, "GROUP_BLOCKS", most)
+        got = tiles.euclidean_silhouette(frame, "g", block_rows=2, run=9, groups=3).first()[0]
+        assert got == pytest.approx(want, abs=1e-12)
+
+
 def test_correlation_of_a_thousand_columns(spark):
     """Tiles of 128 columns: a task holds KEEP_BYTES of them and one more, 67 MB, where a whole array would be 48 MB per thousand columns squared."""
     rng = np.random.default_rng(2)
