@@ -15,16 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .products import add_rows
+from .products import add_sums
 from .scale import attach
 
 CELLS = 2_000_000  # rows times models that are held at once
+PAIRED = 32  # columns up to which their products are formed once for all models
 ROUNDS = 60
-# lengths of Newton's step and of the safe one that a pass tries, where a loss has straight parts
-STEPS, SAFE = (1.0, 0.7, 0.45, 0.25, 0.12, 0.05), (1.0, 1.6, 3.0)
+# where a loss has straight parts, a pass tries steps whose curvature is Newton's with these shares of the safe one, in these lengths, and the safe one
+SHARES = (0.0, 1e-5, 1e-4, 1e-3, 0.01, 0.03, 0.1, 0.3)
+STEPS, SAFE = (1.0, 0.5, 0.2, 0.05), (1.0, 1.6, 3.0)
 
 
 # --- losses: value, slope and curvature in z, the model's answer. Those with straight parts also have the curvature of a parabola that
@@ -89,15 +92,26 @@ class Blocks:
     std: np.ndarray
     sets: int
 
-    def __call__(self, pdf: pd.DataFrame, models: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        size = max(1, CELLS // max(1, models, self.sets, len(self.mean) ** 2 // 2))
-        for low in range(0, len(pdf), size):
-            part = pdf.iloc[low : low + size]
-            x = (np.stack(part["x"].to_numpy()).astype(float) - self.mean) / self.std
-            inside = np.ones((len(part), self.sets))
-            out = part["out"].tolist()
-            inside[np.repeat(np.arange(len(part)), [len(o) for o in out]), np.concatenate(out).astype(int)] = 0
-            yield np.column_stack((np.ones(len(part)), x)), part["y"].to_numpy(float), inside
+    def __call__(self, batch: pa.RecordBatch, models: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        p = len(self.mean)
+        size = max(1, CELLS // max(1, models, self.sets, p**2 // 2 if p < PAIRED else 4 * p))
+        for low in range(0, batch.num_rows, size):
+            part = batch.slice(low, size)
+            n = part.num_rows
+            a = np.ones((n, p + 1))
+            a[:, 1:] = (part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, p) - self.mean) / self.std
+            inside = np.ones((n, self.sets))
+            out = part.column("out")
+            inside[np.repeat(np.arange(n), np.diff(out.offsets.to_numpy())), out.flatten().to_numpy(zero_copy_only=False)] = 0
+            yield a, part.column("y").to_numpy(zero_copy_only=False), inside
+
+
+def curvatures(a: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Per column of ``weight`` the upper triangle of the weighted products of all columns, added up over the rows."""
+    low, high = np.triu_indices(a.shape[1])
+    if a.shape[1] <= PAIRED:
+        return weight.T @ (a[:, low] * a[:, high])
+    return np.array([((a * w[:, None]).T @ a)[low, high] for w in weight.T])
 
 
 class Table:
@@ -132,18 +146,22 @@ class Table:
             square = (n[:, 2 + p :] - n[:, 2 : 2 + p] ** 2 / n[:, :1]) / np.maximum(n[:, :1] - ddof, 1)
             self.scale = np.sqrt(np.where(square > 1e-20, square, 1.0))  # per set, of features standardised over all rows
 
-    def added(self, kernel, width: int, models: int) -> DataFrame:
-        """(model, n, values): what ``kernel(a, y, inside)`` gives per model, added up over all rows."""
+    def added(self, kernel, width: int, models: int, then=None, schema: str = "") -> DataFrame:
+        """(model, n, values): what ``kernel(a, y, inside)`` gives per model, added up over all rows; or what ``then`` makes of these rows."""
         blocks = self.blocks
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((models, width))
-            for pdf in batches:
-                for block in blocks(pdf, models):
+            for batch in batches:
+                for block in blocks(batch, models):
                     total += kernel(*block)
-            yield pd.DataFrame({"model": np.arange(models, dtype=np.int32), "n": 1.0, "values": list(total)})
+            for low in range(0, models, max(1, CELLS // width)):
+                part = total[low : low + max(1, CELLS // width)]
+                values = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * width, part.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + len(part)), pa.int32()), pa.array(np.ones(len(part))), values],
+                                                 ["model", "n", "values"])
 
-        return add_rows(self.rows.mapInPandas(run, "model int, n double, values array<double>"), ["model"])
+        return add_sums(self.rows.mapInArrow(run, "model int, n double, values array<double>"), ["model"], then, schema)
 
     def sums(self, kernel, width: int, models: int) -> np.ndarray:
         rows = self.added(kernel, width, models).collect()
@@ -168,7 +186,7 @@ class Table:
             rounds: int = ROUNDS) -> "Fits":
         """A model for each (train set, C).
 
-        A smooth loss takes whole steps, and half of one that the next pass finds to be too far. One with straight parts has the lengths ``STEPS`` tried in a
+        A smooth loss takes whole steps, and half of one that the next pass finds to be too far. One with straight parts has the lengths ``STEPS`` and ``SAFE`` of several steps tried in a
         pass of their own. A model is done when its coefficients, or with straight parts its objective, change by a share of ``tol`` at most.
         """
         p, m = len(self.mean) + 1, len(settings)
@@ -187,8 +205,7 @@ class Table:
                 value, slope, bend = loss.terms(y[:, None], a @ beta.T)
                 weight = inside[:, own] * np.where(y[:, None] > 0, w1, w0)
                 bends = [bend, loss.cover(y[:, None], a @ beta.T)] if loss.straight else [bend]
-                return np.column_stack(((weight * value).sum(axis=0), (weight * slope).T @ a,
-                                        *[(weight * b).T @ (a[:, low] * a[:, high]) for b in bends]))
+                return np.column_stack(((weight * value).sum(axis=0), (weight * slope).T @ a, *[curvatures(a, weight * b) for b in bends]))
 
             def step(batches, beta=beta, pen=pen):
                 for pdf in batches:
@@ -196,7 +213,10 @@ class Table:
                     for i, values in zip(pdf["model"], pdf["values"]):
                         v, moves = np.asarray(values, float), []
                         slope = v[1 : 1 + p] + pen[i] * beta[i]
-                        for bend in v[1 + p :].reshape(-1, len(low)):
+                        bends = v[1 + p :].reshape(-1, len(low))
+                        if loss.straight:
+                            bends = [*[(1 - s) * bends[0] + s * bends[1] for s in SHARES], bends[1]]
+                        for bend in bends:
                             curve = np.diag(pen[i] + 1e-12)
                             curve[low, high] += bend
                             curve = np.triu(curve) + np.triu(curve, 1).T
@@ -205,13 +225,13 @@ class Table:
                     yield pd.DataFrame(rows, columns=["model", "loss", "moves"])
 
             width = 1 + p + len(low) * (2 if loss.straight else 1)
-            told = self.added(kernel, width, len(busy)).mapInPandas(step, "model int, loss double, moves array<double>")
+            told = self.added(kernel, width, len(busy), step, "model int, loss double, moves array<double>")
             done, moves = set(), {}
             for r in told.collect():
                 at, move = busy[r["model"]], np.array(r["moves"])
                 if loss.straight:
-                    newton, safe = move.reshape(2, p)
-                    reached[at], moves[at] = r["loss"], np.concatenate([np.outer(STEPS, newton), np.outer(SAFE, safe)])
+                    *newton, safe = move.reshape(-1, p)
+                    reached[at], moves[at] = r["loss"], np.concatenate([*[np.outer(STEPS, way) for way in newton], np.outer(SAFE, safe)])
                 elif r["loss"] <= reached[at] + 1e-10 * abs(reached[at]) or not np.isfinite(reached[at]):
                     best[at], reached[at] = trial[at], r["loss"]
                     trial[at] = best[at] + move
@@ -221,7 +241,7 @@ class Table:
                 else:  # too far: half the way
                     trial[at] = (best[at] + trial[at]) / 2
             if loss.straight:
-                ways = len(STEPS) + len(SAFE)
+                ways = len(SHARES) * len(STEPS) + len(SAFE)
                 tried = np.concatenate([best[at] + moves[at] for at in busy])
                 losses = self._losses(loss, tried, np.repeat(sets[busy], ways), np.repeat(pen, ways, axis=0)).reshape(len(busy), ways)
                 for at, own, told in zip(busy, losses, tried.reshape(len(busy), ways, p)):

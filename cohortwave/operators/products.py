@@ -95,10 +95,21 @@ def add_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n double, values array<double>"
     add = _add_up(keys)
-    per_task = rows.select(*keys, "n", "values").mapInPandas(add, schema)
+    return add_sums(rows.select(*keys, "n", "values").mapInPandas(add, schema), keys)
+
+
+def add_sums(per_task: DataFrame, keys: list[str], then: Callable | None = None, then_schema: str = "") -> DataFrame:
+    """The same where a task gives few rows per key, such as its own sums. ``then`` takes the frames of the result where they are added up.
+
+    A task of each stage runs one Python worker, and a key's rows are held one at a time.
+    """
+    types = dict(per_task.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n double, values array<double>"
+    add = _add_up_sorted(keys)
     slot = F.pmod(F.spark_partition_id(), F.lit(SPREAD))
-    spread = per_task.withColumn("_slot", slot).repartition(*keys, "_slot").drop("_slot").mapInPandas(add, schema)
-    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_add_up_sorted(keys), schema)
+    spread = per_task.withColumn("_slot", slot).repartition(*keys, "_slot").sortWithinPartitions(*keys).drop("_slot").mapInPandas(add, schema)
+    last = (lambda batches: then(add(batches))) if then else add
+    return spread.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(last, then_schema if then else schema)
 
 
 TILE = 128  # columns of a block; a tile of two blocks is a few matrices of that size

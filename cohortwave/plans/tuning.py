@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +32,10 @@ def _level_counts(fits: Fits, outer: int, inner: int, penalties: tuple[float, ..
     blocks, models = fits.table.blocks, len(fits.settings)
     beta, cuts = fits.beta.reshape(outer, inner, len(penalties), -1), np.array(thresholds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((outer, len(penalties), len(cuts) + 1, 2), np.int64)
-        for pdf in batches:
-            for a, y, inside in blocks(pdf, models):
+        for batch in batches:
+            for a, y, inside in blocks(batch, models):
                 side = inside.reshape(len(a), outer, inner + 1)
                 for o in range(outer):
                     for i in range(inner):
@@ -45,10 +45,11 @@ def _level_counts(fits: Fits, outer: int, inner: int, penalties: tuple[float, ..
                         for k in range(len(penalties)):
                             np.add.at(total[o, k], (level[:, k], y[rows].astype(int)), 1)
         o, k, level = np.nonzero(total.sum(axis=3))
-        yield pd.DataFrame({"outer_fold": (o + 1).astype(np.int32), "c": np.array(penalties)[k], "_level": level.astype(np.int32),
-                            "_pos": total[o, k, level, 1], "_neg": total[o, k, level, 0]})
+        yield pa.RecordBatch.from_arrays([pa.array((o + 1).astype(np.int32)), pa.array(np.array(penalties, float)[k]), pa.array(level.astype(np.int32)),
+                                          pa.array(total[o, k, level, 1]), pa.array(total[o, k, level, 0])],
+                                         ["outer_fold", "c", "_level", "_pos", "_neg"])
 
-    counted = fits.table.rows.mapInPandas(run, "outer_fold int, c double, _level int, _pos long, _neg long")
+    counted = fits.table.rows.mapInArrow(run, "outer_fold int, c double, _level int, _pos long, _neg long")
     return counted.groupBy("outer_fold", "c", "_level").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortwave.operators import kernel, models
+from cohortwave.operators import kernel, models, newton
 
 X = ["a", "b"]
 
@@ -133,3 +133,28 @@ def test_features_give_the_kernel(data, spark):
     assert off.mean() < np.abs(z @ z.T - kernel.gaussian(x, x, 0.5)).mean() / 3
     again = [list(r["phi"]) for r in few.add(df, X).orderBy("id").collect()]
     assert np.allclose(again, phi)
+
+
+def test_machines_settle_in_few_passes_where_classes_hardly_differ(spark, monkeypatch):
+    """Rows crowd at the corner of the loss, where a whole Newton step is far too long and a safe one far too short."""
+    plain, passes = newton.Table._losses, []
+    monkeypatch.setattr(newton.Table, "_losses", lambda *a: passes.append(1) or plain(*a))
+    rng = np.random.default_rng(3)
+    size = np.floor(np.exp(rng.normal(7, 1.2, 8000)))
+    pdf = pd.DataFrame({"a": size, "b": np.floor(size / 6 * (1 + 0.05 * rng.normal(size=len(size)))), "c": (rng.random(len(size)) < 0.7).astype(float)})
+    pdf = (pdf - pdf.mean()) / pdf.std()
+    pdf = pdf.assign(t=(rng.random(len(size)) < 0.1).astype(float), fold=np.arange(len(size)) % 3)
+    _, gaps = kernel.rbf_classifier_cv(spark.createDataFrame(pdf), ["a", "b", "c"], "t", "fold")
+    for r in gaps.collect():
+        assert abs(r["gap"]) <= 1e-3 * r["objective"] and abs(r["balance"]) <= 1e-3 * r["objective"]
+    assert len(passes) <= 40
+
+
+def test_a_pass_starts_one_python_worker_per_task_of_a_stage(spark, data):
+    rows = data[1].withColumn("out", F.array(F.col("fold").cast("int") - 1))
+    table = newton.Table(rows, X, "t", "out", 2)
+    added = table.added(lambda a, y, inside: inside.T @ a, 3, 2)
+    stages = added._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
+    assert len(stages) > 1 and max(s.count("MapIn") for s in stages) == 1
+    told = table.sums(lambda a, y, inside: inside.T @ a, 3, 2)
+    assert told[:, 0].tolist() == [30, 30]
