@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,6 @@ class Ids:
         self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, Known()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.type = np.dtype("<u2" if max(vocabulary.values()) < 65536 else "<u4")
-        self.marks = dict(zip(".,", self._encode([".", ","]), strict=True))
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
@@ -81,20 +81,29 @@ class Ids:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        letters, marked, other = set(), [], []
+        letters, marked, stems, tails, other = set(), [], [], [], set()
         for w in words:
             if w.isalpha():
                 letters.add(w)
-            elif w[-1:] in (".", ",") and w[:-1].isalpha():
+                continue
+            stem = w.rstrip(punctuation)  # marks after letters are a piece of their own to the tokenizer, however many
+            if stem.isalpha() and len(stem) < len(w):
+                tail = w[len(stem) :]
                 marked.append(w)
-                if w[:-1] not in self.known:
-                    letters.add(w[:-1])
+                stems.append(stem)
+                tails.append(tail)
+                if stem not in self.known:
+                    letters.add(stem)
+                if tail not in self.known:
+                    other.add(tail)
             else:
-                other.append(w)
-        letters = list(letters)
+                other.add(w)
+        letters, other = list(letters), list(other)
         self.known.update(zip(letters, self._letters(letters), strict=True))
         self.known.update(zip(other, self._encode(other), strict=True))
-        self.known.update((w, self.known[w[:-1]] + self.marks[w[-1]]) for w in marked)
+        known = self.known
+        for w, stem, tail in zip(marked, stems, tails, strict=True):
+            known[w] = known[stem] + known[tail]
 
     def of(self, texts: list[str]) -> list[bytes]:
         known = self.known

@@ -394,6 +394,19 @@ def test_ids_of_odd_texts():
             assert ids == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes(), text
 
 
+def test_ids_of_letters_with_marks_behind(monkeypatch):
+    """Letters and the marks behind them are looked up apart, so only marks and odd words go to the tokenizer one by one."""
+    own, plain, alone = packing.Ids(tokenizer_file()), packing.Ids._encode, []
+    monkeypatch.setattr(packing.Ids, "_encode", lambda self, w: alone.extend(w) or plain(self, w))
+    stems = ["Haus", "\u00c9t\u00e9", "e\u0301te", "\u01c5a", "\u0130x", "\u03a3\u03a3", "\u4e2d\u6587", "it", "we", "\u00aa", "\ufb01n"]
+    tails = [".", ",.", "###", "&&&", "'", "''", "!!'", "_", "$%&*", "<", "=", ">", "~^`|"]
+    words = [s + t for s in stems for t in tails] + ["it's", "it's!!", "a1###", "#a#", "x\u0338=", "'s", "we'll.", "a'd'", "\u00e9\u0301!"]
+    want = [own.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    got = own.of(words) + own.of([" ".join(words)])
+    assert [np.frombuffer(x, own.type).tolist() for x in got] == want + [sum(want, [])]
+    assert len(alone) < len(words) / 2
+
+
 def test_packing(docs, none):
     from .test_whole_tables import encode, packed_right
     from tokenizers import Tokenizer
