@@ -557,3 +557,21 @@ def test_incomplete_records_are_told(spark, tmp_path):
     manifest = spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",), (f"file://{tmp_path}/b.warc",)], "path string")
     got = {r.record_id.split(":")[2]: (r.payload_bytes, r.problem) for r in warc.read_archives(manifest).collect()}
     assert got == {"4": (None, "segments are missing"), "3": (4, None), "5": (5000, None)}
+
+
+def test_components_of_few_links_are_written_in_few_pieces(spark, tmp_path):
+    """However many partitions a shuffle has, each round writes as many pieces as the links need."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    folder = spark.sparkContext.getCheckpointDir()
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i % 20 != 19], "a long, b long")
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+        roots = {r["node"]: r["root"] for r in tables.components(links, "a", "b").collect()}
+    finally:
+        spark.sparkContext.setCheckpointDir(folder.removeprefix("file:"))
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert roots == {i: i // 20 * 20 for i in range(60)}
+    assert len(list(tmp_path.rglob("part-*"))) <= 40 + 20
