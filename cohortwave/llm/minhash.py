@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .tables import attach, components, join_skewed, materialise, one_row_each, settle
+from .tables import attach, components, gather, join_skewed, materialise, one_row_each, picked, rows_of, settle, together
 from .words import buffers, hash_words, mix64, shingle_hashes, slices, split_words
 
 WIDTH = 5
@@ -259,16 +259,19 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float, part_rows: int = 2
     b is the hub. A class's set travels once per pair to its hub, and a hub's set once per ``part_rows`` of its pairs, so no row holds two sets and
     no task more than one besides its batch.
     """
-    hubs = settle(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")))
-    many = settle(hubs.where("parts > 1"))
+    pairs = gather(pairs)
+    if not rows_of(pairs):
+        return pairs
+    hubs = gather(pairs.groupBy(F.col("b").alias("node")).agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")))
+    many = gather(hubs.where("parts > 1").select(F.col("node").alias("b"), "parts"))
     dealt = attach(pairs, many, ["b"], "left")
     part = F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = settle(dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), part.alias("part")))
+    dealt = gather(dealt.select(F.col("a").alias("node"), F.col("b").alias("hub"), part.alias("part")))
     members = attach(sets, dealt, ["node"], salts=1).select("hub", "part", F.lit(1).alias("kind"), "node", "shingles")
-    heads = attach(sets, hubs.select(F.col("b").alias("node"), "parts"), ["node"], salts=1).select(
+    heads = attach(sets, hubs, ["node"], salts=1).select(
         F.col("node").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "node", "shingles")
     rows = members.unionByName(heads).repartition("hub", "part").sortWithinPartitions("hub", "part", "kind")
-    return settle(rows.mapInArrow(_compare(least), "a long, b long"))
+    return gather(rows.mapInArrow(_compare(least), "a long, b long"))
 
 
 def _sketch_forest(least: float, agree: int):
@@ -390,7 +393,7 @@ def simhash_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): each class of ``shingle_rows`` with the smallest one that links of SimHash fingerprints reach. Written."""
     prints = materialise(rows.where("size > 0").select("node", "fingerprint").distinct())
     each = simhash.linked(prints, "node").select(F.col("node").alias("a"), F.col("component_id").alias("b"))
-    return settle(each.where("a <> b").distinct())
+    return gather(each.where("a <> b").distinct())
 
 
 def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float = LEAST, width: int = WIDTH, agree: int = AGREE,
@@ -407,10 +410,10 @@ def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float
     classes = materialise(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"),
                                                    F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n")))
     keyed = classes.where("size > 0").select(F.explode("bands").alias("band"), "node")
-    tops = settle(keyed.groupBy("band").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    tops = gather(keyed.groupBy("band").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = materialise(join_skewed(keyed, tops, "band", "n"))
-    wanted = settle(met.select("node").distinct())
-    wanted = settle(classes.select("text_key", "node").join(wanted, "node", "left_semi"))
+    wanted = gather(met.select("node").distinct())
+    wanted = gather(attach(classes.select("text_key", "node"), wanted, ["node"], salts=1))
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     texts = attach(docs.select(F.md5(body).alias("text_key"), body.alias("text")), wanted, ["text_key"])
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
@@ -418,44 +421,48 @@ def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float
 
     tried = simhash_pairs(rows)
     links = verified(tried, sets, least)
-    found = settle(links.select(F.col("a").alias("node")).distinct())
-    others = met.where("node <> top").join(found, "node", "left_anti").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    fresh = settle(_best(_untried(others, tried)))
-    tried, links = settle(tried.unionByName(fresh)), settle(links.unionByName(verified(fresh, sets, least)))
+    found = gather(links.select(F.col("a").alias("node")).distinct())
+    others = attach(met.where("node <> top"), found, ["node"], "left_anti", salts=1).select(F.col("node").alias("a"), F.col("top").alias("b"))
+    fresh = gather(_best(_untried(others, tried)))
+    tried, links = together(tried, fresh), together(links, verified(fresh, sets, least))
     for _ in range(tries):
-        placed, lows = _split_bands(met, links)
-        cross = join_skewed(placed, lows, "band", "n").where("root <> low.root").select(F.col("node").alias("a"), F.col("low.node").alias("b"))
-        fresh = settle(_best(_untried(cross, tried)))
+        placed, lows, roots = _split_bands(met, links)
+        cross = join_skewed(placed, lows, "band", "n").where("root <> low").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        fresh = gather(_best(_untried(cross, tried)))
         more = verified(fresh, sets, least)
-        if more.isEmpty():
+        if not rows_of(more):
             break
-        tried, links = settle(tried.unionByName(fresh)), settle(links.unionByName(more))
-
-    placed, lows = _split_bands(met, links)
-    crowd = materialise(join_skewed(placed, lows.select("band", "n"), "band", "n"))
-    drawn = classes.select("node", "size", "sketch")
-    blocks = _in_blocks(crowd.join(drawn, "node"), sketch_block, 1 << 60).repartition("key").sortWithinPartitions("key")
-    left = components(blocks.mapInArrow(_sketch_forest(least, agree), "a long, b long"), "a", "b").withColumnRenamed("root", "band")
-    roots = settle(components(links, "a", "b"))
-    left = settle(left.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")).join(drawn, "node"))
-    if not left.isEmpty():
-        rows = settle(_in_blocks(left, block, block_bytes)).join(sets, "node").repartition("key").sortWithinPartitions("key")
-        links = settle(links.unionByName(rows.mapInArrow(_block_links(least, agree), "a long, b long").distinct()))
-    roots = settle(components(links, "a", "b"))
-    return settle(classes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")))
+        tried, links = together(tried, fresh), together(links, more)
+    else:
+        placed, lows, roots = _split_bands(met, links)
+
+    if rows_of(lows):
+        crowd = materialise(join_skewed(placed, picked(lows, "band", "n"), "band", "n"))
+        drawn = classes.select("node", "size", "sketch")
+        blocks = _in_blocks(crowd.join(drawn, "node"), sketch_block, 1 << 60).repartition("key").sortWithinPartitions("key")
+        left = gather(components(blocks.mapInArrow(_sketch_forest(least, agree), "a long, b long"), "a", "b").withColumnRenamed("root", "band"))
+        if rows_of(left):
+            left = gather(attach(left, roots, ["node"], "left", salts=1).select("band", "node", F.coalesce("root", "node").alias("root")))
+            left = settle(attach(drawn, left, ["node"], salts=1))
+            rows = settle(_in_blocks(left, block, block_bytes)).join(sets, "node").repartition("key").sortWithinPartitions("key")
+            links = together(links, gather(rows.mapInArrow(_block_links(least, agree), "a long, b long").distinct()))
+            roots = gather(components(links, "a", "b"))
+    return gather(attach(classes.select("node", "n"), roots, ["node"], "left", salts=1).select("node", "n", F.coalesce("root", "node").alias("root")))
 
 
 def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
-    either = tried.unionByName(tried.select(F.col("a").alias("b"), F.col("b").alias("a")))
-    return pairs.join(either, ["a", "b"], "left_anti")
+    either = together(tried, picked(tried, F.col("b").alias("a"), F.col("a").alias("b")))
+    return attach(pairs, either, ["a", "b"], "left_anti", salts=1)
 
 
-def _split_bands(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of bands (band, node, root), and of bands whose members lie in different components the lowest root and its smallest class."""
-    roots = settle(components(links, "a", "b"))
-    placed = materialise(met.select("band", "node").join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")))
+def _split_bands(met: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of bands (band, node, root), of bands whose members lie in different components the lowest root and its smallest class, and (node, root)."""
+    roots = gather(components(links, "a", "b"))
+    placed = attach(met.select("band", "node"), roots, ["node"], "left", salts=1).select("band", "node", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed)
     lows = placed.groupBy("band").agg(F.min(F.struct("root", "node")).alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
-    return placed, settle(lows.where("low.root < high").select("band", "low", "n"))
+    lows = lows.where("low.root < high").select("band", F.col("low.root").alias("low"), F.col("low.node").alias("first"), "n")
+    return placed, gather(lows), roots
 
 
 def _in_blocks(crowd: DataFrame, block: int, block_bytes: int) -> DataFrame:
@@ -472,7 +479,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     """(doc_id, component_id): documents linked through near duplicates share the smallest id."""
     rows = shingle_rows(docs, doc_id, text)
     each = materialise(join_skewed(rows.select("doc_id", "node"), roots_of(docs, rows, text, **options), "node", "n"))
-    names = settle(each.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
+    names = gather(each.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")))
     return join_skewed(each, names, "root", "n").select("doc_id", "component_id")
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, join_skewed, materialise, settle
+from .tables import attach, components, gather, join_skewed, materialise, picked, rows_of, settle, spanning
 from .words import slices
 
 WIDTH = 3
@@ -112,24 +112,6 @@ def trie_pairs(values: np.ndarray, pairs: np.ndarray, most: int) -> Iterator[tup
             stack.append((bit - 1, grown))
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (node, smallest node) that connect what the given links connect."""
-    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    root = np.arange(len(names))
-    while True:
-        low = np.minimum(root[u], root[v])
-        new = root.copy()
-        np.minimum.at(new, root[u], low)
-        np.minimum.at(new, root[v], low)
-        new = new[new]
-        if np.array_equal(new, root):
-            break
-        root = new
-    own = np.flatnonzero(root != np.arange(len(names)))
-    return names[own], names[root[own]]
-
-
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -187,21 +169,25 @@ def signed(x: int) -> int:
 def links(classes: DataFrame, most: int = MOST, forest: bool = False, hot: int = HOT_CLASSES) -> DataFrame:
     """(a, b) of distinct fingerprints within ``most`` bits. ``classes`` is a written table of distinct fingerprints.
 
-    With ``forest`` the links of a task are thinned to as few as connect the same fingerprints.
+    With ``forest`` the links of a key are thinned to as few as connect the same fingerprints; several keys may hold the same link.
     """
+    classes = gather(classes)
     masks = blocks(most)
     by_key = F.explode(F.array(*[
         F.struct(F.lit(i).alias("m"), F.col("fingerprint").bitwiseAND(F.lit(signed(m))).alias("bits")) for i, m in enumerate(masks)]))
     dealt = classes.select("fingerprint", by_key.alias("k")).select("fingerprint", "k.m", "k.bits")
-    large = settle(dealt.groupBy("m", "bits").count().where(F.col("count") > hot).drop("count"))
-    plain = dealt if large.isEmpty() else dealt.join(F.broadcast(large), ["m", "bits"], "left_anti")
+    large = None  # no key holds more than all classes
+    if rows_of(classes) > hot:
+        large = settle(dealt.groupBy("m", "bits").count().where(F.col("count") > hot).drop("count"))
+        large = None if large.isEmpty() else large
+    plain = dealt if large is None else dealt.join(F.broadcast(large), ["m", "bits"], "left_anti")
     rows = plain.select(F.xxhash64("m", "bits").alias("key"), F.lit(0).alias("side"), "fingerprint")
-    if not large.isEmpty():
+    if large is not None:
         rows = rows.unionByName(_split(dealt.join(F.broadcast(large), ["m", "bits"], "left_semi"), masks, most))
     # equal hashes of different keys only put more nodes under one root; the walk prunes them
     ordered = rows.repartition("key").sortWithinPartitions("key", "side", F.expr("fingerprint < 0"), "fingerprint")
     found = ordered.mapInArrow(_join(most, forest), "a long, b long")
-    return settle(found.distinct())
+    return gather(found if forest else found.distinct())
 
 
 def _split(rows: DataFrame, masks: list[int], most: int) -> DataFrame:
@@ -221,12 +207,12 @@ def _split(rows: DataFrame, masks: list[int], most: int) -> DataFrame:
 
 def linked(rows: DataFrame, name: str = "doc_id", most: int = MOST) -> DataFrame:
     """The written rows (name, fingerprint) with ``component_id``, the smallest name that links of fingerprints reach."""
-    classes = settle(rows.groupBy("fingerprint").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("n")))
-    roots = components(links(classes.select("fingerprint"), most, forest=True), "a", "b")
-    named = classes.join(roots.select(F.col("node").alias("fingerprint"), "root"), "fingerprint", "left")
-    named = named.withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = settle(named.join(smallest, "root").select("fingerprint", "n", "component_id"))
+    classes = gather(rows.groupBy("fingerprint").agg(F.min(name).alias("first"), F.count(F.lit(1)).alias("n")))
+    roots = gather(components(links(picked(classes, "fingerprint"), most, forest=True), "a", "b"))
+    named = attach(classes, picked(roots, F.col("node").alias("fingerprint"), "root"), ["fingerprint"], "left", salts=1)
+    named = gather(named.withColumn("root", F.coalesce("root", "fingerprint")))
+    smallest = gather(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = gather(attach(named, smallest, ["root"]).select("fingerprint", "n", "component_id"))
     return join_skewed(rows, named, "fingerprint", "n")
 
 

@@ -575,3 +575,35 @@ def test_components_of_few_links_are_written_in_few_pieces(spark, tmp_path):
             spark.conf.set(k, v)
     assert roots == {i: i // 20 * 20 for i in range(60)}
     assert len(list(tmp_path.rglob("part-*"))) <= 40 + 20
+
+
+def test_components_are_the_same_in_one_task_and_dealt(spark):
+    rng = random.Random(5)
+    links = spark.createDataFrame([(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(7, 7), (None, 3)], "a long, b long")
+    plain = sorted(map(tuple, tables.components(links, "a", "b").collect()))
+    assert plain and plain == sorted(map(tuple, tables.components(links, "a", "b", most=10).collect()))
+
+
+def test_small_steps_of_near_copies_are_few_tasks(spark):
+    """However many partitions a shuffle has: the tasks of tables of a few rows are not that many times the steps."""
+    rng = random.Random(3)
+    body = [[rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(90)] for _ in range(12)]
+    texts = [" ".join(w if rng.random() > 0.01 * (i % 4) else "x" for w in body[i % 12]) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    expected = sorted(map(tuple, minhash.groups(docs).collect()))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    sc = spark.sparkContext
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    sc.setJobGroup("near copies", "")
+    try:
+        got = sorted(map(tuple, minhash.groups(docs).collect()))
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("near copies")]
+        stages = {s: sc.statusTracker().getStageInfo(s) for j in jobs for s in j.stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    ran = sum(s.numCompletedTasks for s in stages.values() if s)
+    assert got == expected
+    assert ran <= 60 * 40, ran
