@@ -211,8 +211,8 @@ def linked(rows: DataFrame, name: str = "doc_id", most: int = MOST) -> DataFrame
     roots = gather(components(links(picked(classes, "fingerprint"), most, forest=True), "a", "b"))
     named = attach(classes, picked(roots, F.col("node").alias("fingerprint"), "root"), ["fingerprint"], "left", salts=1)
     named = gather(named.withColumn("root", F.coalesce("root", "fingerprint")))
-    smallest = gather(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    named = gather(attach(named, smallest, ["root"]).select("fingerprint", "n", "component_id"))
+    smallest = gather(named.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    named = gather(join_skewed(named, smallest, "root", "classes").select("fingerprint", "n", "component_id"))
     return join_skewed(rows, named, "fingerprint", "n")
 
 
