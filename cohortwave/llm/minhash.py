@@ -10,7 +10,8 @@ no place or id: equal texts have equal fingerprints. Rows of equal id are each f
 
 Near duplicates: texts of equal shingle sets are a class, named by 64 bits of the set's digest. SimHash fingerprints of the shingles that differ in at
 most two bits link classes first (``simhash``). Two bits miss most pairs of Jaccard 0.8, so classes that share a band are candidates as well: such a
-pair shares none of 64 bands of four minima once in 4e14 times. All candidates are verified on their whole sets.
+pair shares none of 64 bands of four minima once in 4e14 times. A group of SimHash links counts as one more band, so its pairs are
+candidates whether or not they share another. All candidates are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -400,7 +401,7 @@ def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float
              tries: int = TRIES, sketch_block: int = SKETCH_BLOCK, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(node, n, root) per class of ``shingle_rows``: its rows, and the class that names its component.
 
-    Each class is compared by whole shingle sets with one other: the smallest class that SimHash links reach, or where that is not alike, the one
+    A band is a key of minima, or the smallest class that SimHash links reach. Each class is compared by whole shingle sets with one other: that smallest class, or where it is not alike, the one
     which is the smallest class of most of its bands. Components are taken, and for some rounds each class that shares a band with another component is compared with that component's smallest class in the
     band. That links nearly all; what makes the result exact is the last step, for every pair of classes that
     share a band and still lie in different components. Bands are taken in pairs of blocks of sketches; of the pairs that sizes and sketches do not rule out a
@@ -409,7 +410,9 @@ def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float
     """
     classes = materialise(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bands").alias("bands"),
                                                    F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("n")))
-    keyed = classes.where("size > 0").select(F.explode("bands").alias("band"), "node")
+    tried = simhash_pairs(rows)
+    linked = picked(tried, F.col("b").alias("band"), F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("band"), F.col("b").alias("node")).distinct())
+    keyed = classes.where("size > 0").select(F.explode("bands").alias("band"), "node").unionByName(linked)
     tops = gather(keyed.groupBy("band").agg(F.min("node").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     met = materialise(join_skewed(keyed, tops, "band", "n"))
     wanted = gather(met.select("node").distinct())
@@ -419,7 +422,6 @@ def roots_of(docs: DataFrame, rows: DataFrame, text: str = "text", least: float
     texts = texts.groupBy("node").agg(F.first("text").alias("text"))
     sets = materialise(texts.mapInArrow(_shingles(width), "node long, shingles array<long>"))
 
-    tried = simhash_pairs(rows)
     links = verified(tried, sets, least)
     found = gather(links.select(F.col("a").alias("node")).distinct())
     others = attach(met.where("node <> top"), found, ["node"], "left_anti", salts=1).select(F.col("node").alias("a"), F.col("top").alias("b"))

@@ -494,6 +494,22 @@ def test_simhash_links_near_copies_first(spark, monkeypatch):
     assert {r.doc_id for r in drop_near_copies(spark, frame, "").collect()} == {0, 2, 3} and asked == ["node", "node"]
 
 
+def test_simhash_groups_are_candidates_without_a_shared_band(spark):
+    """Bands that nothing shares, one fingerprint for all: every alike pair is found, also those whose smallest class is like neither."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(8):
+        b = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        texts += [" ".join(b), " ".join([*b[:60], "changed", *b[61:]]), " ".join([*b[:30], "other", *b[31:]])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = minhash.shingle_rows(frame).withColumns({"fingerprint": F.lit(7).cast("long"), "bands": F.array(F.xxhash64("node"))})
+    rows = tables.materialise(rows)
+    of = {r.doc_id: r.node for r in rows.collect()}
+    root = {r.node: r.root for r in minhash.roots_of(frame, rows).collect()}
+    assert len(root) == 24 and len(set(root.values())) == 8
+    assert all(root[of[i]] == root[of[i // 3 * 3]] for i in range(24))
+
+
 def test_pairs_are_verified_on_whole_sets(spark):
     """Hubs with many partners, dealt in parts, against plain sets."""
     rng = np.random.default_rng(12)
