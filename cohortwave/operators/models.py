@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FRIENDLY_LABELS, code_map
-from .agglomerate import MOST, assign, standard_points, ward_tree
+from .agglomerate import assign, standard_points, ward_tree
 from .baselines import class_weights, dummy_majority_cv, dummy_mean_cv
 from .evaluate import binary_metrics, leaderboard, regression_metrics
 from .kmeans import assign as nearest_centre
@@ -241,8 +241,8 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, restarts: int = 20, s
     return nearest_centre(points, centres, out).drop("x")
 
 
-def hierarchical_clusters(df: DataFrame, features: list[str], k: int = 3, out: str = "cluster", most: int = MOST) -> DataFrame:
-    """Ward clusters of the standardised features; exact up to ``most`` distinct rows (see ``agglomerate``)."""
+def hierarchical_clusters(df: DataFrame, features: list[str], k: int = 3, out: str = "cluster", most: int | None = None) -> DataFrame:
+    """Ward clusters of the standardised features; with ``most`` those of at most so many clustering features (see ``agglomerate``)."""
     points = materialise(standard_points(df, features))
     return assign(points, ward_tree(points, most), k, out).drop("x")
 
