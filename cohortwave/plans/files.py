@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import re
 import uuid
 
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scale import shared_dir
-from ..sources.heads import store_of
-from ..sources.writers import FILE_ROWS, deal_folders
+from ..sources.heads import listed, spread, store_of
+from ..sources.writers import FILE_ROWS, deal_folders, texts_by_folder
 
 
 def new_folder(spark, name: str) -> str:
@@ -35,55 +33,31 @@ def write_titled(df: DataFrame, path: str, folder: list[str], header: str, cells
                  title: str = "title: cohort recording") -> str:
     """One text file per folder value: a title line, the header line, then the rows.
 
-    ``folder`` names the columns that make the folders; give a large subject several. Files are written batch by batch in
-    the tasks, as Spark's own writer spends most of its time on making each of very many small files. Their names are fixed,
-    so a task that is repeated writes the same files again.
+    ``folder`` names the columns that make the folders; give a large subject several.
     """
     line = F.concat_ws(sep, *[F.coalesce(c.cast("string"), F.lit("")) for c in cells])
     name = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in folder])
-    head = f"{title}\n{header}\n".encode()
-
-    def run(batches):
-        store, base = store_of(path)
-        now, out, files = None, None, 0
-        for batch in batches:
-            names = batch.column("folder")
-            lines = batch.column("value").to_pylist()
-            ends = [0, *(pc.indices_nonzero(pc.not_equal(names[1:], names[:-1])).to_numpy() + 1).tolist(), len(names)]
-            for low, high in zip(ends, ends[1:]):
-                if low < high and names[low].as_py() != now:
-                    if out is not None:
-                        out.close()
-                    now, files = names[low].as_py(), files + 1
-                    store.create_dir(f"{base}/{now}", recursive=True)
-                    out = store.open_output_stream(f"{base}/{now}/part-0.txt", compression=None)
-                    out.write(head)
-                out.write(("\n".join(lines[low:high]) + "\n").encode())
-        if out is not None:
-            out.close()
-        yield pa.RecordBatch.from_pydict({"files": [files]}, pa.schema([("files", pa.int64())]))
-
+    run = texts_by_folder(path, f"{title}\n{header}\n".encode())
     rows = deal_folders(df.select(name.alias("folder"), line.alias("value")), ["folder"], per_task=FOLDERS_PER_TASK, whole=True)
     rows.sortWithinPartitions("folder").mapInArrow(run, "files long").agg(F.sum("files")).collect()
     return path
 
 
 def copy_compressed(spark, paths: str, folder: str, subject_pattern: str, cut_every: int) -> str:
-    """Compressed copies of the files; those of every ``cut_every``-th subject end in the middle."""
+    """Compressed copies of the files; those of every ``cut_every``-th subject end in the middle. A task that is repeated writes the same files again."""
     def run(batches):
-        store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        for pdf in batches:
-            names = []
-            for path, content in zip(pdf["path"], pdf["content"]):
+        store, base = store_of(folder)
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            for path in names:
                 subject = re.search(subject_pattern, path)[1]
-                data = gzip.compress(bytes(content), 1)
-                name = f"subject={subject}/{uuid.uuid4().hex}.gz"
+                own, place = store_of(path)
+                with own.open_input_stream(place, compression=None) as stream:
+                    data = gzip.compress(stream.read(), 1)
                 store.create_dir(f"{base}/subject={subject}", recursive=True)
-                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                with store.open_output_stream(f"{base}/subject={subject}/{hashlib.md5(path.encode()).hexdigest()}.gz", compression=None) as out:
                     out.write(data[: len(data) // 2] if int(subject) % cut_every == 0 else data)
-                names.append(name)
-            yield pd.DataFrame({"name": names})
+            yield pa.RecordBatch.from_pydict({"files": [len(names)]}, pa.schema([("files", pa.int64())]))
 
-    spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(run, "name string").agg(
-        F.count("name")).collect()
+    spread(listed(spark, paths), "size").mapInArrow(run, "files long").agg(F.sum("files")).collect()
     return folder

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.names import metric_columns, power_columns, quality_columns, spark_name
 from ..functions.scalars import clean_key, nan_to_null, to_double
 from ..operators.scale import attach, settle
-from .heads import by_name, heads, is_there, listed, split_header
+from .heads import by_name, heads, is_there, lines, listed, split_header
 
 TIME, MARKER, INTERPOLATED, OVERALL = "Timestamp", "MarkerIndex", "EEG.Interpolated", "CQ.Overall"
 
@@ -49,17 +49,20 @@ def resolve_root(spark: SparkSession, *roots: str) -> str:
     raise FileNotFoundError(f"none of {list(roots)} exists")
 
 
-def _named_csv(spark: SparkSession, paths, columns: list[str], sep: str = ",", titled: bool = True,
-               found: DataFrame | None = None, without: list[str] | None = None) -> DataFrame:
+def _found(spark: SparkSession, paths, line: int) -> DataFrame:
+    """The heads of files that must all be readable, with the file's name as ``_path``."""
+    found = settle(heads(listed(spark, paths), line))
+    _all_readable(found)
+    return found.withColumn("_path", F.col("file"))
+
+
+def _named_csv(found: DataFrame, columns: list[str], carried: list[str] = (), sep: str = ",", titled: bool = True) -> DataFrame:
     """The wanted columns, as text, of files that may differ in what else they hold and in what order.
 
-    With ``titled`` line 1 is a title and line 2 the header. The heads of all files are read first; there are as many
-    branches as different headers. A file without a wanted column is an error that names both. Adds ``_path``.
-    Files in ``without`` are not read; any other that cannot be read to its end is an error.
+    With ``titled`` line 1 is a title and line 2 the header. The heads of all files are in ``found``; there are as many
+    branches as different headers. A file without a wanted column is an error that names both. Columns of ``found`` in ``carried`` go along
+    with each line, and ``_block`` is where its piece of the file begins. Files without a header are not read; any other that cannot be read to its end is an error.
     """
-    if found is None:
-        found = settle(heads(listed(spark, paths), 1 if titled else 0))
-        _all_readable(found)
     found = settle(found)
     kinds = [r[0] for r in found.where("header is not null").select("header").distinct().orderBy("header").collect()]
     headers = [split_header(h, sep) for h in kinds]
@@ -69,21 +72,15 @@ def _named_csv(spark: SparkSession, paths, columns: list[str], sep: str = ",", t
             example = found.where(F.col("header") == kinds[i]).first()["file"]
             raise ValueError(f"{example} has no column {', '.join(names)}")
     if not headers:
-        return spark.createDataFrame([], _text_schema([*columns, "_path"])).withColumn("_block", F.lit(0).cast("long"))
-    width = max(map(len, headers))
-    rows = (spark.read.schema(_text_schema([f"_c{i}" for i in range(width)])).option("header", True).option("sep", sep)
-            .option("enforceSchema", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", False)
-            .csv(paths))
-    if without:  # a filter on the path prunes the list of files
-        rows = rows.where(~F.col("_metadata.file_path").isin(without))
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
-    kind = F.lit(0)
-    if len(headers) > 1:
-        number = F.create_map(*[x for i, h in enumerate(kinds) for x in (F.lit(h), F.lit(i))])
-        known = found.where("header is not null").select(F.col("file").alias("_path"), number[F.col("header")].alias("_kind"))
-        rows, kind = attach(rows, known.distinct(), ["_path"]), F.col("_kind")
-    out = rows.select("_path", "_block", *[by_name(rows, headers, kind, c).alias(c) for c in columns])
-    if not titled:  # the reader has dropped line 1, which is the header
+        return found.sparkSession.createDataFrame([], T.StructType([*[found.schema[c] for c in carried], T.StructField("_block", T.LongType()),
+                                                                    *_text_schema(columns)]))
+    number = F.create_map(*[x for i, h in enumerate(kinds) for x in (F.lit(h), F.lit(i))])
+    known = found.where("header is not null").withColumn("_kind", number[F.col("header")])
+    wide = ", ".join(f"_c{i} string" for i in range(max(map(len, headers))))
+    rows = lines(known, [*carried, "_kind"]).withColumn("_cells", F.from_csv("_line", wide, {"sep": sep, "mode": "PERMISSIVE"}))
+    rows = rows.select(*carried, "_block", "_kind", "_cells.*")
+    out = rows.select(*carried, "_block", *[by_name(rows, headers, F.col("_kind"), c).alias(c) for c in columns])
+    if not titled:  # line 1, which is the header, is not among the lines
         return out
     first = F.trim(F.col(f"`{columns[0]}`"))
     return out.where(first.isNull() | (first != columns[0]))
@@ -105,10 +102,8 @@ def read_recordings(spark: SparkSession, paths, columns: list[str] | None = None
                     pattern: str = SUBJECT_FOLDER) -> DataFrame:
     """subject and the recording's columns as numbers; what is no number is missing."""
     columns = columns or recording_columns()
-    found = settle(heads(listed(spark, paths), 1))
-    _all_readable(found)
-    rows = _named_csv(spark, paths, columns, found=found)
-    return rows.select(_subject(pattern), *_numbers(rows, columns))
+    rows = _named_csv(_found(spark, paths, 1).withColumn("subject", _subject(pattern)), columns, ["subject"])
+    return rows.select("subject", *_numbers(rows, columns))
 
 
 def _all_readable(found: DataFrame) -> None:
@@ -119,17 +114,15 @@ def _all_readable(found: DataFrame) -> None:
 
 def read_markers(spark: SparkSession, paths, pattern: str = SUBJECT_FOLDER) -> DataFrame:
     """subject, marker_id and task, and the line's place, by which a repeated id is settled."""
-    found = settle(heads(listed(spark, paths), 0))
-    _all_readable(found)
-    rows = _named_csv(spark, paths, ["marker_id", "type"], titled=False, found=found)
-    return rows.select(_subject(pattern), F.col("marker_id").try_cast("double").cast("long").alias("marker_id"),
+    rows = _named_csv(_found(spark, paths, 0).withColumn("subject", _subject(pattern)), ["marker_id", "type"], ["subject"], titled=False)
+    return rows.select("subject", F.col("marker_id").try_cast("double").cast("long").alias("marker_id"),
                        F.col("type").alias("task"), F.col("_block").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def read_metadata(spark: SparkSession, paths, columns: list[str] | None = None) -> DataFrame:
     """subject, hours and gender; semicolons, decimal commas, rows without an id dropped."""
     columns = columns or ["ID", "Average Sleep Hours per Night", "Gender"]
-    rows = _named_csv(spark, paths, columns, ";")
+    rows = _named_csv(_found(spark, paths, 1), columns, sep=";")
     key, label, gender = (F.col(f"`{c}`") for c in columns[:3])
     return (rows.where(key.isNotNull() & (F.trim(key) != ""))
             .select(clean_key(key, upper=True).alias("subject"),
@@ -138,7 +131,7 @@ def read_metadata(spark: SparkSession, paths, columns: list[str] | None = None)
 
 def read_lookup(spark: SparkSession, paths, key: str = "original_stimuli_name", exclude: tuple[str, ...] = ()) -> DataFrame:
     """The stimuli lookup with its cleaned key ``task``, without the listed resting tasks."""
-    rows = _named_csv(spark, paths, [key, "description", "cognitive_domain"], titled=False).drop("_path", "_block")
+    rows = _named_csv(_found(spark, paths, 0), [key, "description", "cognitive_domain"], titled=False).drop("_block")
     return with_clean_key(rows, key).where(~F.col("task").isin(list(exclude)) if exclude else F.lit(True))
 
 
@@ -158,18 +151,9 @@ def read_by_manifest(spark: SparkSession, manifest: DataFrame, columns: list[str
     missing = named.join(tried.where("header is not null").select("file"), "file", "left_anti").join(
         tried.select("file", "problem"), "file", "left").select(
         "subject", "file", F.coalesce("problem", F.lit("no file named")).alias("problem"))
-    good = tried.where("header is not null")
-    paths = [r[0] for r in good.select("file").collect()]  # Spark lists files on the driver whatever names them
-    if not paths:
-        return spark.createDataFrame([], T.StructType([T.StructField("subject", T.StringType())] + [
-            T.StructField(spark_name(c), T.DoubleType()) for c in columns])), missing
-    # the same heads under the names the reader gives the files
-    as_read = settle(heads(listed(spark, paths), 1))
-    rows = _named_csv(spark, paths, columns, found=as_read)
-    subjects = (as_read.select(F.col("file").alias("_path"), "place")
-                .join(good.select("file", "place").join(named, "file").select("place", "subject").distinct(), "place")
-                .select("_path", "subject"))
-    return attach(rows, subjects, ["_path"]).select("subject", *_numbers(rows, columns)), missing
+    files = tried.where("header is not null").join(named, "file").dropDuplicates(["place", "subject"])
+    rows = _named_csv(files, columns, ["subject"])
+    return rows.select("subject", *_numbers(rows, columns)), missing
 
 
 def read_tolerant(spark: SparkSession, paths, expected: DataFrame, columns: list[str] | None = None,
@@ -187,13 +171,11 @@ def read_tolerant(spark: SparkSession, paths, expected: DataFrame, columns: list
             lacking = F.when(F.col("header") == h, f"no column {', '.join(names)}").otherwise(lacking)
     found = found.withColumn("problem", F.coalesce("problem", lacking)).withColumn("_path", F.col("file"))
     found = found.withColumn("header", F.when(F.col("problem").isNull(), F.col("header")))
-    of = settle(found.select(_subject(pattern), "problem", "file", "place", "header"))
+    of = settle(found.select(_subject(pattern), "problem", "file", "place", "header", "size"))
     broken = of.where("problem is not null").groupBy("subject").agg(F.min("problem").alias("reason"))
     broken = settle(broken)
-    rows = _named_csv(spark, paths, columns, found=of.select("file", "place", "header", "problem"),
-                      without=[r[0] for r in of.where("problem is not null").select("file").collect()])
-    rows = rows.select(_subject(pattern), *_numbers(rows, columns))
-    loaded = attach(rows, broken.select("subject"), ["subject"], "left_anti")
+    rows = _named_csv(attach(of.where("problem is null"), broken.select("subject"), ["subject"], "left_anti"), columns, ["subject"])
+    loaded = rows.select("subject", *_numbers(rows, columns))
     absent = (expected.select(F.col(subject).alias("subject")).distinct().join(of.select("subject").distinct(), "subject", "left_anti")
               .withColumn("reason", F.lit("no file")))
     return loaded, broken.unionByName(absent).withColumnRenamed("subject", subject)
